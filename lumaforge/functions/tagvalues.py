@@ -11,11 +11,11 @@ COLOR_SPACE = {1: "sRGB", 2: "Adobe RGB", 65535: "Uncalibrated"}
 
 # Image-library key -> catalog key for facts about the file encoding.
 SOURCE_INFO = {
-    "dpi": "source_dpi",
-    "quality": "source_quality",
-    "optimize": "source_optimize",
-    "progressive": "source_progressive",
-    "transparency": "source_transparency",
+    "dpi": "DPI",
+    "quality": "Quality",
+    "optimize": "Optimize",
+    "progressive": "Progressive",
+    "transparency": "Transparency",
 }
 
 
@@ -77,10 +77,14 @@ def gps_timestamp(parts: Column, date: Column) -> Column:
 
 
 def clean_tag_value(raw: Column) -> Column:
-    """Text of a binary tag value: NULs at the end dropped, printable ASCII kept, else the hex digits."""
-    text = F.try_validate_utf8(raw)
-    kept = F.regexp_replace(F.regexp_replace(text, r"\x00+$", ""), r"[^\x20-\x7E]", "")
-    return F.when(text.isNull(), F.lower(F.hex(raw))).otherwise(kept)
+    """Text of a binary tag value without NULs at the end; hex digits when it is not UTF-8."""
+    text = F.try_validate_utf8(raw.cast("string"))
+    return F.when(text.isNull(), F.lower(F.hex(raw))).otherwise(F.regexp_replace(text, r"\x00+$", ""))
+
+
+def printable_text(text: Column) -> Column:
+    """The text itself, or null when it holds no printable ASCII character."""
+    return F.when(text.rlike(r"[\x20-\x7E]"), text)
 
 
 def exif_datetime(ts: Column) -> Column:

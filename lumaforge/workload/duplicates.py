@@ -171,7 +171,7 @@ def _named_groups(spark, sf):
         5,
         _REPORT_TAIL
         + """SELECT dense_rank() OVER (ORDER BY group_id) AS group_no, 'IMG_' || member_id || '.jpg' AS name,
-          round_even(size_bytes / 1048576.0::DOUBLE, 2) AS size_mb, '/photos' AS parent FROM named""",
+          round_even(size_bytes / 1048576.0::DOUBLE, 1) AS size_mb, '/photos' AS parent FROM named""",
     ),
 )
 def report_duplicates_table(spark, sf):
