@@ -13,7 +13,7 @@ import time
 
 import duckdb
 
-from lumaforge.session import configure
+from lumaforge.session import BUILD_CONF, configure
 from lumaforge.workload import ORACLES, QUERIES, load_all
 
 
@@ -25,7 +25,7 @@ def make_session(cpus: str = "8"):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config(map=BUILD_CONF)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -56,7 +56,7 @@ IPTC_KEYWORDS, IPTC_DATE = 25, 55
 
 def _pick(key: tuple[str, int], value: str) -> Column:
     ifd, no = key
-    return F.max(F.when((F.col("tag") == no) & (F.col("ifd") == ifd), F.col(value)))
+    return F.expr(f"max(if(tag = {no} AND ifd = '{ifd}', {value}, NULL))")
 
 
 def exif_records(tags: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def iptc_records(tags: DataFrame) -> DataFrame:
     """``(asset_id, iptc)``; keywords in record order, trimmed, blanks dropped."""
 
     def text(no: int) -> Column:
-        return F.max(F.when(F.col("dataset") == no, F.col("value")))
+        return F.expr(f"max(if(dataset = {no}, value, NULL))")
 
     word = F.when(F.col("dataset") == IPTC_KEYWORDS, F.struct("ord", F.trim("value").alias("word")))
     date = text(IPTC_DATE)

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaforge.functions import color
+from lumaforge.functions import templates as tpl
 from lumaforge.functions.color import CHANNELS
 from lumaforge.functions.geometry import resize_target, rotated_canvas_for, watermark_origin
+from lumaforge.operators.pointwise import attach_per_image
 
 FIXED_POINT = 1 << 20
 
@@ -383,3 +385,22 @@ def watermark(
     )
     lit_dot = F.expr("(shiftright(_bits, _pos) & 1) = 1")
     return staged.withColumns(_whitened(F.when(lit_dot, alpha).otherwise(0))).select(px.columns)
+
+
+def watermark_template(
+    px: DataFrame,
+    assets: DataFrame,
+    template: str,
+    variables: dict[str, Column],
+    position: str = "bottom_right",
+    opacity: float = 75,
+    font_size: int = 5,
+    optional: set[str] = frozenset(),
+) -> DataFrame:
+    """Watermark whose text is a naming template over the catalog; images it cannot be rendered for stay as
+    they are."""
+    texts = tpl.render(assets, template, variables, optional).where(F.col("rendered").isNotNull()).select(
+        F.col("asset_id").alias("img_id"), F.col("rendered").alias("_label")
+    )
+    marked = watermark(attach_per_image(px, texts), F.coalesce("_label", F.lit("")), position, opacity, font_size)
+    return marked.select(px.columns)

@@ -26,6 +26,26 @@ def _luma() -> Column:
     return color.luma(F.col("r"), F.col("g"), F.col("b"))
 
 
+def strip_of(y: Column) -> Column:
+    return F.floor(y / STRIP_ROWS).cast("int")
+
+
+def per_strip(per_image: DataFrame, rows: Column) -> DataFrame:
+    """Repeat a per-image row once for every strip of an image with that many pixel rows."""
+    strips = F.sequence(F.lit(0), strip_of(rows - 1))
+    return per_image.withColumn("_strip", F.explode(strips))
+
+
+def attach_per_image(px: DataFrame, per_image: DataFrame) -> DataFrame:
+    """Left join columns of ``per_image(img_id, ...)`` to every pixel.
+
+    The join key is ``(img_id, strip)``, so the pixels of one huge image are spread over many keys.
+    """
+    heights = px.where("x = 0 AND y = 0").select("img_id", "h")
+    spread = per_strip(heights.join(per_image, "img_id"), F.col("h")).drop("h")
+    return px.withColumn("_strip", strip_of(F.col("y"))).join(spread, ["img_id", "_strip"], "left").drop("_strip")
+
+
 def grayscale(px: DataFrame) -> DataFrame:
     return px.withColumn("_l", _luma()).withColumns({c: F.col("_l") for c in CHANNELS}).drop("_l")
 
@@ -43,13 +63,10 @@ def contrast(px: DataFrame, factor: float = 1.0) -> DataFrame:
     stats = px.groupBy("img_id").agg(
         F.sum(_luma().cast("long")).alias("_s"), F.count(F.lit(1)).alias("_n"), F.max("y").alias("_y")
     )
-    means = stats.select(
-        "img_id",
-        F.explode(F.sequence(F.lit(0), F.floor(F.col("_y") / STRIP_ROWS).cast("int"))).alias("_strip"),
-        F.floor((2 * F.col("_s") + F.col("_n")) / (2.0 * F.col("_n"))).alias("_m"),
+    means = per_strip(stats, F.col("_y") + 1).select(
+        "img_id", "_strip", F.floor((2 * F.col("_s") + F.col("_n")) / (2.0 * F.col("_n"))).alias("_m")
     )
-    keyed = px.withColumn("_strip", F.floor(F.col("y") / STRIP_ROWS).cast("int"))
-    joined = keyed.join(means, ["img_id", "_strip"])
+    joined = px.withColumn("_strip", strip_of(F.col("y"))).join(means, ["img_id", "_strip"])
     out = _map_channels(joined, lambda c: color.blend(F.col("_m"), F.col(c), factor))
     return out.select(px.columns)
 

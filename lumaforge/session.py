@@ -15,6 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Settings that must be given when a session is built. Recording a Python call site for every Column call
+# costs more than planning a query with a few hundred expressions.
+BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
