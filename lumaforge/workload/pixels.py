@@ -393,7 +393,7 @@ def alpha_composite(spark, sf):
     t.with_tables(
         "rgb",
         f""", z AS (SELECT *, x * 3 + i AS zx, y * 3 + j AS zy FROM rgb, range(3) a(i), range(3) b(j)),
-        glyphs(ch, rows) AS (VALUES ('0', 'XXXX.XX.XX.XXXX'), ('1', '.X..X..X..X.XXX'), ('2', 'XXX..XXXXX..XXX'),
+        glyphs(ch, rows) AS (VALUES ('0', 'XXXX.XX.XX.XXXX'), ('1', '.X.XX..X..X.XXX'), ('2', 'XXX..XXXXX..XXX'),
           ('3', 'XXX..XXXX..XXXX'), ('4', 'X.XX.XXXX..X..X'), ('5', 'XXXX..XXX..XXXX'), ('6', 'XXXX..XXXX.XXXX'),
           ('7', 'XXX..X..X..X..X'), ('8', 'XXXX.XXXXX.XXXX'), ('9', 'XXXX.XXXX..XXXX')),
         n AS (SELECT *, CAST(img_id % 1000 AS VARCHAR) AS txt, length(CAST(img_id % 1000 AS VARCHAR)) * 4 - 1 AS tw,
