@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # File contents cross to Python workers in batches bounded by size, not only by row count.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 # Settings that must be given when a session is built. Recording a Python call site for every Column call

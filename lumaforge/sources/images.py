@@ -61,7 +61,8 @@ def load_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def decoded(files: DataFrame) -> DataFrame:
     """Flatten the image source's struct."""
     return files.select(
-        F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
+        # This source writes file:///x where the binary file source writes file:/x.
+        F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
 

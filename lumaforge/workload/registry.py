@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SURVEY_IDS: dict[str, str] = {}
 
-MODULES = ("duplicates", "catalog", "tags", "checks", "templates", "sizes", "pixels", "chains", "arrivals")
+MODULES = ("duplicates", "catalog", "tags", "checks", "templates", "sizes", "pixels", "chains", "arrivals", "files")
 
 
 def query(ids: str, sql: str | None = None):
