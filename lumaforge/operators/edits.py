@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaforge.operators.skew import join_counted
 from lumaforge.schemas import EXIF_FIELDS, EXIF_TYPE, IPTC_FIELDS, IPTC_TYPE
+from lumaforge.session import cut_lineage
 
 # Edit column -> record fields it sets.
 WRITE_EXIF = {"creator": "creator", "copyright": "copyright"}
@@ -140,18 +142,17 @@ def copy_metadata(
     """Copy records between images; ``requests(asset_id, source_path)`` names the source of each target.
 
     Returns the targets with an ``error`` column, set when the source is not in the catalog. One source
-    may serve most targets: the side carrying it is the small one (unique paths), and the adaptive
-    planner splits the skewed partition of targets.
+    may serve most targets; such a source is joined apart (:func:`join_counted`).
     """
     if metadata_type not in ("all", "exif", "iptc", "camera", "location"):
         raise ValueError(f"unknown metadata type: {metadata_type}")
     targets = assets.join(requests.select("asset_id", "source_path"), "asset_id")
-    wanted = requests.select("source_path").distinct()
-    sources = assets.join(wanted, assets["path"] == wanted["source_path"], "left_semi").select(
+    wanted = requests.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("_targets"))
+    sources = assets.join(wanted, "path").select(
         F.col("path").alias("source_path"), F.col("exif").alias("_exif"), F.col("iptc").alias("_iptc"),
-        F.lit(True).alias("_found"),
+        F.lit(True).alias("_found"), "_targets",
     )
-    joined = targets.join(sources, "source_path", "left")
+    joined = join_counted(targets, cut_lineage(sources), ["source_path"], "_targets", "left")
 
     def taken(mine: Column, theirs: Column, fields, kinds) -> Column:
         out = mine

@@ -82,12 +82,9 @@ def _scaled_axis(px: DataFrame, axis: str, out_n: Column, kernel: str, values: l
         F.least(out - 1, F.floor((center + support * scale) * out / n - 0.5 + 1e-9).cast("int"))
     )
     t = (center - (F.col("_o") + 0.5) * n / out) / scale
-    spread = (
-        _targets(px, axis, lo, hi)
-        .withColumn("_t", t)
-        .withColumn("_wt", F.floor(fn(F.col("_t")) * FIXED_POINT + 0.5))
-        .where(F.col("_wt") != 0)
-    )
+    # No filter on zero weights: it would be pushed below and compute every weight twice.
+    spread = _targets(px, axis, lo, hi).withColumn("_t", t)
+    spread = spread.withColumn("_wt", F.floor(fn(F.col("_t")) * FIXED_POINT + 0.5))
     keys = ["img_id", F.col("_out").alias(size), "h" if axis == "x" else "w", F.col("_o").alias(axis), other]
     summed = spread.groupBy(*keys).agg(
         F.sum("_wt").alias("_wt"), *[F.sum(F.col("_wt") * F.col(c)).alias(c) for c in values]

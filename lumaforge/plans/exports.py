@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumaforge.functions import derived
 from lumaforge.operators.edits import inspect_fields
 from lumaforge.operators.ranking import number_within
+from lumaforge.operators.skew import join_counted
 from lumaforge.schemas import EXIF_FIELDS, IPTC_FIELDS
 from lumaforge.session import cut_lineage
 
@@ -15,9 +16,10 @@ from lumaforge.session import cut_lineage
 def _located(groups: DataFrame, catalog: DataFrame) -> DataFrame:
     """Members with their group's running number and catalog entry."""
     groups = cut_lineage(groups)
-    numbered = number_within(groups.select("group_id").distinct(), [], ["group_id"], "group_no")
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("_members"))
+    numbered = cut_lineage(number_within(sizes, [], ["group_id"], "group_no"))
     return (
-        groups.join(numbered, "group_id")
+        join_counted(groups, numbered, ["group_id"], "_members")
         .join(catalog.withColumnRenamed("asset_id", "member_id"), "member_id")
         .withColumn("group_no", F.col("group_no").cast("long"))
     )

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaforge.functions import derived as d
+from lumaforge.operators.skew import join_counted
+from lumaforge.session import cut_lineage
 
 # --- operation strings --------------------------------------------------------------------------
 
@@ -115,9 +117,12 @@ def plan_rows(catalog: DataFrame, recipes: DataFrame, assigned: DataFrame) -> Da
     steps = recipes.select("name", F.posexplode(enabled_actions(F.col("actions"))).alias("_pos", "_a")).select(
         "name", (F.col("_pos") + 1).alias("step_no"), F.col("_a.name").alias("action"), F.col("_a.parameters").alias("_p")
     )
+    # One recipe may run on most images.
+    uses = assigned.groupBy("name").agg(F.count(F.lit(1)).alias("_images"))
+    counted = cut_lineage(steps.join(uses, "name"))
     jobs = catalog.select("asset_id", "path").join(assigned.select("asset_id", "name"), "asset_id")
     return (
-        jobs.join(steps, "name")
+        join_counted(jobs, counted, ["name"], "_images")
         .select("asset_id", "name", "path", "step_no", "action", F.explode_outer("_p").alias("param", "value"))
         .withColumn("output", d.batch_output_path(F.col("path")))
     )

@@ -73,7 +73,7 @@ def copy_distance(spark, sf):
     ),
 )
 def exact_duplicates(spark, sf):
-    return ph.exact_duplicates(_hashes(spark, sf)).select(
+    return ph.exact_duplicates(ph.cut_lineage(_hashes(spark, sf))).select(
         ph.hash_hex(F.col("h")).alias("hash"), "first_id", "n", "member_id"
     )
 

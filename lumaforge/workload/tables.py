@@ -214,7 +214,8 @@ def _quantized(embedding: str) -> str:
 
 def _gray_rows(images: DataFrame) -> DataFrame:
     """Rows of ``(img_id, v)`` with 64 values each, as an 8x8 gray pixel table."""
-    return images.selectExpr("img_id", "posexplode(v) AS (idx, g0)").selectExpr(
+    cells = images.selectExpr("img_id", "v", "explode(sequence(0, 63)) AS idx").selectExpr("img_id", "idx", "v[idx] AS g0")
+    return cells.selectExpr(
         "img_id", "8 AS w", "8 AS h", "idx % 8 AS x", "cast(idx div 8 AS int) AS y", "g0 AS r", "g0 AS g", "g0 AS b"
     )
 
