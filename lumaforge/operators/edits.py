@@ -146,11 +146,13 @@ def copy_metadata(
     """
     if metadata_type not in ("all", "exif", "iptc", "camera", "location"):
         raise ValueError(f"unknown metadata type: {metadata_type}")
+    # Undivided rationals go wherever the EXIF fields go that they belong to.
+    has_ratios = "ratios" in assets.columns
     targets = assets.join(requests.select("asset_id", "source_path"), "asset_id")
     wanted = requests.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("_targets"))
     sources = assets.join(wanted, "path").select(
         F.col("path").alias("source_path"), F.col("exif").alias("_exif"), F.col("iptc").alias("_iptc"),
-        F.lit(True).alias("_found"), "_targets",
+        F.lit(True).alias("_found"), "_targets", *([F.col("ratios").alias("_ratios")] if has_ratios else []),
     )
     joined = join_counted(targets, cut_lineage(sources), ["source_path"], "_targets", "left")
 
@@ -162,13 +164,16 @@ def copy_metadata(
         return out
 
     exif, iptc = _empty_if_null("exif", EXIF_TYPE), _empty_if_null("iptc", IPTC_TYPE)
-    new_exif, new_iptc = F.col("exif"), F.col("iptc")
+    new_exif, new_iptc, new_ratios = F.col("exif"), F.col("iptc"), F.col("ratios") if has_ratios else None
     if metadata_type in ("all", "exif"):
         new_exif = F.col("_exif")
+        new_ratios = F.col("_ratios") if has_ratios else None
     if metadata_type in ("all", "iptc"):
         new_iptc = F.col("_iptc")
     if metadata_type == "camera":
         new_exif = taken(exif, F.col("_exif"), CAMERA_FIELDS, EXIF_FIELDS)
+        if has_ratios:
+            new_ratios = _taken_ratios(assets, exif, overwrite)
     if metadata_type == "location":
         # The four GPS fields move together, decided by the latitude.
         take = F.lit(True) if overwrite else ~_filled(exif["gps_latitude"], "double")
@@ -178,8 +183,10 @@ def copy_metadata(
         new_exif = moved
         new_iptc = taken(iptc, F.col("_iptc"), LOCATION_IPTC, IPTC_FIELDS)
     found = F.col("_found").isNotNull()
+    ratios = {"ratios": F.when(found, new_ratios).otherwise(F.col("ratios"))} if has_ratios else {}
     out = joined.withColumns(
-        {
+        ratios
+        | {
             "exif": F.when(found, new_exif).otherwise(F.col("exif")),
             "iptc": F.when(found, new_iptc).otherwise(F.col("iptc")),
             "error": F.when(~found, F.concat(F.lit("Source image not found: "), F.col("source_path"))),
@@ -198,6 +205,14 @@ def copy_metadata(
     return out.select(*assets.columns, "source_path", "error")
 
 
+def _taken_ratios(assets: DataFrame, exif: Column, overwrite: bool) -> Column:
+    out = F.coalesce("ratios", F.from_json(F.lit("{}"), assets.schema["ratios"].dataType))
+    for name in ("focal_length", "f_number", "exposure_time"):
+        take = F.lit(True) if overwrite else ~_filled(exif[name], "string")
+        out = out.withField(name, F.when(take, F.col(f"_ratios.{name}")).otherwise(F.col(f"ratios.{name}")))
+    return out
+
+
 # --- reading out --------------------------------------------------------------------------------
 
 
