@@ -96,8 +96,15 @@ def _rounded(total: Column, weight: Column) -> Column:
     return color.clamp(F.floor((2 * total + weight) / (2.0 * weight))).cast("int")
 
 
-def scale_to(px: DataFrame, out_w: Column, out_h: Column, resample: str = "LANCZOS") -> DataFrame:
-    """Resize to per-image target columns, horizontal pass first."""
+def scale_to(
+    px: DataFrame, out_w: Column, out_h: Column, resample: str = "LANCZOS", gather: bool = False
+) -> DataFrame:
+    """Resize to per-image target columns, horizontal pass first.
+
+    With ``gather`` the rows of an image meet in one task after the first pass, so that the second pass
+    and any later aggregate by image need no further shuffle. Use it only when the new width is small:
+    an image then has ``out_w * h`` rows.
+    """
     kernel = resample.upper() if resample.upper() in (*KERNELS, "NEAREST") else "LANCZOS"
     values = [c for c in ("r", "g", "b", "a", "l") if c in px.columns]
     order = px.columns
@@ -108,6 +115,8 @@ def scale_to(px: DataFrame, out_w: Column, out_h: Column, resample: str = "LANCZ
     # The target height must survive the first groupBy: it is a function of the image, so it rides in the key.
     px = px.withColumn("h", F.struct(F.col("h").alias("n"), F.col("_th").alias("t"))).drop("_th")
     px = _scaled_axis(px, "x", F.col("_tw"), kernel, values)
+    if gather:
+        px = px.repartition("img_id")
     px = px.withColumns({"_th": F.col("h.t"), "h": F.col("h.n")})
     return _scaled_axis(px, "y", F.col("_th"), kernel, values).select(order)
 
@@ -208,15 +217,20 @@ def sharpness(px: DataFrame, factor: float = 1.0) -> DataFrame:
 # --- median -------------------------------------------------------------------------------------
 
 
-def _window_slots(px: DataFrame, axis: str, reach: int, name: str) -> DataFrame:
-    """Explode the ``(target, offset)`` pairs on one axis whose clamped source is this pixel."""
+def _window_slots(px: DataFrame, axis: str, reach: int) -> DataFrame:
+    """Explode the target ``_t<axis>`` and offset ``_d<axis>`` pairs whose clamped source is this pixel.
+
+    An inner pixel meets each target at one offset. An edge pixel also stands in for all offsets that
+    point beyond the edge.
+    """
     size = "w" if axis == "x" else "h"
-    pairs = F.expr(
-        f"filter(flatten(transform(sequence(greatest(0, {axis} - {reach}), least({size} - 1, {axis} + {reach})),"
-        f" t -> transform(sequence(-{reach}, {reach}), d -> struct(t AS t, d AS d)))),"
-        f" p -> greatest(0, least({size} - 1, p.t + p.d)) = {axis})"
+    targets = px.withColumn(
+        f"_t{axis}",
+        F.explode(F.expr(f"sequence(greatest(0, {axis} - {reach}), least({size} - 1, {axis} + {reach}))")),
     )
-    return px.withColumn(name, F.explode(pairs))
+    lo = f"if({axis} = 0, -{reach}, {axis} - _t{axis})"
+    hi = f"if({axis} = {size} - 1, {reach}, {axis} - _t{axis})"
+    return targets.withColumn(f"_d{axis}", F.explode(F.expr(f"sequence({lo}, {hi})")))
 
 
 def median_filter(px: DataFrame, size: int = 3) -> DataFrame:
@@ -228,11 +242,10 @@ def median_filter(px: DataFrame, size: int = 3) -> DataFrame:
     reach = size // 2
     k = 2 * reach + 1
     packed = F.shiftleft(F.col("r"), 16).bitwiseOR(F.shiftleft(F.col("g"), 8)).bitwiseOR(F.col("b"))
-    spread = _window_slots(px.withColumn("_v", packed), "x", reach, "_px")
-    spread = _window_slots(spread, "y", reach, "_py")
-    spread = spread.withColumn("_slot", (F.col("_py.d") + reach) * k + (F.col("_px.d") + reach))
-    out = spread.groupBy("img_id", "w", "h", F.col("_px.t").alias("x"), F.col("_py.t").alias("y")).agg(
-        *[F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_{s}") for s in range(k * k)]
+    spread = _window_slots(_window_slots(px.withColumn("_v", packed), "x", reach), "y", reach)
+    spread = spread.withColumn("_slot", F.expr(f"(_dy + {reach}) * {k} + _dx + {reach}"))
+    out = spread.groupBy("img_id", "w", "h", F.col("_tx").alias("x"), F.col("_ty").alias("y")).agg(
+        *[F.expr(f"max(if(_slot = {s}, _v, NULL)) AS _{s}") for s in range(k * k)]
     )
     middle = (k * k + 1) // 2
 
@@ -269,22 +282,19 @@ def rotate(
     """Rotate counter-clockwise, nearest sample.
 
     A source pixel proposes the few target pixels around its forward image and keeps those whose inverse
-    image falls into it. Target pixels with no source are listed by the image's own rows: row ``y``
-    generates the canvas rows ``y, y + h, ...``. Both halves are narrow.
+    image falls into it. Target pixels without a source are listed by the image's own rows: the first
+    pixel of row ``y`` also stands for the canvas rows ``y, y + h, ...``. One narrow pass, no join.
     """
     cos, sin = _trig(angle)
     canvas = rotated_canvas_for(F.col("w"), F.col("h"), angle) if expand else {"w": F.col("w"), "h": F.col("h")}
+    order = px.columns
+    w, h, cw, ch, grid = (F.col(c) for c in ("w", "h", "_cw", "_ch", "_grid"))
     px = px.withColumns({"_cw": canvas["w"].cast("int"), "_ch": canvas["h"].cast("int")})
-    w, h, cw, ch = (F.col(c) for c in ("w", "h", "_cw", "_ch"))
-
-    def inverse(tx: Column, ty: Column) -> tuple[Column, Column]:
-        dx, dy = tx + 0.5 - cw / 2.0, ty + 0.5 - ch / 2.0
-        return F.floor(cos * dx - sin * dy + w / 2.0), F.floor(sin * dx + cos * dy + h / 2.0)
+    px = px.withColumn("_grid", F.explode(F.expr("if(x = 0 AND y < _ch, array(false, true), array(false))")))
 
     sx, sy = F.col("x") + 0.5 - w / 2.0, F.col("y") + 0.5 - h / 2.0
-    placed = px.withColumns(
-        {"_fx": cos * sx + sin * sy + cw / 2.0, "_fy": cos * sy - sin * sx + ch / 2.0}
-    )
+    px = px.withColumns({"_fx": cos * sx + sin * sy + cw / 2.0, "_fy": cos * sy - sin * sx + ch / 2.0})
+    # A target center lies within half a diagonal of the forward image of its source center.
     reach = 1.2072
 
     def near(center: str, limit: Column) -> Column:
@@ -292,24 +302,20 @@ def rotate(
         hi = F.least(limit - 1, F.floor(F.col(center) + reach - 1).cast("int"))
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
-    spread = placed.withColumn("_tx", F.explode(near("_fx", cw))).withColumn("_ty", F.explode(near("_fy", ch)))
-    ix, iy = inverse(F.col("_tx"), F.col("_ty"))
-    moved = spread.where((ix == F.col("x")) & (iy == F.col("y")))
-
-    rows = px.where(F.col("x") == 0).where(F.col("y") < ch)
-    grid = rows.withColumn("_ty", F.explode(F.sequence(F.col("y"), ch - 1, h))).withColumn(
-        "_tx", F.explode(F.sequence(F.lit(0), cw - 1))
+    spread = px.withColumn("_ty", F.explode(F.when(grid, F.sequence(F.col("y"), ch - 1, h)).otherwise(near("_fy", ch))))
+    spread = spread.withColumn(
+        "_tx", F.explode(F.when(grid, F.sequence(F.lit(0), cw - 1)).otherwise(near("_fx", cw)))
+    )
+    dx, dy = F.col("_tx") + 0.5 - cw / 2.0, F.col("_ty") + 0.5 - ch / 2.0
+    spread = spread.withColumns(
+        {"_ix": F.floor(cos * dx - sin * dy + w / 2.0), "_iy": F.floor(sin * dx + cos * dy + h / 2.0)}
     )
-    gx, gy = inverse(F.col("_tx"), F.col("_ty"))
-    outside = grid.where((gx < 0) | (gy < 0) | (gx >= w) | (gy >= h))
-    blank = {c: F.lit(v) for c, v in zip(CHANNELS, fill)}
-    if "a" in px.columns:
-        blank["a"] = F.lit(255)
-    outside = outside.withColumns(blank)
-
-    order = [c for c in px.columns if not c.startswith("_")]
-    shape = {"x": F.col("_tx"), "y": F.col("_ty"), "w": cw, "h": ch}
-    return moved.withColumns(shape).select(order).unionByName(outside.withColumns(shape).select(order))
+    outside = F.expr("_ix < 0 OR _iy < 0 OR _ix >= w OR _iy >= h")
+    kept = spread.where(F.when(grid, outside).otherwise((F.col("_ix") == F.col("x")) & (F.col("_iy") == F.col("y"))))
+    blank = {c: F.when(grid, F.lit(v)).otherwise(F.col(c)) for c, v in zip(CHANNELS, fill)}
+    if "a" in order:
+        blank["a"] = F.when(grid, F.lit(255)).otherwise(F.col("a"))
+    return kept.withColumns(blank | {"x": F.col("_tx"), "y": F.col("_ty"), "w": cw, "h": ch}).select(order)
 
 
 # --- watermark ----------------------------------------------------------------------------------

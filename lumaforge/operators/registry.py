@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from lumaforge.functions.validation import FALSE_WORDS, TRUE_WORDS
 from lumaforge.operators import neighborhood as nb
 from lumaforge.operators import pointwise as pw
+from lumaforge.session import cut_lineage
 
 
 class OperatorError(ValueError):
@@ -70,6 +70,8 @@ class Operator:
     description: str = ""
     version: str = "1.0.0"
     author: str = "lumaforge"
+    # Whether the operator reads its input more than once.
+    rereads: bool = False
 
     def validated(self, raw: dict) -> dict:
         """Coerced parameters; names the operator does not know are dropped."""
@@ -140,8 +142,8 @@ def _watermark(px, text, position, opacity, font_size):
     return nb.watermark(px, F.lit(text), position, opacity, font_size)
 
 
-def _add(name, label, apply, tags, description, **params):
-    OPERATORS.register(Operator(name, label, apply, params, tuple(tags.split()), description))
+def _add(name, label, apply, tags, description, rereads=False, **params):
+    OPERATORS.register(Operator(name, label, apply, params, tuple(tags.split()), description, rereads=rereads))
 
 
 ANCHORS = ("top_left", "top_right", "bottom_left", "bottom_right", "center")
@@ -163,6 +165,7 @@ _add("transpose", "Transpose Image", pw.transpose, "geometry flip transform", "F
 _add("brightness", "Adjust Brightness", pw.brightness, "color tone brightness adjustment", "Blend with black",
      factor=Param("float", 1.0, 0, 3))
 _add("contrast", "Adjust Contrast", pw.contrast, "color tone contrast adjustment", "Blend with the mean luma",
+     rereads=True,
      factor=Param("float", 1.0, 0, 3))
 _add("saturation", "Adjust Saturation", pw.saturation, "color saturation adjustment", "Blend with gray",
      factor=Param("float", 1.0, 0, 3))
@@ -188,6 +191,15 @@ _add("flatten_alpha", "Flatten Alpha", pw.flatten_alpha, "output format", "Compo
 
 
 def run_steps(px: DataFrame, actions: list[dict], registry: Registry = OPERATORS) -> DataFrame:
-    """Apply enabled actions ``{name, parameters, enabled}`` in order, as one lazy plan."""
-    active = [a for a in actions if a.get("enabled", True)]
-    return reduce(lambda df, a: registry.get(a["name"])(df, **a.get("parameters", {})), active, px)
+    """Apply enabled actions ``{name, parameters, enabled}`` in order, as one lazy plan.
+
+    Only before an operator that reads its input twice are the steps so far materialized, so that they
+    are not computed twice.
+    """
+    out = px
+    for action in (a for a in actions if a.get("enabled", True)):
+        op = registry.get(action["name"])
+        if op.rereads and out is not px:
+            out = cut_lineage(out)
+        out = op(out, **action.get("parameters", {}))
+    return out

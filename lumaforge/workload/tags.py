@@ -216,8 +216,11 @@ _SHOWN_IPTC = ["title", "byline", "copyright_notice", "city", "state"]
 
 
 def _remove_sql(exif_null: set[str], iptc_null: set[str]) -> str:
-    cols = [f"{'NULL' if n in exif_null else 'exif.' + n} AS {n}" for n in _SHOWN]
-    cols += [f"{'NULL' if n in iptc_null else 'iptc.' + n} AS iptc_{n}" for n in _SHOWN_IPTC]
+    def gone(kind: str) -> str:
+        return f"CAST(NULL AS {_TYPES[kind]})"
+
+    cols = [f"{gone(EXIF_FIELDS[n]) if n in exif_null else 'exif.' + n} AS {n}" for n in _SHOWN]
+    cols += [f"{gone(IPTC_FIELDS[n]) if n in iptc_null else 'iptc.' + n} AS iptc_{n}" for n in _SHOWN_IPTC]
     return t.with_tables(
         "cat exif iptc",
         f"SELECT cat.asset_id, dpi_x, {', '.join(cols)} FROM cat LEFT JOIN exif USING (asset_id) LEFT JOIN iptc USING (asset_id)",
