@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaforge.functions import derived as d
+from lumaforge.operators.registry import run_steps
 from lumaforge.operators.skew import join_counted
 from lumaforge.session import cut_lineage
 
@@ -169,11 +170,11 @@ def _next_size(w: Column, h: Column, a: Column) -> Column:
     cropped = pair(
         F.least(F.coalesce(num("width"), w - left), w - left), F.least(F.coalesce(num("height"), h - top), h - top)
     )
-    angle = F.coalesce(F.try_element_at(a["parameters"], F.lit("angle")).try_cast("double"), F.lit(0.0))
+    angle = F.coalesce(F.try_element_at(a["parameters"], F.lit("angle")).try_cast("double"), F.lit(90.0))
     turned = F.pmod(angle, F.lit(360.0))
     cos, sin = F.abs(F.cos(F.radians(angle))), F.abs(F.sin(F.radians(angle)))
     rotated = (
-        F.when(~flag("expand", "false") | turned.isin(0.0, 180.0), pair(w, h))
+        F.when(~flag("expand", "true") | turned.isin(0.0, 180.0), pair(w, h))
         .when(turned.isin(90.0, 270.0), pair(h, w))
         .otherwise(pair(F.ceil(w * cos + h * sin - 1e-9), F.ceil(w * sin + h * cos - 1e-9)))
     )
@@ -221,3 +222,32 @@ def latest_step(lineage_rows: DataFrame) -> DataFrame:
     )
 
 
+
+
+def actions_literal(actions: list[dict]) -> Column:
+    """A Python list of actions as an array column."""
+
+    def text(v) -> Column:
+        return F.lit(str(v).lower() if isinstance(v, bool) else str(v))
+
+    def params(p: dict) -> Column:
+        pairs = [c for k, v in p.items() for c in (F.lit(k), text(v))]
+        return F.create_map(*pairs).cast("map<string,string>")
+
+    return F.array(
+        *[
+            F.struct(
+                F.lit(a["name"]).alias("name"), params(a.get("parameters", {})).alias("parameters"),
+                F.lit(bool(a.get("enabled", True))).alias("enabled"), F.lit(a.get("description", "")).alias("description"),
+            )
+            for a in actions
+        ]
+    )
+
+
+def run_with_lineage(px: DataFrame, actions: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """Processed pixels, and one lineage row per image and step."""
+    sizes = px.where("x = 0 AND y = 0").select(
+        "img_id", F.col("w").alias("width"), F.col("h").alias("height"), actions_literal(actions).alias("actions")
+    )
+    return run_steps(px, actions), lineage(sizes)

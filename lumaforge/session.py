@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,27 @@ BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumaforge_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="lumaforge-code-"), "lumaforge_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("lumaforge", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._lumaforge_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Reliable checkpoint folder: the session's own, else ``spark.checkpoint.dir``.
 

@@ -93,10 +93,11 @@ def load_assets(files: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def explode_pixels(images: DataFrame) -> DataFrame:
+def explode_pixels(images: DataFrame, spread: bool = False) -> DataFrame:
     """Decoded images as a pixel table, in row-major order.
 
-    The byte array is cut into pixel rows first, so a generated row carries one line of the image, never
+    A file is decoded in one task. With ``spread`` its lines are dealt to all tasks before they become
+    pixels, for corpora where a few images hold much of the data. The byte array is cut into pixel rows first, so a generated row carries one line of the image, never
     the whole of it. The decoder stores blue first; gray images repeat their value in all channels.
     """
     lines = F.expr(
@@ -106,6 +107,8 @@ def explode_pixels(images: DataFrame) -> DataFrame:
         image_id(F.col("path")).alias("img_id"), F.col("width").alias("w"), F.col("height").alias("h"), "channels",
         F.posexplode(lines).alias("y", "_line"),
     )
+    if spread:
+        rows = rows.repartition("img_id", "y")
     cells = rows.select("img_id", "w", "h", "channels", "y", "_line", F.explode(F.expr("sequence(0, w - 1)")).alias("x"))
     packed = cells.withColumn(
         "_v", F.expr("cast(conv(hex(substring(_line, x * channels + 1, channels)), 16, 10) AS bigint)")

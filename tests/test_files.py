@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lumaforge.operators import pointwise as pw
 from lumaforge.operators.registry import OPERATORS, Operator, OperatorError, Param, Registry, run_steps
+from lumaforge.plans.duplicates import find_duplicates
+from lumaforge.plans.steps import run_with_lineage
 from lumaforge.sources import images, recipes, sinks, tagscan
 from lumaforge.streaming import arrivals
 
@@ -89,6 +91,36 @@ def test_save_pixels(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "px")).drop("bucket").exceptAll(px).isEmpty()
 
 
+def test_find_duplicates_of_folder(spark, tmp_path):
+    rows = [[(x * 16 + y * 3) % 256 for x in range(16)] for y in range(16)]
+    near = [list(r) for r in rows]
+    near[0][0] = 9
+    other = [[255 * ((x // 4 + y // 4) % 2) for x in range(16)] for y in range(16)]
+    for name, pic in [("b.png", rows), ("a.png", near), ("c.png", other)]:
+        (tmp_path / name).write_bytes(png_bytes(pic, 1))
+    (tmp_path / "bad.png").write_bytes(b"x")
+    groups, rejected = find_duplicates(spark, str(tmp_path))
+    assert [name_of(r.path) for r in rejected.collect()] == ["bad.png"]
+    got = sorted((name_of(r.leader_path), name_of(r.path)) for r in groups.collect())
+    assert got == [("a.png", "a.png"), ("a.png", "b.png")]
+
+
+def test_lineage_follows_real_sizes(spark):
+    px = spark.range(1).selectExpr("id AS img_id", "6 AS w", "4 AS h", "explode(sequence(0, 23)) AS k").selectExpr(
+        "img_id", "w", "h", "k % 6 AS x", "cast(k div 6 AS int) AS y", "k AS r", "k AS g", "k AS b"
+    )
+    chain = [
+        {"name": "crop", "parameters": {"x": 1, "width": 4}}, {"name": "sepia", "enabled": False},
+        {"name": "rotate", "parameters": {"angle": 30}}, {"name": "transpose", "parameters": {"method": "rotate_90"}},
+        {"name": "resize", "parameters": {"width": 3}}, {"name": "rotate"},
+    ]
+    for n in range(1, len(chain) + 1):
+        out, trail = run_with_lineage(px, chain[:n])
+        last = trail.orderBy(F.desc("step")).first()
+        assert {(r.w, r.h) for r in out.select("w", "h").distinct().collect()} == {(last.width, last.height)}
+        assert out.count() == last.width * last.height
+
+
 # --- tag blocks ---------------------------------------------------------------------------------
 
 
