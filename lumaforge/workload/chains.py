@@ -137,10 +137,7 @@ _ASSIGN = "asg AS (SELECT cat.asset_id, r.name, r.actions FROM cat JOIN rec r ON
 
 def _assigned(spark, sf, keep=("name",)):
     r = recipes(spark, sf)
-    n = r.agg(F.count(F.lit(1)).alias("n"))
-    pairs = t.catalog(spark, sf).select("asset_id").join(F.broadcast(n)).select(
-        "asset_id", (F.col("asset_id") % F.col("n")).alias("c_custkey")
-    )
+    pairs = t.catalog(spark, sf).select("asset_id", (F.col("asset_id") % r.count()).alias("c_custkey"))
     return pairs.join(r.select("c_custkey", *keep), "c_custkey").drop("c_custkey")
 
 
