@@ -2,8 +2,12 @@
 
 All of them *scatter*: a source pixel emits the target pixels it takes part in together with its weight,
 worked out by arithmetic from its own row, and one ``groupBy`` over the target pixel adds them up. There is
-no weight table to ship and no gather join; partial aggregation folds most contributions before
-the shuffle, and since the key holds the pixel position, one huge image spreads over all tasks.
+no weight table to ship and no gather join.
+
+What is shuffled is the narrow source pixel, not its contributions: pixels are dealt by line
+(``img_id, y`` or ``img_id, x``) or by strip of lines first, so the ``groupBy`` finds its rows in place. A line
+or strip has a bounded size, so one huge image spreads over all tasks. Only the horizontal resize pass
+aggregates before its shuffle, since it usually shrinks the data.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from lumaforge.functions import color
 from lumaforge.functions import templates as tpl
 from lumaforge.functions.color import CHANNELS
 from lumaforge.functions.geometry import resize_target, rotated_canvas_for, watermark_origin
-from lumaforge.operators.pointwise import attach_per_image
+from lumaforge.operators.pointwise import STRIP_ROWS, attach_per_image
 
 FIXED_POINT = 1 << 20
 
@@ -101,9 +105,9 @@ def scale_to(
 ) -> DataFrame:
     """Resize to per-image target columns, horizontal pass first.
 
-    With ``gather`` the rows of an image meet in one task after the first pass, so that the second pass
-    and any later aggregate by image need no further shuffle. Use it only when the new width is small:
-    an image then has ``out_w * h`` rows.
+    Between the passes pixels are dealt by column. With ``gather`` they are dealt by image, so that any
+    later aggregate by image needs no further shuffle. Use it only when the new width is small: an image
+    then has ``out_w * h`` rows.
     """
     kernel = resample.upper() if resample.upper() in (*KERNELS, "NEAREST") else "LANCZOS"
     values = [c for c in ("r", "g", "b", "a", "l") if c in px.columns]
@@ -115,8 +119,7 @@ def scale_to(
     # The target height must survive the first groupBy: it is a function of the image, so it rides in the key.
     px = px.withColumn("h", F.struct(F.col("h").alias("n"), F.col("_th").alias("t"))).drop("_th")
     px = _scaled_axis(px, "x", F.col("_tw"), kernel, values)
-    if gather:
-        px = px.repartition("img_id")
+    px = px.repartition("img_id") if gather else px.repartition("img_id", "x")
     px = px.withColumns({"_th": F.col("h.t"), "h": F.col("h.n")})
     return _scaled_axis(px, "y", F.col("_th"), kernel, values).select(order)
 
@@ -151,7 +154,7 @@ def _blur_axis(px: DataFrame, axis: str, weights: list[int]) -> DataFrame:
     tail0 = total - sum(weights[1:])
     tails[0] = tail0
     i, n = F.col(axis), F.col(size)
-    spread = _targets(px, axis, F.greatest(F.lit(0), i - reach), F.least(n - 1, i + reach))
+    spread = _targets(px.repartition("img_id", other), axis, F.greatest(F.lit(0), i - reach), F.least(n - 1, i + reach))
     k = F.abs(F.col("_o") - i) + 1
     inner = F.element_at(F.array(*[F.lit(v).cast("long") for v in weights]), k)
     edge = F.element_at(F.array(*[F.lit(v).cast("long") for v in tails]), k)
@@ -174,15 +177,30 @@ def gaussian_blur(px: DataFrame, radius: float) -> DataFrame:
     return _blur_axis(_blur_axis(px, "x", weights), "y", weights).select(order)
 
 
+def _in_strips(px: DataFrame, reach: int) -> DataFrame:
+    """Deal pixels by strip of lines, with a copy of the ``reach`` lines around each strip.
+
+    Adds ``_strip`` and the bounds ``_top, _bottom`` of the target lines a pixel serves in that strip.
+    """
+    size = STRIP_ROWS
+    first, last = f"greatest(0, y - {reach})", f"least(h - 1, y + {reach})"
+    strips = F.expr(f"sequence(cast({first} div {size} AS int), cast({last} div {size} AS int))")
+    dealt = px.withColumn("_strip", F.explode(strips)).repartition("img_id", "_strip")
+    return dealt.withColumns(
+        {
+            "_top": F.expr(f"greatest({first}, _strip * {size})"),
+            "_bottom": F.expr(f"least({last}, _strip * {size} + {size - 1})"),
+        }
+    )
+
+
 def _kernel3(px: DataFrame, center: int, around: int, divisor: int) -> DataFrame:
     """3x3 filter with equal weights around the center; adds ``_r, _g, _b`` next to the originals.
 
     Border pixels keep their value.
     """
     x, y, w, h = F.col("_ox"), F.col("_oy"), F.col("w"), F.col("h")
-    spread = px.withColumn(
-        "_oy", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - 1), F.least(F.col("h") - 1, F.col("y") + 1)))
-    ).withColumn(
+    spread = _in_strips(px, 1).withColumn("_oy", F.explode(F.sequence("_top", "_bottom"))).withColumn(
         "_ox", F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - 1), F.least(F.col("w") - 1, F.col("x") + 1)))
     )
     own = (F.col("_ox") == F.col("x")) & (F.col("_oy") == F.col("y"))
@@ -190,7 +208,7 @@ def _kernel3(px: DataFrame, center: int, around: int, divisor: int) -> DataFrame
     spread = spread.withColumns({"_own": own, "_border": border}).where(F.col("_own") | ~F.col("_border"))
     factor = F.when(F.col("_own"), F.when(F.col("_border"), divisor).otherwise(center)).otherwise(around)
     out = spread.withColumn("_k", factor).groupBy(
-        "img_id", "w", "h", F.col("_ox").alias("x"), F.col("_oy").alias("y")
+        "img_id", "_strip", "w", "h", F.col("_ox").alias("x"), F.col("_oy").alias("y")
     ).agg(
         *[F.max(F.when(F.col("_own"), F.col(c))).alias(c) for c in CHANNELS],
         *[F.sum(F.col("_k") * F.col(c)).alias(f"_{c}") for c in CHANNELS],
@@ -217,17 +235,14 @@ def sharpness(px: DataFrame, factor: float = 1.0) -> DataFrame:
 # --- median -------------------------------------------------------------------------------------
 
 
-def _window_slots(px: DataFrame, axis: str, reach: int) -> DataFrame:
-    """Explode the target ``_t<axis>`` and offset ``_d<axis>`` pairs whose clamped source is this pixel.
+def _window_slots(px: DataFrame, axis: str, reach: int, first: str, last: str) -> DataFrame:
+    """Explode, for targets ``first..last``, the target ``_t<axis>`` and offset ``_d<axis>`` pairs whose clamped source is this pixel.
 
     An inner pixel meets each target at one offset. An edge pixel also stands in for all offsets that
     point beyond the edge.
     """
     size = "w" if axis == "x" else "h"
-    targets = px.withColumn(
-        f"_t{axis}",
-        F.explode(F.expr(f"sequence(greatest(0, {axis} - {reach}), least({size} - 1, {axis} + {reach}))")),
-    )
+    targets = px.withColumn(f"_t{axis}", F.explode(F.expr(f"sequence({first}, {last})")))
     lo = f"if({axis} = 0, -{reach}, {axis} - _t{axis})"
     hi = f"if({axis} = {size} - 1, {reach}, {axis} - _t{axis})"
     return targets.withColumn(f"_d{axis}", F.explode(F.expr(f"sequence({lo}, {hi})")))
@@ -242,9 +257,10 @@ def median_filter(px: DataFrame, size: int = 3) -> DataFrame:
     reach = size // 2
     k = 2 * reach + 1
     packed = F.shiftleft(F.col("r"), 16).bitwiseOR(F.shiftleft(F.col("g"), 8)).bitwiseOR(F.col("b"))
-    spread = _window_slots(_window_slots(px.withColumn("_v", packed), "x", reach), "y", reach)
+    spread = _window_slots(_in_strips(px.withColumn("_v", packed), reach), "y", reach, "_top", "_bottom")
+    spread = _window_slots(spread, "x", reach, f"greatest(0, x - {reach})", f"least(w - 1, x + {reach})")
     spread = spread.withColumn("_slot", F.expr(f"(_dy + {reach}) * {k} + _dx + {reach}"))
-    out = spread.groupBy("img_id", "w", "h", F.col("_tx").alias("x"), F.col("_ty").alias("y")).agg(
+    out = spread.groupBy("img_id", "_strip", "w", "h", F.col("_tx").alias("x"), F.col("_ty").alias("y")).agg(
         *[F.expr(f"max(if(_slot = {s}, _v, NULL)) AS _{s}") for s in range(k * k)]
     )
     middle = (k * k + 1) // 2

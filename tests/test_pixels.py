@@ -52,7 +52,7 @@ def test_blur_small_and_thin_images(spark, w, h):
             assert got[(x, y)][k] == axis(lambda i: mid[(x, i)], h, y)
 
 
-@pytest.mark.parametrize("w,h", [(1, 1), (2, 3), (5, 4)])
+@pytest.mark.parametrize("w,h", [(1, 1), (2, 3), (5, 4), (3, 140)])
 @pytest.mark.parametrize("size", [3, 5])
 def test_median(spark, w, h, size):
     px, src = image(spark, w, h)
@@ -64,6 +64,19 @@ def test_median(spark, w, h, size):
         assert got[(x, y)] == tuple(sorted(p[k] for p in around)[(size * size + 1) // 2 - 1] for k in range(3))
 
 
+@pytest.mark.parametrize("w,h", [(1, 1), (2, 5), (5, 4), (4, 135)])
+def test_sharpen(spark, w, h):
+    px, src = image(spark, w, h)
+    _, _, got = collected(nb.sharpen(px, 0.5))
+    for (x, y), v in src.items():
+        if x in (0, w - 1) or y in (0, h - 1):
+            assert got[(x, y)] == v
+            continue
+        near = [src[(x + i, y + j)] for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        full = [clamp((34 * v[k] - 2 * sum(p[k] for p in near)) / 16 + 0.5) for k in range(3)]
+        assert got[(x, y)] == tuple(clamp(a + 0.5 * (b - a)) for a, b in zip(v, full))
+
+
 @pytest.mark.parametrize("angle", [0, 30, 45, 90, -133.7, 180, 270])
 @pytest.mark.parametrize("expand", [False, True])
 def test_rotation_covers_canvas_once(spark, angle, expand):
