@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaforge.llm import quality_rules
+from lumaforge.llm import bpe, language_id, quality_rules
 from lumaforge.llm.registry import query
 from lumaforge.llm.tables import table
 
+
+
+def remainder(divisor: int) -> Column:
+    """CRC-32 of the document id as text, modulo ``divisor``: the folds of the learning operators."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
 QUALITY_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -37,3 +44,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query()
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, where=remainder(4) != 2)
+    return language_id.predict(docs, model).withColumn("held_out", remainder(4) == 2)
