@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaforge.llm import bpe, language_id, quality_rules
+from lumaforge.llm import bpe, language_id, packing, quality_rules, toxicity
 from lumaforge.llm.registry import query
 from lumaforge.llm.tables import table
 
@@ -56,3 +56,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, where=remainder(4) != 2)
     return language_id.predict(docs, model).withColumn("held_out", remainder(4) == 2)
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=remainder(3) != 1)
+    scored = toxicity.score(docs, model).withColumn("held_out", remainder(3) == 1)
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query()
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
