@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaforge.llm import bpe, chat, language_id, nearest, packing, quality_rules, toxicity
+from lumaforge.llm import bpe, chat, language_id, nearest, ngram_join, packing, quality_rules, toxicity
 from lumaforge.llm.registry import query
 from lumaforge.llm.tables import table
 
@@ -106,3 +106,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
