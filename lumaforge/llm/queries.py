@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaforge.llm import bpe, chat, language_id, lm_scoring, nearest, ngram_join, packing, quality_rules, toxicity
+from lumaforge.llm import bpe, chat, html_text, language_id, lm_scoring, nearest, ngram_join, packing, quality_rules, toxicity
 from lumaforge.llm.registry import query
 from lumaforge.llm.tables import table
 
@@ -117,3 +117,8 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
     return scored.withColumn("held_out", remainder(7) == 2)
+
+
+@query()
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
