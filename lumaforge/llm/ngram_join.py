@@ -393,3 +393,13 @@ def _labelled(rows: DataFrame, signs: DataFrame, classes: DataFrame, links: Data
         F.col("id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"),
     )
     return out.unionByName(nothing)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class, the one with the smallest id, with its columns unchanged.
+
+    Of rows that repeat an id one stays. Rows without an id belong to no class and stay.
+    """
+    first = join(docs, key, text).where(F.col(key) == F.col("class_id")).select(key).distinct()
+    chosen = docs.join(first, key, "left_semi").dropDuplicates([key])
+    return chosen.unionByName(docs.where(F.col(key).isNull()))

@@ -36,6 +36,8 @@ ORDERS = (3, 4, 5)
 WINDOW = 8
 WARM_EPOCHS, ROUNDS, ROUND_EPOCHS = 2, 5, 2
 BATCH = 1024
+#: Updates at least, in each round.
+LEAST_STEPS = 60
 RATE = 0.02
 SEED = 20
 #: Words whose number a worker keeps; a full table is emptied.
@@ -188,8 +190,10 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
     c = np.zeros(2, np.float32)
     adam = _Adam(E, U, c)
 
-    def train(rows: np.ndarray, truth: np.ndarray, weights: np.ndarray) -> None:
-        order = rng.permutation(len(rows))
+    def train(rows: np.ndarray, truth: np.ndarray, weights: np.ndarray, epochs: int) -> None:
+        """Whole epochs, and as many more as ``LEAST_STEPS`` need when there are few windows."""
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(rows)))
+        order = np.concatenate([rng.permutation(len(rows)) for _ in range(epochs)])
         for start in range(0, len(order), BATCH):
             pick = order[start : start + BATCH]
             w, y, a = windows[rows[pick]], truth[pick], weights[pick].astype(np.float32)
@@ -220,8 +224,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
 
     everything = np.arange(len(windows))
     n_of = np.bincount(owner, minlength=len(texts))[owner]
-    for _ in range(WARM_EPOCHS):
-        train(everything, toxic.astype(np.int64), 1 / n_of)
+    train(everything, toxic.astype(np.int64), 1 / n_of, WARM_EPOCHS)
     for _ in range(ROUNDS):
         now = model()
         numbers = np.add.reduceat(now.weight[gram_cell], bounds[:-1]) / np.diff(bounds)
@@ -234,8 +237,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
         rows = everything[chosen]
         truth = toxic[rows].astype(np.int64)
         sizes = np.bincount(truth, minlength=2)
-        for _ in range(ROUND_EPOCHS):
-            train(rows, truth, 1 / sizes[truth])
+        train(rows, truth, 1 / sizes[truth], ROUND_EPOCHS)
     out = model()
     expected = min(0.5, float(labels.mean()) if share is None else share)
     out.bias += float(np.log(expected / (1 - expected)))
@@ -285,3 +287,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below ``threshold``, with their columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = np.array(scorer.score(part.column(at).to_pylist()))
+                yield part.filter(pa.array(found < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
