@@ -42,6 +42,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 512
+#: Bits of the filter that spares texts outside all components, at most; 8 MB.
+FILTER_BITS = 1 << 26
 #: Pairs compared at once.
 PAIRS = 1 << 17
 #: A shingle in more texts of a group than this is counted by a matrix product, else by pairs.
@@ -311,16 +313,30 @@ def intersections(owner: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
 def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Per text and task ``id, links, root``: verified links, and the smallest text they connect it to there.
 
-    ``members`` has ``id, component, n``.
+    ``members`` has ``id, component, n``. So that no other text moves, a Bloom filter of their ids, of bounded size,
+    picks the texts whose shingles are computed again; the join that follows is exact.
     """
-    texts = docs.join(members, "id")
+    bits = min(FILTER_BITS, max(1 << 10, 1 << (16 * members.count()).bit_length()))
+    ways = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(2)]
+    marks = members.select(F.explode(F.array(*ways)).alias("bit"))
+    words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    known = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches):
         hashes = WordHashes()
         for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for way in ("a", "b"):
+                bit = batch.column(way).to_numpy().astype(np.uint64)
+                hit &= (known.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            batch = batch.filter(pa.array(hit))
             found = [shingles(t.as_py(), hashes).tobytes() for t in batch.column("text")]
-            columns = [batch.column(c) for c in ("id", "component", "n")] + [pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "component", "n", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "found"])
+
+    sought = docs.select("id", "text", ways[0].alias("a"), ways[1].alias("b"))
+    shingled = sought.mapInArrow(sets, "id long, found binary").join(members, "id")
 
     def compare(batches):
         for table, firsts in whole_groups(batches, ["component", "lo", "hi"]):
@@ -352,7 +368,6 @@ def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
             columns = [pa.array(ids), pa.array(links), pa.array(least[roots])]
             yield pa.RecordBatch.from_arrays(columns, ["id", "links", "root"])
 
-    shingled = texts.select("id", "component", "n", "text").mapInArrow(sets, "id long, component long, n long, found binary")
     return tiles(shingled, "component").mapInArrow(compare, "id long, links long, root long")
 
 
@@ -372,7 +387,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     leaders = stored(signs.select("id", "sig").join(first, "id", "left_semi").dropDuplicates(["id"]), "leaders")
     found = components(candidates(leaders))
     sizes = found.groupBy("component").agg(F.count("id").alias("n"))
-    members = found.join(sizes, "component")
+    members = stored(found.join(sizes, "component"), "members")
     links = stored(verified(members, named), "verified")
     return _labelled(rows, signs, classes, links, key)
 
