@@ -242,9 +242,9 @@ class Network:
         return {"U": dU, "X": np.bincount(flat, dx.ravel(), self.X.size).reshape(self.X.shape).astype(np.float32)}
 
 
-def windows(lengths: np.ndarray, steps: int = STEPS):
+def windows(lengths: np.ndarray):
     """Start of each window and how many of the documents, sorted by falling length, reach it."""
-    for start in range(0, int(lengths[0]), steps):
+    for start in range(0, int(lengths[0]), STEPS):
         yield start, int(np.searchsorted(-lengths, -start, side="left"))
 
 
