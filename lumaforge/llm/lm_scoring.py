@@ -7,8 +7,8 @@ softmax over the network's state; every other word belongs to one of ``TAILS`` t
 within it has ``(c + 1) / (N_t + V_t + 1)`` with the class's training tokens and distinct words, so that unknown words
 share one place per tail class and all probabilities add up to one.
 
-Training is by truncated backpropagation: windows of ``STEPS`` tokens of many documents side by side, the state
-carried on without its gradient. Each task trains on its share of the documents from common weights, and the
+Training is by truncated backpropagation: documents in segments of up to ``SEGMENT`` tokens, many side by side, in
+windows of ``STEPS`` tokens; the state is carried on from window to window without its gradient. Each task trains on its share of the documents from common weights, and the
 results are averaged by tokens; ``ROUNDS`` such rounds take a fresh slice of whole documents each, one in ``SLICES``,
 so that training grows with the corpus while counts cover all of it. Scoring carries the state through the whole document.
 
@@ -42,8 +42,9 @@ CLASS_WORDS = 64
 TAILS = 16
 STATE = 16
 STEPS = 32
-#: Documents side by side in training and in scoring.
-TRAIN_LANES, SCORE_LANES = 128, 1024
+SEGMENT = 512
+#: Segments side by side in training, and documents in scoring.
+TRAIN_LANES, SCORE_LANES = 256, 1024
 ROUNDS, SLICES = 2, 8
 RATE = 0.01
 SEED = 6
@@ -322,12 +323,15 @@ def train(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "
             for batch in batches:
                 for value in batch.column(0).cast(pa.binary()):
                     at, kind = vocab.look_up(words_of(value.as_py()))
-                    waiting.append((net.inputs_of(at, kind, vocab.modeled), kind, at % CLASS_WORDS))
-                    if len(waiting) == TRAIN_LANES:
-                        trainer.learn(waiting)
-                        waiting = []
-            if waiting:
-                trainer.learn(waiting)
+                    whole = net.inputs_of(at, kind, vocab.modeled), kind, at % CLASS_WORDS
+                    waiting += [tuple(x[i : i + SEGMENT] for x in whole) for i in range(0, len(at), SEGMENT)]
+                    while len(waiting) >= 4 * TRAIN_LANES:  # of like length, so that few lanes run empty
+                        waiting.sort(key=lambda d: len(d[0]))
+                        trainer.learn(waiting[-TRAIN_LANES:])
+                        del waiting[-TRAIN_LANES:]
+            waiting.sort(key=lambda d: len(d[0]))
+            for i in range(0, len(waiting), TRAIN_LANES):
+                trainer.learn(waiting[i : i + TRAIN_LANES])
             if trainer.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([float(trainer.tokens)]), pa.array([net.get()], pa.binary())], ["n", "weights"])
 
@@ -385,8 +389,9 @@ def score(docs: DataFrame, train_where: Column, key: str = "doc_id", text: str =
         net.put(np.frombuffer(weights, np.float32))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for start in range(0, batch.num_rows, SCORE_LANES):
-                part = batch.slice(start, SCORE_LANES)
+            # Many documents at once, so that long ones run beside others of their kind.
+            for start in range(0, batch.num_rows, 10 * SCORE_LANES):
+                part = batch.slice(start, 10 * SCORE_LANES)
                 inputs, base, static, known, tokens, rest = [], [], [], [], [], []
                 for value in part.column(1).cast(pa.binary()):
                     words = words_of(value.as_py())
