@@ -26,17 +26,19 @@ def _trunc(v: Column) -> Column:
 def fit_size(w: Column, h: Column, width=None, height=None, maintain_aspect: bool = True) -> Column:
     """Struct ``(width, height, error)``: fit inside the given bounds; nothing given is an error."""
     tw, th = _col(width).cast("int"), _col(height).cast("int")
-    ratio = w / h
-    scale = F.least(tw / w, th / h)
+    ratio = F.try_divide(w, h)
+    scale = F.least(F.try_divide(tw, w), F.try_divide(th, h))
     has_w, has_h = F.coalesce(_set(tw), F.lit(False)), F.coalesce(_set(th), F.lit(False))
     none = ~(has_w | has_h)
     if maintain_aspect:
         out_w = F.when(has_w & has_h, _trunc(w * scale)).when(has_w, tw).when(has_h, _trunc(th * ratio))
-        out_h = F.when(has_w & has_h, _trunc(h * scale)).when(has_w, _trunc(tw / ratio)).when(has_h, th)
+        out_h = F.when(has_w & has_h, _trunc(h * scale)).when(has_w, _trunc(F.try_divide(tw, ratio))).when(has_h, th)
     else:
         out_w = F.when(none, None).otherwise(F.when(has_w, tw).otherwise(w))
         out_h = F.when(none, None).otherwise(F.when(has_h, th).otherwise(h))
-    error = F.when(none, F.lit("Must specify at least one target dimension"))
+    error = F.when(none, F.lit("Must specify at least one target dimension")).when(
+        (w < 1) | (h < 1), F.lit("Image has no pixels")
+    )
     return F.struct(out_w.cast("int").alias("width"), out_h.cast("int").alias("height"), error.alias("error"))
 
 
@@ -45,9 +47,9 @@ def resize_target(w: Column, h: Column, width=None, height=None, maintain_aspect
     tw, th = _col(width).cast("int"), _col(height).cast("int")
     has_w, has_h = F.coalesce(_set(tw), F.lit(False)), F.coalesce(_set(th), F.lit(False))
     keep = _col(maintain_aspect).cast("boolean")
-    ratio = w / h
+    ratio = F.try_divide(w, h)
     both = keep & has_w & has_h
-    wide = tw / th > ratio
+    wide = F.try_divide(tw, th) > ratio
     out_w = (
         F.when(both, F.when(wide, _trunc(th * ratio)).otherwise(tw))
         .when(has_w, tw)
@@ -55,8 +57,8 @@ def resize_target(w: Column, h: Column, width=None, height=None, maintain_aspect
         .otherwise(w)
     )
     out_h = (
-        F.when(both, F.when(wide, th).otherwise(_trunc(tw / ratio)))
-        .when(keep & has_w, _trunc(tw / ratio))
+        F.when(both, F.when(wide, th).otherwise(_trunc(F.try_divide(tw, ratio))))
+        .when(keep & has_w, _trunc(F.try_divide(tw, ratio)))
         .when(has_h, th)
         .otherwise(h)
     )

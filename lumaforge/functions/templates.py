@@ -48,6 +48,7 @@ class Value:
         return isinstance(self.dtype, T.ArrayType)
 
 
+TOO_LARGE = "number out of range"
 LONG, DOUBLE, STRING, BOOL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 
 
@@ -142,7 +143,8 @@ def _extreme(name: str, over_row, over_list):
 def _round(args: list[Value]) -> Value:
     _need(len(args) in (1, 2) and args[0].is_number, "Function 'round' failed: needs a number")
     if len(args) == 1:
-        return Value(F.bround(args[0].col.cast("double"), 0).cast("long"), LONG)
+        whole = F.bround(args[0].col.cast("double"), 0).try_cast("bigint")
+        return Value(whole, LONG, [(args[0].col.isNotNull() & whole.isNull(), TOO_LARGE)])
     digits = getattr(args[1], "constant", None)
     _need(isinstance(digits, int), "Function 'round' failed: digits must be a constant")
     return Value(F.bround(args[0].col, digits), args[0].dtype)
@@ -156,7 +158,9 @@ def _pow(args: list[Value]) -> Value:
 def _power(a: Value, b: Value) -> Value:
     out = F.pow(a.col, b.col)
     if a.is_int and b.is_int:
-        return Value(out.cast("long"), LONG, [(b.col < 0, "negative power of an integer")])
+        whole = out.try_cast("bigint")
+        large = out.isNotNull() & whole.isNull()
+        return Value(whole, LONG, [(b.col < 0, "negative power of an integer"), (large, TOO_LARGE)])
     return Value(out, DOUBLE)
 
 
@@ -233,10 +237,12 @@ def _arithmetic(op: ast.operator, a: Value, b: Value) -> Value:
     _need(a.is_number and b.is_number, f"unsupported operands for {type(op).__name__}")
     kind = LONG if a.is_int and b.is_int else DOUBLE
     left, right = a.col.cast(kind), b.col.cast(kind)
-    simple = {ast.Add: lambda: left + right, ast.Sub: lambda: left - right, ast.Mult: lambda: left * right}
+    simple = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply}
     for node, build in simple.items():
         if isinstance(op, node):
-            return Value(build(), kind)
+            out = build(left, right)
+            large = left.isNotNull() & right.isNotNull() & out.isNull()
+            return Value(out, kind, [(large, TOO_LARGE)] if kind == LONG else [])
     if isinstance(op, ast.Div):
         return Value(F.try_divide(a.col.cast("double"), b.col.cast("double")), DOUBLE, [(b.col == 0, "division by zero")])
     if isinstance(op, ast.FloorDiv):

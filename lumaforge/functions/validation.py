@@ -237,7 +237,7 @@ GRAY_MODES = ("L", "1")
 
 def color_value(color: Column, mode: Column, lo: int = 0, hi: int = 255) -> Column:
     """Check an array of components against its mode; components are truncated to integers."""
-    ints = F.transform(color, lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("int"))
+    ints = F.transform(color, lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("bigint"))
     expected = F.when(mode.isin(*GRAY_MODES), 1)
     for name, n in COLOR_COMPONENTS.items():
         expected = expected.when(mode == name, n)
@@ -261,7 +261,9 @@ def color_value(color: Column, mode: Column, lo: int = 0, hi: int = 255) -> Colu
         F.when(gray, F.lit("Color value out of range"))
         .otherwise(F.concat(F.lit("Color component "), place, F.lit(" out of range"))).alias("message"),
     )
-    return _result(ints, _first((F.size(color) != expected, wrong), (F.size(outside) > 0, off)))
+    # A component beyond the range of an integer is an error above and has no value.
+    narrow = F.transform(ints, lambda c: c.try_cast("int"))
+    return _result(narrow, _first((F.size(color) != expected, wrong), (F.size(outside) > 0, off)))
 
 
 # --- numbers ------------------------------------------------------------------------------------
@@ -285,7 +287,7 @@ def relevant_parameters(action: Column, params: Column) -> Column:
 
     Resize ignores ``height`` while the aspect is kept; save uses ``quality`` only for lossy formats.
     """
-    keeps_aspect = F.coalesce(F.lower(F.try_element_at(params, F.lit("maintain_aspect"))), F.lit("true")) != "false"
+    keeps_aspect = ~F.coalesce(F.lower(F.try_element_at(params, F.lit("maintain_aspect"))), F.lit("true")).isin(*FALSE_WORDS)
     lossy = F.coalesce(F.try_element_at(params, F.lit("format")), F.lit("JPEG")).isin("JPEG", "WebP")
     return F.map_filter(
         params,

@@ -74,13 +74,22 @@ def merge_metadata(catalog: DataFrame, updates: DataFrame, column: str = "metada
 
 
 def assets_from_pixels(catalog: DataFrame, px: DataFrame) -> DataFrame:
-    """Bring size and mode of catalog rows in line with processed pixels; everything else is kept."""
+    """Bring size and mode of catalog rows in line with processed pixels; everything else is kept.
+
+    A row without pixels stays as it is.
+    """
     mode = "RGBA" if "a" in px.columns else "RGB"
     sizes = px.groupBy(F.col("img_id").alias("asset_id")).agg(
         (F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h")
     )
-    joined = catalog.join(sizes, "asset_id")
-    out = joined.withColumns({"width": F.col("_w"), "height": F.col("_h"), "mode": F.lit(mode)})
+    joined = catalog.join(sizes, "asset_id", "left")
+    here = F.col("_w").isNotNull()
+    # Gray images keep their mode: their channels are equal by construction.
+    gray = F.col("mode").isin("L", "1") & F.lit(mode == "RGB")
+    out = joined.withColumns({
+        "width": F.coalesce("_w", "width"), "height": F.coalesce("_h", "height"),
+        "mode": F.when(here & ~F.coalesce(gray, F.lit(False)), F.lit(mode)).otherwise(F.col("mode")),
+    })
     return out.withColumns(
         {"dpi_x": F.coalesce("dpi_x", F.lit(72)), "dpi_y": F.coalesce("dpi_y", F.lit(72))}
     ).select(catalog.columns)

@@ -72,11 +72,12 @@ def _scaled_axis(px: DataFrame, axis: str, out_n: Column, kernel: str, values: l
         # Candidates from the inverse relation, then the exact test floor((o + 0.5) * in / out) == i.
         lo = F.greatest(F.lit(0), F.floor(i * out / n - 0.5))
         hi = F.least(out - 1, F.ceil((i + 1) * out / n + 0.5))
-        picked = _targets(px, axis, lo, hi).where(F.floor((F.col("_o") + 0.5) * n / out) == i)
+        picked = _targets(px, axis, lo, hi).where(F.floor(F.try_divide((F.col("_o") + 0.5) * n, out)) == i)
         return picked.withColumns({axis: F.col("_o"), size: out}).drop("_o", "_out")
 
     fn, support = KERNELS[kernel]
-    scale = F.greatest(n / out, F.lit(1.0))
+    # A target without pixels gives no rows. Such images are reported by the run; see plans.steps.
+    scale = F.when(out > 0, F.greatest(F.try_divide(n, out), F.lit(1.0)))
     center = i + 0.5
     same = n == out
     lo = F.when(same, i).otherwise(
@@ -85,7 +86,7 @@ def _scaled_axis(px: DataFrame, axis: str, out_n: Column, kernel: str, values: l
     hi = F.when(same, i).otherwise(
         F.least(out - 1, F.floor((center + support * scale) * out / n - 0.5 + 1e-9).cast("int"))
     )
-    t = (center - (F.col("_o") + 0.5) * n / out) / scale
+    t = (center - F.try_divide((F.col("_o") + 0.5) * n, out)) / scale
     # No filter on zero weights: it would be pushed below and compute every weight twice.
     spread = _targets(px, axis, lo, hi).withColumn("_t", t)
     spread = spread.withColumn("_wt", F.floor(fn(F.col("_t")) * FIXED_POINT + 0.5))
@@ -346,8 +347,11 @@ GLYPHS = {
     "P": 0o65644, "Q": 0o25563, "R": 0o65655, "S": 0o34216, "T": 0o72222,
     "U": 0o55557, "V": 0o55552, "W": 0o55575, "X": 0o55255, "Y": 0o55222,
     "Z": 0o71247, "-": 0o00700, "_": 0o00007, ".": 0o00002, "/": 0o11244,
-    ":": 0o02020, "#": 0o57575, "(": 0o12221, ")": 0o42224,
+    ":": 0o02020, "#": 0o57575, "(": 0o12221, ")": 0o42224, "©": 0o74447, ",": 0o00024, "+": 0o02720,
+    "!": 0o22202, "?": 0o71202, "&": 0o25253, "'": 0o22000, "=": 0o07070, "@": 0o25543, "%": 0o51245,
 }
+#: Drawn for a character without a glyph, so that none is lost unseen.
+NO_GLYPH = 0o77777
 GLYPH_W, GLYPH_H, GLYPH_STEP = 3, 5, 4
 
 
@@ -398,7 +402,7 @@ def watermark(
         (F.col("_ox") >= 0) & (F.col("_ox") < cols) & (F.col("_oy") >= 0) & (F.col("_oy") < GLYPH_H)
         & (F.col("_ox") % GLYPH_STEP < GLYPH_W)
     )
-    bits = F.coalesce(F.try_element_at(font, letter), F.lit(0))
+    bits = F.when(letter == " ", 0).otherwise(F.coalesce(F.try_element_at(font, letter), F.lit(NO_GLYPH)))
     staged = staged.withColumn("_bits", F.when(inside, bits).otherwise(0)).withColumn(
         "_pos", F.when(inside, (GLYPH_H - 1 - F.col("_oy")) * 3 + 2 - F.col("_ox") % GLYPH_STEP).otherwise(0)
     )

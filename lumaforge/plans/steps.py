@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaforge.functions import derived as d
+from lumaforge.functions.validation import TRUE_WORDS
 from lumaforge.operators.registry import run_steps
 from lumaforge.operators.skew import join_counted
 from lumaforge.session import cut_lineage
@@ -154,7 +155,7 @@ def _next_size(w: Column, h: Column, a: Column) -> Column:
         return F.try_element_at(a["parameters"], F.lit(key)).try_cast("int")
 
     def flag(key: str, default: str) -> Column:
-        return F.lower(F.coalesce(F.try_element_at(a["parameters"], F.lit(key)), F.lit(default))) == "true"
+        return F.lower(F.coalesce(F.try_element_at(a["parameters"], F.lit(key)), F.lit(default))).isin(*TRUE_WORDS)
 
     def pair(cw: Column, ch: Column) -> Column:
         return F.struct(cw.cast("int").alias("w"), ch.cast("int").alias("h"))
@@ -162,8 +163,8 @@ def _next_size(w: Column, h: Column, a: Column) -> Column:
     tw, th = F.nullif(num("width"), F.lit(0)), F.nullif(num("height"), F.lit(0))
     keep = flag("maintain_aspect", "true")
     scaled = (
-        F.when(keep & tw.isNotNull(), pair(tw, F.floor(tw / (w / h))))
-        .when(keep & th.isNotNull(), pair(F.floor(th * (w / h)), th))
+        F.when(keep & tw.isNotNull(), pair(tw, F.floor(F.try_divide(tw, F.try_divide(w, h)))))
+        .when(keep & th.isNotNull(), pair(F.floor(th * F.try_divide(w, h)), th))
         .otherwise(pair(F.coalesce(tw, w), F.coalesce(th, h)))
     )
     left, top = F.coalesce(num("x"), F.lit(0)), F.coalesce(num("y"), F.lit(0))
@@ -251,3 +252,32 @@ def run_with_lineage(px: DataFrame, actions: list[dict]) -> tuple[DataFrame, Dat
         "img_id", F.col("w").alias("width"), F.col("h").alias("height"), actions_literal(actions).alias("actions")
     )
     return run_steps(px, actions), lineage(sizes)
+
+
+def step_failure(actions: Column, width: Column, height: Column) -> Column:
+    """Message of the first step that would leave an image without pixels, or null."""
+    trail = size_after(actions, width, height)
+    empty = F.filter(trail, lambda s: F.coalesce((s["w"] < 1) | (s["h"] < 1), F.lit(True)))
+    first = F.get(empty, F.lit(0))
+    return F.when((width < 1) | (height < 1), F.lit("image has no pixels")).when(
+        F.size(empty) > 0, F.concat(F.lit("step "), first["step"].cast("string"), F.lit(" ("), first["action"], F.lit(") leaves no pixels"))
+    )
+
+
+def run_with_outcomes(catalog: DataFrame, px: DataFrame, actions: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(pixels, outcomes, lineage)`` of a run in which a failing image stops nothing.
+
+    ``outcomes(asset_id, path, error)`` has every row of ``catalog(asset_id, path)``, with the reason if the image
+    was not processed; it is what :func:`batch_summary` and :func:`failed_files` take. Pixels and lineage hold the
+    other images.
+    """
+    sizes = px.where("x = 0 AND y = 0").select("img_id", F.col("w").alias("width"), F.col("h").alias("height"))
+    sizes = sizes.withColumn("actions", actions_literal(actions))
+    checked = cut_lineage(sizes.select("img_id", step_failure(F.col("actions"), F.col("width"), F.col("height")).alias("error")))
+    failed = checked.where("error IS NOT NULL").select("img_id")
+    good = px if failed.isEmpty() else px.join(failed, "img_id", "left_anti")
+    known = checked.select(F.col("img_id").alias("asset_id"), "error", F.lit(True).alias("_read"))
+    joined = catalog.select("asset_id", "path").join(known, "asset_id", "left")
+    missing = F.when(F.col("_read").isNull(), F.lit("image has no pixels"))
+    outcomes = joined.select("asset_id", "path", F.coalesce("error", missing).alias("error"))
+    return run_steps(good, actions), outcomes, lineage(sizes.join(failed, "img_id", "left_anti"))

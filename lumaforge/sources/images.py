@@ -46,23 +46,33 @@ def scan(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFr
     reader = spark.read.format("binaryFile")
     if pattern is None:
         files = reader.option("recursiveFileLookup", "true").load(folder)
-        files = files.where(F.lower(suffix(F.col("path"))).isin(*IMAGE_SUFFIXES))
+        files = image_files(files)
     else:
         files = reader.option("pathGlobFilter", pattern).load(folder)
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size_bytes"), "content")
 
 
 def load_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Decoded images ``(path, width, height, channels, data)``; a file that cannot be read has width -1."""
+    """Decoded images ``(path, width, height, channels, data)``; an image file that cannot be read has width -1.
+
+    Other files of the folder are no images and are left out.
+    """
     reader = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true")
-    return decoded(reader.load(paths))
+    return image_files(decoded(reader.load(paths)))
+
+
+def image_files(files: DataFrame) -> DataFrame:
+    """Rows whose path has the suffix of an image format."""
+    return files.where(F.lower(suffix(F.col("path"))).isin(*IMAGE_SUFFIXES))
 
 
 def decoded(files: DataFrame) -> DataFrame:
     """Flatten the image source's struct."""
+    # This source writes file:///x and percent-encodes names where the binary file source writes file:/x and
+    # names as they are. A plus sign is no space in a path.
+    plain = F.url_decode(F.replace(F.regexp_replace("image.origin", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
     return files.select(
-        # This source writes file:///x where the binary file source writes file:/x.
-        F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
+        plain.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
 

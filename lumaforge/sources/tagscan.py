@@ -56,12 +56,15 @@ def _blocks(data: bytes) -> tuple[bytes | None, bytes | None]:
 
 
 def _resource(body: bytes) -> bytes | None:
-    """The IPTC record block among the image resources of an editor segment."""
+    """The IPTC record block among the image resources of an editor segment; none if the segment is cut off."""
     at = 0
     while body[at : at + 4] == b"8BIM":
-        kind, name = struct.unpack_from(">HB", body, at + 4)
-        at += 6 + name + 1 + (name + 1) % 2
-        size = struct.unpack_from(">I", body, at)[0]
+        try:
+            kind, name = struct.unpack_from(">HB", body, at + 4)
+            at += 6 + name + 1 + (name + 1) % 2
+            size = struct.unpack_from(">I", body, at)[0]
+        except struct.error:
+            return None
         if kind == 0x0404:
             return body[at + 4 : at + 4 + size]
         at += 4 + size + size % 2
@@ -112,10 +115,10 @@ def _entries(tiff: bytes) -> Iterator[tuple]:
 
 def exif_rows(data: bytes) -> list[tuple]:
     """``(ifd, tag, str_val, int_val, rationals)`` rows; none when the block is missing or broken."""
-    tiff, _ = _blocks(data)
-    if tiff is None:
-        return []
     try:
+        tiff, _ = _blocks(data)
+        if tiff is None:
+            return []
         return [(ifd, tag, text, number, ratios) for ifd, tag, _, text, number, ratios in _entries(tiff) if tag != IPTC_TAG]
     except (struct.error, KeyError):
         return []

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lumaforge.functions.derived import suffix
 from lumaforge.operators.catalog import IMAGE_SUFFIXES
-from lumaforge.sources.images import IMAGE_SCHEMA, decoded, explode_pixels, split_decoded, with_format
+from lumaforge.sources.images import IMAGE_SCHEMA, decoded, explode_pixels, image_files, split_decoded, with_format
 
 
 def watch_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +36,7 @@ def watch_images(spark: SparkSession, folder: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    return decoded(files)
+    return image_files(decoded(files))
 
 
 def run_on_arrivals(
@@ -45,11 +45,13 @@ def run_on_arrivals(
     """Run a batch operator chain on the pixels of arriving images and keep the result as Parquet.
 
     Each micro-batch writes its own folder under ``output`` and overwrites it when it is replayed, so a
-    restart adds nothing twice. Unreadable files are left out of the pixels.
+    restart adds nothing twice. Unreadable files are recorded with their error beside it, under
+    ``<output>-rejected``.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        good, _ = split_decoded(batch)
+        good, bad = split_decoded(batch)
+        bad.write.mode("overwrite").parquet(f"{output}-rejected/batch={batch_id}")
         transform(explode_pixels(good)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return (
