@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumaforge.functions.derived import suffix
 from lumaforge.operators.catalog import IMAGE_SUFFIXES
+from lumaforge.sources.headers import header_of
 
 # Leading bytes (hex) of each format.
 MAGIC = {
@@ -21,6 +22,8 @@ MAGIC = {
 # Channel count of a decoded image -> color mode.
 MODE_OF_CHANNELS = {1: "L", 3: "RGB", 4: "RGBA"}
 DEFAULT_DPI = 72
+#: Formats that the decoder does not know, but whose header says enough for a catalog row.
+UNDECODED = ("WEBP",)
 
 # Schema of Spark's image source.
 IMAGE_SCHEMA = (
@@ -90,15 +93,22 @@ def image_id(path: Column) -> Column:
 
 
 def load_assets(files: DataFrame, images: DataFrame) -> DataFrame:
-    """Catalog rows from scanned files and decoded images, joined on the path."""
-    facts = with_format(files).select("path", "format", "size_bytes")
+    """Catalog rows from scanned files and decoded images, joined on the path.
+
+    The resolution comes from the header, as do size and mode of formats that have no decoder here (WebP).
+    """
+    facts = with_format(files).select("path", "format", "size_bytes", header_of("content").alias("_head"))
     modes = F.create_map(*[F.lit(v) for pair in MODE_OF_CHANNELS.items() for v in pair])
     heads = split_decoded(images)[0].select(
         "path", "width", "height", F.coalesce(F.try_element_at(modes, F.col("channels")), F.lit("RGB")).alias("mode")
     )
-    return facts.join(heads, "path").select(
-        image_id(F.col("path")).alias("asset_id"), "path", "format", "width", "height", "mode", "size_bytes",
-        F.lit(DEFAULT_DPI).alias("dpi_x"), F.lit(DEFAULT_DPI).alias("dpi_y"),
+    known = facts.join(heads, "path", "left").where(
+        F.col("width").isNotNull() | (F.col("format").isin(*UNDECODED) & F.col("_head.width").isNotNull())
+    )
+    return known.select(
+        image_id(F.col("path")).alias("asset_id"), "path", "format",
+        *[F.coalesce(F.col(c), F.col(f"_head.{c}")).alias(c) for c in ("width", "height", "mode")], "size_bytes",
+        *[F.coalesce(F.col(f"_head.{c}"), F.lit(DEFAULT_DPI)).alias(c) for c in ("dpi_x", "dpi_y")],
         F.lit(None).cast("string").alias("color_profile"), F.col("path").alias("original_path"),
     )
 

@@ -8,9 +8,11 @@ import pytest
 from lumaforge.functions import geometry, templates, validation
 from lumaforge.operators import neighborhood
 from lumaforge.operators.catalog import assets_from_pixels
-from lumaforge.plans import steps
+from lumaforge.operators.registry import OperatorError
+from lumaforge.plans import recipe_run, steps
 from lumaforge.plans.duplicates import find_duplicates
 from lumaforge.sources import images, tagscan
+from lumaforge.sources.headers import header
 from lumaforge.streaming.arrivals import run_on_arrivals, watch_images
 
 from conftest import png_bytes
@@ -125,3 +127,68 @@ def test_letters_without_glyph_are_drawn(spark):
     assert blank == 0
     for letter in "é©,&+!":
         assert neighborhood.watermark(px, F.lit(letter)).where("r != 9").count() > 0
+
+
+def full_catalog(spark, *paths):
+    from lumaforge.schemas import EXIF_TYPE, IPTC_TYPE
+
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "asset_id long, path string")
+    return rows.select(
+        "asset_id", "path", F.lit("PNG").alias("format"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit("RGB").alias("mode"),
+        F.lit(0).cast("long").alias("size_bytes"), F.lit(72).alias("dpi_x"), F.lit(72).alias("dpi_y"),
+        F.lit(None).cast("string").alias("color_profile"), F.lit(None).cast("string").alias("original_path"),
+        F.lit(None).cast(EXIF_TYPE).alias("exif"), F.lit(None).cast(IPTC_TYPE).alias("iptc"),
+    )
+
+
+def test_a_list_with_pixel_and_metadata_steps(spark, tmp_path):
+    catalog, px = full_catalog(spark, "/p/one.png", "/p/two.png"), pixels(spark, (8, 8), (8, 8))
+    out = recipe_run.run_recipe(catalog, px, [
+        {"name": "resize", "parameters": {"width": 120, "height": 60, "maintain_aspect": "no"}},
+        {"name": "watermark", "parameters": {"text": "<filename>", "opacity": 100}},
+        {"name": "write_metadata", "parameters": {"title": "Photo <filename>", "creator": "me"}},
+        {"name": "extract_metadata", "parameters": {"format": "json"}},
+        {"name": "save", "parameters": {"folder": str(tmp_path / "out")}},
+        {"name": "sepia", "enabled": False},
+    ])
+    rows = {r.asset_id: r for r in out.catalog.collect()}
+    assert (rows[0].width, rows[0].height) == (120, 60) and "Photo one" in str(rows[0].iptc) and "Photo two" in str(rows[1].iptc)
+    report = out.reports[0].collect()
+    assert len(report) == 2 and any("Photo one" in str(r) for r in report)
+    saved = spark.read.parquet(out.saved[0])
+    assert saved.count() == 2 * 120 * 60
+    marked = {r.img_id: r.n for r in out.pixels.where("r != 9").groupBy("img_id").agg(F.count("*").alias("n")).collect()}
+    assert set(marked) == {0, 1} and marked[0] != marked[1]
+
+
+def test_copy_and_remove_steps(spark):
+    catalog, px = full_catalog(spark, "/p/one.png", "/p/two.png"), pixels(spark, (8, 8), (8, 8))
+    first = recipe_run.run_recipe(catalog, px, [{"name": "write_metadata", "parameters": {"title": "<filename>"}}]).catalog
+    copied = recipe_run.run_recipe(first, px, [{"name": "copy_metadata", "parameters": {"source_path": "/p/one.png"}}]).catalog
+    assert {"one" in str(r.iptc) for r in copied.collect()} == {True}
+    cleared = recipe_run.run_recipe(copied, px, [{"name": "remove_metadata", "parameters": {"metadata_type": "iptc"}}]).catalog
+    assert {r.iptc for r in cleared.collect()} == {None}
+
+
+def test_recipes_are_checked_before_they_run(spark):
+    catalog, px = full_catalog(spark, "/p/one.png"), pixels(spark, (8, 8))
+    for bad in ({"name": "nothing"}, {"name": "copy_metadata"}, {"name": "extract_metadata", "parameters": {"format": "xls"}}):
+        with pytest.raises(OperatorError):
+            recipe_run.run_recipe(catalog, px, [bad])
+
+
+def test_resolution_and_sizes_come_from_the_header(spark, folder):
+    import zlib
+
+    body = b"pHYs" + struct.pack(">IIB", 11811, 11811, 1)
+    plain = (folder / "plain.png").read_bytes()
+    (folder / "plain.png").write_bytes(plain[:33] + struct.pack(">I", 9) + body + struct.pack(">I", zlib.crc32(body)) + plain[33:])
+    webp = b"VP8X" + struct.pack("<I", 10) + b"\x10\0\0\0" + (319).to_bytes(3, "little") + (199).to_bytes(3, "little")
+    (folder / "new.webp").write_bytes(b"RIFF" + struct.pack("<I", 4 + len(webp)) + b"WEBP" + webp)
+    assets = images.load_assets(images.scan(spark, str(folder)), images.load_images(spark, str(folder)))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in assets.collect()}
+    assert (rows["plain.png"].dpi_x, rows["my photo.png"].dpi_x) == (300, 72)
+    assert (rows["new.webp"].width, rows["new.webp"].height, rows["new.webp"].mode, rows["new.webp"].format) == (320, 200, "RGBA", "WEBP")
+    frame = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0\1\1\2" + struct.pack(">HH", 100, 50) + b"\0\0\xff\xc0" + struct.pack(">HBHHB", 17, 8, 30, 40, 3)
+    assert header(frame) == (40, 30, "RGB", 254, 127)
+    assert header(frame[:24]) == header(b"") == header(None) == header(b"\x89PNG\r\n\x1a\n") == (None,) * 5
