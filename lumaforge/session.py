@@ -21,7 +21,11 @@ RUNTIME_CONF = {
 
 # Settings that must be given when a session is built. Recording a Python call site for every Column call
 # costs more than planning a query with a few hundred expressions.
-BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+BUILD_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:

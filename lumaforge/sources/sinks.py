@@ -30,14 +30,12 @@ def save_format(path: Column, given: Column | None = None) -> Column:
 def save_pixels(px: DataFrame, folder: str, buckets: int = 64) -> None:
     """Pixel table as Parquet, split by a hash bucket of the image, rows of an image in scan order.
 
-    The shuffle key adds a block of pixel rows, so one huge image fills several files.
+    Rows are dealt by ranges of bucket, image and line, so files are of like size whatever the sizes of the images.
     """
     keyed = px.withColumn("bucket", F.pmod(F.xxhash64("img_id"), F.lit(buckets)).cast("int"))
-    keyed = keyed.withColumn("_block", F.floor(F.col("y") * F.col("w") / STRIP_PIXELS / 16).cast("int"))
     (
-        keyed.repartition("bucket", "_block")
+        keyed.repartitionByRange("bucket", "img_id", "y")
         .sortWithinPartitions("bucket", "img_id", "y", "x")
-        .drop("_block")
         .write.mode("errorifexists")
         .partitionBy("bucket")
         .parquet(folder)
