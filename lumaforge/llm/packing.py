@@ -194,6 +194,20 @@ def _best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) ->
     return out
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination with row exchange, without the threads that a library would start for a small matrix."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], 1)
+    for k in range(n):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        others = both[:, k].copy()
+        others[k] = 0
+        both -= np.outer(others, both[k])
+    return both[:, n:]
+
+
 def configurations(sizes: np.ndarray, amounts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Configurations and how often to use each, so that at least ``amounts`` places of each size result.
 
@@ -205,25 +219,27 @@ def configurations(sizes: np.ndarray, amounts: np.ndarray, capacity: int, rounds
         return []
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / (capacity // sizes))
-    use = inverse @ amounts
+    use = (inverse * amounts).sum(1)
     for turn in range(rounds):
-        prices = np.maximum(np.ones(n) @ inverse, 0)
+        prices = np.maximum(inverse.sum(0), 0)
         new = _best_configuration(sizes, prices, capacity).astype(float)
-        if new @ prices <= 1 + 1e-7:
+        if (new * prices).sum() <= 1 + 1e-7:
             break
-        step = inverse @ new
-        limits = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
+        step = (inverse * new).sum(1)
+        able = step > 1e-9
+        if not able.any():
+            break
+        limits = np.where(able, use / np.where(able, step, 1), np.inf)
         out = int(limits.argmin())
         columns[:, out] = new
-        if turn % 50 == 49:
-            inverse = np.linalg.inv(columns)
-        else:
-            pivot = inverse[out] / step[out]
-            inverse -= np.outer(step, pivot)
-            inverse[out] = pivot
-        use = np.maximum(inverse @ amounts, 0)
+        pivot = inverse[out] / step[out]
+        inverse -= np.outer(step, pivot)
+        inverse[out] = pivot
+        if turn % 100 == 99:  # rounding errors add up
+            inverse = _inverse(columns)
+        use = np.maximum((inverse * amounts).sum(1), 0)
     # Whole numbers: as much as the program says, rounded down; what is left is filled largest first.
-    whole = np.floor(use + 1e-6).astype(np.int64)
+    whole = np.floor(np.nan_to_num(use, posinf=0) + 1e-6).astype(np.int64).clip(0, amounts.sum())
     out = [(columns[:, j].astype(np.int64), int(whole[j])) for j in range(n) if whole[j]]
     left = amounts - columns.astype(np.int64) @ whole
     while (left > 0).any():
