@@ -7,10 +7,10 @@ softmax over the network's state; every other word belongs to one of ``TAILS`` t
 within it has ``(c + 1) / (N_t + V_t + 1)`` with the class's training tokens and distinct words, so that unknown words
 share one place per tail class and all probabilities add up to one.
 
-Training is by truncated backpropagation: documents in segments of up to ``SEGMENT`` tokens, many side by side, in
-windows of ``STEPS`` tokens; the state is carried on from window to window without its gradient. Each task trains on its share of the documents from common weights, and the
-results are averaged by tokens; ``ROUNDS`` such rounds take a fresh slice of whole documents each, one in ``SLICES``,
-so that training grows with the corpus while counts cover all of it. Scoring carries the state through the whole document.
+Training is one pass over all training rows by truncated backpropagation: whole documents, many side by side, in
+windows of ``STEPS`` tokens; the state is carried on from window to window, to the document's end, without its gradient. Each task trains on
+its share of the documents from common weights, and the results are averaged by tokens; there are ``SLICES`` such rounds, each with
+a slice of the rows of its own, and together they take every row once. Scoring carries the state through the whole document, too.
 
 Words outside the ``HEAD`` most frequent ones are looked up by a join, so no table that grows with the corpus is
 broadcast.
@@ -22,10 +22,12 @@ are read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,12 @@ CLASS_WORDS = 64
 TAILS = 16
 STATE = 16
 STEPS = 32
-SEGMENT = 512
-#: Segments side by side in training, and documents in scoring.
+#: Documents side by side in training and in scoring, and those that wait for a place in training.
 TRAIN_LANES, SCORE_LANES = 256, 1024
-ROUNDS, SLICES = 2, 8
+WAITING = 1024
+#: Tokens of a step of training, at least: short windows at the end of a task are put together.
+LEAST_TOKENS = 1024
+SLICES = 8
 RATE = 0.01
 SEED = 6
 #: Distinct words a counting task holds before it hands them on.
@@ -150,6 +154,7 @@ class Network:
         rng = np.random.default_rng(SEED)
         k, classes = vocab.modeled, vocab.classes
         self.classes = classes
+        self.tokens = 0  # that it was trained on
         inputs = k + TAILS + 1  # the modeled words, a token per tail class, and the start
         self.X = rng.normal(0, 0.1, (inputs, 3 * STATE)).astype(np.float32)
         self.U = rng.normal(0, STATE**-0.5, (STATE, 3 * STATE)).astype(np.float32)
@@ -177,9 +182,15 @@ class Network:
         return np.concatenate([[modeled + TAILS], seen[:-1]]).astype(np.int32)
 
     def run(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of the rows of ``x`` (steps by lanes), from ``h``; ``keep`` gets what going back needs."""
+        """States after each of the rows of ``x`` (steps by lanes), from ``h`` or, at a document's start, from zero.
+
+        ``keep`` gets what going back needs.
+        """
         states = np.empty((*x.shape, STATE), np.float32)
+        fresh = x == len(self.X) - 1
         for t in range(len(x)):
+            if fresh[t].any():
+                h = h * ~fresh[t][:, None]
             gx = self.X[x[t]]
             gh = h @ self.U
             zr = 1 / (1 + np.exp(-(gx[:, : 2 * STATE] + gh[:, : 2 * STATE])))
@@ -229,6 +240,7 @@ class Network:
         dU = np.zeros_like(self.U)
         dx = np.empty((*x.shape, 3 * STATE), np.float32)
         dh = np.zeros_like(ds[0])
+        fresh = x == len(self.X) - 1
         for t in range(len(x) - 1, -1, -1):
             h, z, r, n, ghn = keep[t]
             dh = dh + ds[t]
@@ -239,6 +251,8 @@ class Network:
             dgh = np.concatenate([dz, dr, dn * r], 1)
             dU += h.T @ dgh
             dh = dh * z + dgh @ self.U.T
+            if fresh[t].any():
+                dh *= ~fresh[t][:, None]
         flat = (x.reshape(-1, 1).astype(np.int64) * (3 * STATE) + np.arange(3 * STATE)).ravel()
         return {"U": dU, "X": np.bincount(flat, dx.ravel(), self.X.size).reshape(self.X.shape).astype(np.float32)}
 
@@ -280,25 +294,53 @@ class Trainer:
             v += 0.001 * (g * g * clip * clip - v)
             getattr(self.net, name)[...] -= rate * m / (np.sqrt(v) + 1e-8)
 
-    def learn(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Documents as (inputs, classes, places)."""
-        docs = sorted(docs, key=lambda d: -len(d[0]))
-        lengths = np.array([len(d[0]) for d in docs])
-        self.tokens += int(lengths.sum())
-        h = np.zeros((len(docs), STATE), np.float32)
-        for start, lanes in windows(lengths):
-            x, filled = side_by_side([d[0] for d in docs], start, lanes)
-            kind, _ = side_by_side([d[1] for d in docs], start, lanes)
-            place, _ = side_by_side([d[2] for d in docs], start, lanes)
+    def learn(self, docs: Iterable[np.ndarray]) -> None:
+        """One pass over documents, given as rows of input, class and place.
+
+        A lane goes through its document to the end, and then takes the longest of those that wait.
+        """
+        docs, waiting, number = iter(docs), [], count()
+
+        def following() -> np.ndarray | None:
+            while len(waiting) < WAITING and (doc := next(docs, None)) is not None:
+                heapq.heappush(waiting, (-len(doc), next(number), doc))
+            return heapq.heappop(waiting)[2] if waiting else None
+
+        lanes: list = []  # what is left of each lane's document
+        while len(lanes) < TRAIN_LANES and (doc := following()) is not None:
+            lanes.append(doc)
+        h = np.zeros((len(lanes), STATE), np.float32)
+        held, tokens = {}, 0
+        while lanes:
+            cells = np.zeros((len(lanes), STEPS, 3), np.int32)
+            filled = np.zeros((len(lanes), STEPS), bool)
+            for j, doc in enumerate(lanes):
+                at = 0
+                while at < STEPS and doc is not None:
+                    part = doc[: STEPS - at]
+                    cells[j, at : at + len(part)] = part
+                    at += len(part)
+                    doc = doc[len(part) :] if len(doc) > len(part) else following()
+                filled[j, :at] = True
+                lanes[j] = doc
+            size = int(filled.any(0).sum())
+            x, kind, place = np.ascontiguousarray(cells[:, :size].transpose(2, 1, 0))
+            filled = filled[:, :size].T
             keep: list = []
-            states = self.net.run(x, h[:lanes], keep)
+            states = self.net.run(x, h, keep)
             _, ds_filled, grads = self.net.output(states[filled], kind[filled], place[filled], backward=True)
             ds = np.zeros_like(states)
             ds[filled] = ds_filled
             grads |= self.net.back(x, keep, ds)
-            size = np.float32(1 / max(1, len(ds_filled)))
-            self.update({n: g * size for n, g in grads.items()})
-            h = states[-1].copy()
+            held = {n: held[n] + g for n, g in grads.items()} if held else grads
+            tokens += len(ds_filled)
+            left = [j for j, doc in enumerate(lanes) if doc is not None]
+            if tokens >= LEAST_TOKENS or not left:
+                self.update({n: g * np.float32(1 / tokens) for n, g in held.items()})
+                self.tokens += tokens
+                held, tokens = {}, 0
+            h = states[-1][left]
+            lanes = [lanes[j] for j in left]
 
 
 def _average(rows: list[tuple[float, bytes]]) -> tuple[float, bytes]:
@@ -312,26 +354,22 @@ def train(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "
     net = Network(vocab)
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(vocab)
-    for turn in range(ROUNDS):
+    for turn in range(SLICES):
         start = sc.broadcast(net.get())
 
         def run(batches, start=start):
             vocab = known.value
             net = Network(vocab)
             net.put(np.frombuffer(start.value, np.float32))
-            trainer, waiting = Trainer(net), []
-            for batch in batches:
-                for value in batch.column(0).cast(pa.binary()):
-                    at, kind = vocab.look_up(words_of(value.as_py()))
-                    whole = net.inputs_of(at, kind, vocab.modeled), kind, at % CLASS_WORDS
-                    waiting += [tuple(x[i : i + SEGMENT] for x in whole) for i in range(0, len(at), SEGMENT)]
-                    while len(waiting) >= 4 * TRAIN_LANES:  # of like length, so that few lanes run empty
-                        waiting.sort(key=lambda d: len(d[0]))
-                        trainer.learn(waiting[-TRAIN_LANES:])
-                        del waiting[-TRAIN_LANES:]
-            waiting.sort(key=lambda d: len(d[0]))
-            for i in range(0, len(waiting), TRAIN_LANES):
-                trainer.learn(waiting[i : i + TRAIN_LANES])
+            trainer = Trainer(net)
+
+            def inputs():
+                for batch in batches:
+                    for value in batch.column(0).cast(pa.binary()):
+                        at, kind = vocab.look_up(words_of(value.as_py()))
+                        yield np.column_stack([net.inputs_of(at, kind, vocab.modeled), kind, at % CLASS_WORDS])
+
+            trainer.learn(inputs())
             if trainer.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([float(trainer.tokens)]), pa.array([net.get()], pa.binary())], ["n", "weights"])
 
@@ -348,7 +386,9 @@ def train(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "
         groups = max(1, int(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
         found = trained.repartition(groups).mapInArrow(mean, "n double, weights binary").collect()
         if found:
-            net.put(np.frombuffer(_average([tuple(r) for r in found])[1], np.float32))
+            tokens, mean_weights = _average([tuple(r) for r in found])
+            net.put(np.frombuffer(mean_weights, np.float32))
+            net.tokens += int(tokens)
     return net
 
 

@@ -275,6 +275,32 @@ def test_lm_state_is_carried_over_windows(monkeypatch):
     assert np.allclose(long, [lm_scoring.log_likelihoods(net, [d])[0] for d in docs], rtol=1e-4)
 
 
+def test_lm_learns_from_all_training_rows(spark, odd):
+    frame = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text"))
+    frame = frame.unionByName(spark.createDataFrame([(None, "no id"), (None, None)], "doc_id long, text string"))
+    vocab = lm_scoring.vocabulary(lm_scoring.count_words(frame))
+    assert lm_scoring.train(frame, vocab).tokens == vocab.tokens == sum(len(brute_tokens(r.text)) for r in frame.collect())
+
+
+def test_lm_training_carries_the_state_through_whole_documents(monkeypatch):
+    words = [b"", b"a", b"b", b"c"]
+    vocab = lm_scoring.Vocabulary(words, np.array([2, 5, 4, 3]), 14, 4, np.zeros(lm_scoring.TAILS), np.zeros(lm_scoring.TAILS))
+    net = lm_scoring.Network(vocab)
+    net.C[:] = np.random.default_rng(1).normal(size=net.C.shape)
+    docs = []
+    for text in ([b"a", b"b", b"c"] * 500, [b"a"], [], [b"zz", b"b"] * 25, [b"c"] * 31, [b"b"] * 40):
+        at, kind = vocab.look_up(text)
+        docs.append((net.inputs_of(at, kind, vocab.modeled), kind, at % lm_scoring.CLASS_WORDS))
+    want, found, output = lm_scoring.log_likelihoods(net, docs).sum(), [], net.output
+    monkeypatch.setattr(lm_scoring, "TRAIN_LANES", 2)
+    monkeypatch.setattr(lm_scoring.Trainer, "update", lambda self, grads: None)
+    monkeypatch.setattr(net, "output", lambda *a, **b: (found.append(output(*a, **b)), found[-1])[1])
+    trainer = lm_scoring.Trainer(net)
+    trainer.learn(np.column_stack(d) for d in docs)
+    assert trainer.tokens == sum(len(d[0]) for d in docs)
+    assert np.isclose(sum(f[0].sum() for f in found), want, rtol=1e-4)
+
+
 def test_lm_without_training_rows(docs):
     import pyspark.sql.functions as F
 
