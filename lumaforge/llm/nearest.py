@@ -6,14 +6,15 @@ squared true one follows a chi-square law. So once the next projected distance i
 than the k-th best so far would lie there with a probability below ``1 - CONFIDENCE``, a search may stop.
 
 The top of the kd-tree is fitted on a bounded sample, and every vector is dealt into its cells; a cell that got
-more rows than ``CELL_ROWS``, because of copies for instance, is split by a hash of the id. In a cell's task the
+more rows than ``CELL_ROWS``, because of copies for instance, is split by a hash of the row. In a cell's task the
 tree goes on to leaves of ``LEAF_ROWS``. A query first searches its own cell. The bound found there says which
 other cells it must visit; their candidates are merged. Leaves are visited by rising projected distance and
 verified in full precision with the original vectors.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, neither do rows without an
-id; repeated rows count once, and different vectors with the same id are each a row. Vectors are compared with those of the same dimension. Ties go to the
-smaller id. Only the two named columns are read.
+id; rows repeated with id and vector count once, and different vectors with the same id are each a row, as candidates and
+as queries, whose rows then bear the same ``query_id``; a vector is never a neighbour of its own id. Vectors are compared with those of the
+same dimension. Ties go to the smaller id. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,8 +125,7 @@ class Cell:
     """One cell's vectors with the lower part of the tree."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        ids, first = np.unique(ids, return_index=True)
-        self.ids, self.vectors, self.longest = ids, vectors[first], longest
+        self.ids, self.vectors, self.longest = ids, vectors, longest
         points = project(self.vectors, longest)
         _, leaves = split_tree(points, LEAF_ROWS)
         self.order = np.concatenate(leaves)
@@ -213,6 +214,7 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
 
     def assign(batches):
         trees, sizes = shared.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for dim, at in _split_dims(batch):
                 part = batch.take(pa.array(at))
@@ -221,9 +223,13 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
                 cell = first + locate(nodes, points)
                 columns = [part.column("id"), part.column("v"), pa.array(cell), part.column("q")]
                 columns.append(pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), PROJECTED).cast(pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "q", "p"])
+                columns.append(pa.array(row + np.arange(len(at))))
+                row += len(at)
+                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "q", "p", "row"])
 
-    placed = stored(rows.mapInArrow(assign, "id long, v array<double>, cell long, q boolean, p array<double>"), "cells")
+    # Repeated rows become one, and what is left is numbered, so that vectors with the same id stay apart.
+    once = rows.groupBy("id", "v").agg(F.max("q").alias("q")).select("id", "v", "q", F.size("v").alias("dim"))
+    placed = stored(once.mapInArrow(assign, "id long, v array<double>, cell long, q boolean, p array<double>, row long"), "cells")
 
     # One row per cell: at most total / CELL_ROWS times a small factor, or as many as the sample allows.
     extent = [f(F.col("p")[d]).alias(f"{name}{d}") for name, f in (("lo", F.min), ("hi", F.max)) for d in range(PROJECTED)]
@@ -239,11 +245,11 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
     located = placed.join(F.broadcast(table), "cell")
     # A group is one part of a cell with one block of queries, so both sides are bounded.
     vectors = located.select(
-        "cell", F.pmod(F.xxhash64("id"), "splits").cast("int").alias("split"),
+        "cell", F.pmod(F.xxhash64("row"), "splits").cast("int").alias("split"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block"), "id", "v",
     )
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("block")
-    queries = located.where("q").select("id", "v", "cell", "splits", block)
+    block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int").alias("block")
+    queries = located.where("q").select("row", "id", "v", "cell", "splits", block)
 
     def inside(left: pa.Table, right: pa.Table) -> pa.Table:
         """Best candidates of one cell part for the queries sent to it."""
@@ -253,23 +259,24 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
             matrix = _matrix(left.column("v").combine_chunks())
             cell = Cell(left.column("id").to_numpy(), matrix, sizes[matrix.shape[1]][1])
             q = _matrix(right.column("w").combine_chunks())
-            ids = right.column("query").to_numpy()
+            ids, numbers = right.column("query").to_numpy(), right.column("number").to_numpy()
             for i, (found, scores) in enumerate(cell.search(ids, q, k, right.column("bound").to_numpy())):
-                out.append((np.full(len(found), ids[i]), found, scores))
-        ids, found, scores = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"query_id": pa.array(ids), "vec_id": pa.array(found), "score": pa.array(scores)})
+                out.append((np.full(len(found), numbers[i]), np.full(len(found), ids[i]), found, scores))
+        none = np.empty(0, np.int64)
+        number, ids, found, scores = (np.concatenate(x) for x in zip(*out)) if out else (none, none, none, np.empty(0))
+        return pa.table({"row": pa.array(number), "query_id": pa.array(ids), "vec_id": pa.array(found), "score": pa.array(scores)})
 
-    schema = "query_id long, vec_id long, score double"
+    schema = "row long, query_id long, vec_id long, score double"
 
     group = ["cell", "split", "block"]
 
     def searched(asked: DataFrame) -> DataFrame:
-        asked = asked.toDF("to_cell", "to_split", "to_block", "query", "w", "bound")
+        asked = asked.toDF("to_cell", "to_split", "to_block", "number", "query", "w", "bound")
         return vectors.groupBy(*group).cogroup(asked.groupBy("to_cell", "to_split", "to_block")).applyInArrow(inside, schema)
 
     own = queries.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).withColumn("bound", F.lit(float("-inf")))
-    first = stored(best(searched(own.select(*group, "id", "v", "bound")), k), "own")
-    reached = first.groupBy("query_id").agg(F.when(F.count("vec_id") >= k, F.min("score")).alias("bound"))
+    first = stored(best(searched(own.select(*group, "row", "id", "v", "bound")), k), "own")
+    reached = first.groupBy("row").agg(F.when(F.count("vec_id") >= k, F.min("score")).alias("bound"))
 
     def visit(batches):
         numbers, dims, splits, low, high, sizes = layout.value
@@ -289,18 +296,18 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
                 for start in range(0, len(who), 20_000):
                     w = slice(start, start + 20_000)
                     pick = part.take(pa.array(who[w]))
-                    columns = [pa.array(numbers[where[w]]), pa.array(split[w].astype(np.int32)), pick.column("block"), pick.column("id"), pick.column("v"), pick.column("bound")]
-                    yield pa.RecordBatch.from_arrays(columns, ["cell", "split", "block", "id", "v", "bound"])
+                    columns = [pa.array(numbers[where[w]]), pa.array(split[w].astype(np.int32)), pick.column("block"), pick.column("row"), pick.column("id"), pick.column("v"), pick.column("bound")]
+                    yield pa.RecordBatch.from_arrays(columns, ["cell", "split", "block", "row", "id", "v", "bound"])
 
-    bounded = queries.join(reached, queries["id"] == reached["query_id"], "left").select(
-        "id", "v", "cell", "block", F.size("v").alias("dim"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound")
+    bounded = queries.join(reached, "row", "left").select(
+        "row", "id", "v", "cell", "block", F.size("v").alias("dim"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound")
     )
-    others = searched(bounded.mapInArrow(visit, "cell long, split int, block int, id long, v array<double>, bound double"))
-    return best(first.select("query_id", "vec_id", "score").unionByName(others), k)
+    others = searched(bounded.mapInArrow(visit, "cell long, split int, block int, row long, id long, v array<double>, bound double"))
+    return best(first.select("row", "query_id", "vec_id", "score").unionByName(others), k).drop("row")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best candidates of each query; Spark cuts to ``k`` before the shuffle, too."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("row", "query_id", "rank", "vec_id", "score")

@@ -286,6 +286,25 @@ def test_nearest_over_many_cells(spark, monkeypatch):
     assert sum(len(got[i] & {j for j, _ in top}) for i, top in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_nearest_with_repeated_queries_and_shared_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    rows += [rows[20]] * 3 + [(40, rng.normal(size=8).tolist()), (7, rng.normal(size=8).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nearest.search(frame, F.col("vec_id") % 20 == 0).collect():
+        assert (r.rank, r.vec_id, round(r.score, 9)) not in got[r.query_id]
+        got[r.query_id].add((r.rank, r.vec_id, round(r.score, 9)))
+    once = [(i, np.array(v)) for i, v in {(i, tuple(v)) for i, v in rows}]
+    want = collections.defaultdict(set)
+    for i, q in once:
+        if i % 20 == 0:
+            scores = sorted((-float((v * q).sum()), j) for j, v in once if j != i)
+            want[i] |= {(k + 1, j, round(-x, 9)) for k, (x, j) in enumerate(scores[:20])}
+    assert len(got[20]) == 20 and len(got[40]) == 40 and {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in want.items()}
+    assert sum(len({x[1:] for x in got[i]} & {x[1:] for x in want[i]}) for i in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_nearest_of_nothing(spark):
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
