@@ -3,7 +3,8 @@
 All visible text is kept, in order: navigation, advertisements and footers as well as articles. Blocks start on
 lines of their own, paragraphs, headings, lists and tables stand apart by a blank line, list items have their
 bullet or number and are indented by depth, table cells are padded to the width of their column, and ``pre`` keeps
-its white space. Invisible are the head, scripts, styles, templates, embedded media, elements that are hidden by an
+its white space. Text in a table but outside its cells stands before the table, as browsers show it. Formulas are read in order; of inline drawings
+the text elements are kept. Invisible are the head, scripts, styles, templates, embedded media, elements that are hidden by an
 attribute or an inline style, closed dialogs, and closed details but for their summary.
 
 A null or empty page gives an empty text; text without any tag is one block. Markup that is broken off or badly
@@ -25,7 +26,14 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea xmp iframe noembed noframes".split())
 HEAD_ONLY = set("base basefont bgsound link meta noscript script style template title head html".split())
-UNSEEN = set("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist area map".split())
+UNSEEN = set("head script style title template noscript iframe noembed noframes object audio video canvas datalist area mphantom".split())
+#: Not seen within a drawing; elements whose text it shows; tags that end an unclosed drawing or formula; what may hold them all the same.
+DRAWING_UNSEEN = {"desc", "defs", "metadata"}
+DRAWING_TEXT = {"text", "foreignobject"}
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Formula elements whose children stand apart.
+SPACED = set("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtr".split())
 APART = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu xmp".split())
 BLOCKS = APART | set(
     "html body address article aside center details dialog dir div dd dt fieldset figcaption footer form header "
@@ -60,6 +68,7 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.IGNORECASE)
 
@@ -78,6 +87,8 @@ class Node:
             return False
         if parent is not None and parent.tag == "details" and "open" not in parent.attributes and self.tag != "summary":
             return False
+        if parent is not None and parent.tag in ("semantics", "maction") and self is not next(c for c in parent.children if isinstance(c, Node)):
+            return False
         return not _INVISIBLE.search(a.get("style", ""))
 
 
@@ -135,6 +146,10 @@ def build(page: str) -> Node:
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             cut(len(stack) - 1)
+        foreign = bool(places["svg"] or places["math"]) and innermost({"svg", "math"}) > innermost(HOLDS_HTML)
+        while foreign and tag in BREAKS_OUT:
+            close({"svg", "math"}, HOLDS_HTML)
+            foreign = innermost({"svg", "math"}) > innermost(HOLDS_HTML)
         if tag in ENDS_P:
             close({"p"}, CELLS | {"table", "button", "caption", "object"})
         if tag in ENDS:
@@ -148,6 +163,8 @@ def build(page: str) -> Node:
         add(node)
         if tag in VOID:
             continue
+        if (foreign or tag in ("svg", "math")) and m["rest"].endswith("/") and not _UNQUOTED.search(m["rest"]):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.IGNORECASE).search(page, at)
             node.children.append(html.unescape(page[at : end.start() if end else len(page)]) if tag == "textarea" else page[at : end.start() if end else len(page)])
@@ -196,6 +213,7 @@ class Flow:
         self.gap = max(self.gap, gap, 1)
 
     def blocks(self, lines: list[str]) -> None:
+        self.end_line(1)
         for line in lines:
             self.current = [line]
             self.end_line(1)
@@ -255,6 +273,7 @@ def render(root: Node) -> str:
     tables: list[Table] = []
     lists: list[list] = []
     kept = 0  # open elements that keep white space
+    drawing = ""  # the innermost of svg, text and foreignobject, within a drawing
 
     def leave_block(gap):
         return lambda: flows[-1].end_line(gap)
@@ -268,16 +287,27 @@ def render(root: Node) -> str:
         node, parent = item
         flow = flows[-1]
         if isinstance(node, str):
-            if parent is not None and parent.tag == "details" and "open" not in parent.attributes:
+            if parent is not None and parent.tag == "details" and "open" not in parent.attributes or drawing == "svg":
                 continue
             if kept:
                 flow.literal(node.replace("\r\n", "\n"))
             elif parent is None or parent.tag not in GROUPS | {"table", "tr"} | LISTS or node.strip():
                 flow.write(node)
             continue
-        if not node.visible(parent):
+        if not node.visible(parent) or drawing in ("svg", "text") and node.tag in DRAWING_UNSEEN:
             continue
         tag, after = node.tag, []
+        if tag == "svg" or drawing == "svg" and tag in DRAWING_TEXT:
+
+            def drawn(was=drawing):
+                nonlocal drawing
+                drawing = was
+                flows[-1].write(" ")
+
+            after.append(drawn)
+            drawing = tag
+        if drawing and (tag in DRAWING_TEXT or tag == "tspan" and node.attributes.keys() & {"x", "y", "dy"}) or parent is not None and parent.tag in SPACED:
+            flow.write(" ")
         if tag == "br":
             flow.end_line(1, keep=True)
             continue

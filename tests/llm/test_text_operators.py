@@ -329,6 +329,22 @@ def test_html_layout(markup, text):
     assert html_text.extract(markup) == text
 
 
+@pytest.mark.parametrize(
+    "markup,text",
+    [
+        ("<table><tr><td>a</td></tr>stray <a href=x>More</a></table>z", "stray More\na\n\nz"),
+        ("<table><tr><td>a</td></tr>left <b>open</b>", "left open\na"),
+        ("x <math><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/></math> y", "x a= 1 2 y"),
+        ("<math><semantics><mi>a</mi><annotation>no</annotation></semantics></math>b", "ab"),
+        ("a <svg><title>no</title><defs><text>no</text></defs><path d='x'/><g>no<text>Q1</text><text x=1>Q2<tspan dy=1>low</tspan></text></g></svg>b", "a Q1 Q2 low b"),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg><svg viewBox='0'><path><p>out", "in\n\nout"),
+        ("<map name=m><a href=x>here</a><area alt=no></map> there", "here there"), ("<desc>d</desc> <text>t</text>", "d t"),
+    ],
+)
+def test_html_text_outside_cells_in_formulas_drawings_and_maps(markup, text):
+    assert html_text.extract(markup) == text
+
+
 def test_html_keeps_all_visible_words_and_any_depth(spark):
     deep = "<div><p><table><tr><td>" * 3_000 + "core"
     assert html_text.extract(deep).split() == ["core"]
