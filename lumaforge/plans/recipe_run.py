@@ -13,6 +13,7 @@ from lumaforge.operators.catalog import assets_from_pixels, template_variables
 from lumaforge.operators.neighborhood import watermark_template
 from lumaforge.operators.registry import ANCHORS, OPERATORS, Operator, OperatorError, Param, Registry
 from lumaforge.plans import exports
+from lumaforge.plans.steps import actions_literal, step_failure
 from lumaforge.sources.sinks import save_pixels
 from lumaforge.session import cut_lineage
 
@@ -24,10 +25,15 @@ REPORTS = {
 
 @dataclass
 class State:
-    """What the steps hand on; ``reports`` are the tables of extract steps, ``saved`` the folders of save steps."""
+    """What the steps hand on; ``reports`` are the tables of extract steps, ``saved`` the folders of save steps.
+
+    ``failed(asset_id, path, message)`` are the images that the list cannot be run on; ``left_out`` are their catalog rows.
+    """
 
     catalog: DataFrame
     pixels: DataFrame
+    failed: DataFrame
+    left_out: DataFrame
     reports: list[DataFrame] = field(default_factory=list)
     saved: list[str] = field(default_factory=list)
 
@@ -57,9 +63,10 @@ def _remove_metadata(state: State, metadata_type, preserve_basic) -> None:
 
 
 def _copy_metadata(state: State, source_path, metadata_type, overwrite) -> None:
-    """Copy from one image to all others; where the source is missing nothing changes."""
+    """Copy from one image to all others; where the source is missing nothing changes. It may be one that failed."""
+    known = state.catalog.unionByName(state.left_out.where(F.col("path") == source_path))
     requests = state.catalog.where(F.col("path") != source_path).select("asset_id", F.lit(source_path).alias("source_path"))
-    changed = edits.copy_metadata(state.catalog, requests, metadata_type, overwrite).drop("error")
+    changed = edits.copy_metadata(known, requests, metadata_type, overwrite).drop("error")
     rest = state.catalog.where(~F.coalesce(F.col("path") != source_path, F.lit(False)))
     state.catalog = cut_lineage(changed.select(state.catalog.columns).unionByName(rest))
 
@@ -96,24 +103,47 @@ _add("extract_metadata", "Extract Metadata", _extract_metadata, "metadata export
 _add("save", "Save Image", _save, "output", "Write pixels and bring the catalog in line", folder=Param("str", required=True))
 
 
+def _without_failing(catalog: DataFrame, px: DataFrame, actions: list[dict]) -> State:
+    """The state before the first step: images that a step would leave without pixels are taken out, with a message.
+
+    Rows without pixels fail, too, unless the list has metadata steps only.
+    """
+    sizes = px.where("x = 0 AND y = 0").select(
+        F.col("img_id").alias("asset_id"), F.lit(True).alias("_read"),
+        (step_failure(actions_literal(actions), F.col("w"), F.col("h")) if actions else F.lit(None).cast("string")).alias("message"),
+    )
+    message = F.col("message")
+    if any(a["name"] not in STEPS.names() or a["name"] in ("watermark", "save") for a in actions):
+        message = F.coalesce(message, F.when(F.col("_read").isNull(), F.lit("image has no pixels")))
+    joined = catalog.select("asset_id", "path").join(sizes, "asset_id", "full")
+    failed = cut_lineage(joined.select("asset_id", "path", message.alias("message")).where("message IS NOT NULL"))
+    ids = failed.select("asset_id")
+    if failed.isEmpty():
+        return State(catalog, px, failed, catalog.limit(0))
+    good = px.join(ids.withColumnRenamed("asset_id", "img_id"), "img_id", "left_anti").select(px.columns)
+    return State(catalog.join(ids, "asset_id", "left_anti").select(catalog.columns), good, failed, catalog.join(ids, "asset_id", "left_semi").select(catalog.columns))
+
+
 def run_recipe(catalog: DataFrame, px: DataFrame, actions: list[dict]) -> State:
     """Apply enabled actions ``{name, parameters, enabled}`` in order to a catalog and its pixels.
 
-    Names and parameters are checked before anything runs.
+    Names and parameters are checked before anything runs. Images that the list cannot be run on are neither in the
+    catalog nor among the pixels that come out, but in ``failed``, with the reason.
     """
-    state = State(catalog, px)
     wanted = [a for a in actions if a.get("enabled", True)]
     for a in wanted:
         op = STEPS.get(a["name"]) if a["name"] in STEPS.names() else OPERATORS.get(a["name"])
         op.validated(a.get("parameters", {}))
         if a["name"] == "copy_metadata" and not a.get("parameters", {}).get("source_path"):
             raise OperatorError("source_path: a value is required")
+    state = _without_failing(catalog, px, wanted)
+    before = state.pixels
     for a in wanted:
         if a["name"] in STEPS.names():
             STEPS.get(a["name"])(state, **a.get("parameters", {}))
             continue
         op = OPERATORS.get(a["name"])
-        if op.rereads and state.pixels is not px:
+        if op.rereads and state.pixels is not before:
             state.pixels = cut_lineage(state.pixels)
         state.pixels = op(state.pixels, **a.get("parameters", {}))
     return state

@@ -161,6 +161,28 @@ def test_a_list_with_pixel_and_metadata_steps(spark, tmp_path):
     assert set(marked) == {0, 1} and marked[0] != marked[1]
 
 
+def test_a_failing_image_leaves_a_list_with_metadata_steps_with_its_message(spark, tmp_path):
+    catalog, px = full_catalog(spark, "/p/one.png", "/p/small.png", "/p/flat.png", "/p/none.png"), pixels(spark, (8, 8), (2, 2), (300, 1))
+    out = recipe_run.run_recipe(catalog, px, [
+        {"name": "write_metadata", "parameters": {"title": "<filename>"}}, {"name": "crop", "parameters": {"x": 5, "y": 0}},
+        {"name": "resize", "parameters": {"width": 1}}, {"name": "extract_metadata"}, {"name": "save", "parameters": {"folder": str(tmp_path / "out")}},
+    ])
+    assert {r.path: r.message for r in out.failed.collect()} == {
+        "/p/small.png": "step 2 (crop) leaves no pixels", "/p/flat.png": "step 3 (resize) leaves no pixels", "/p/none.png": "image has no pixels",
+    }
+    assert [r.path for r in out.catalog.collect()] == ["/p/one.png"] and out.reports[0].count() == 1
+    assert {r.img_id for r in out.pixels.collect()} == {0} == {r.img_id for r in spark.read.parquet(out.saved[0]).collect()}
+    marked = recipe_run.run_recipe(catalog, px, [{"name": "write_metadata", "parameters": {"title": "<filename>"}}])
+    assert marked.failed.isEmpty() and marked.catalog.count() == 4
+    assert recipe_run.run_recipe(catalog, px, []).pixels.count() == px.count()
+    unlisted = recipe_run.run_recipe(catalog.where("asset_id = 0"), px, [{"name": "crop", "parameters": {"x": 5}}])
+    assert [(r.asset_id, r.path) for r in unlisted.failed.collect()] == [(1, None)]
+    copied = recipe_run.run_recipe(marked.catalog, px, [
+        {"name": "crop", "parameters": {"x": 5, "y": 0}}, {"name": "copy_metadata", "parameters": {"source_path": "/p/small.png"}},
+    ])
+    assert {r.path: "small" in str(r.iptc) for r in copied.catalog.collect()} == {"/p/one.png": True, "/p/flat.png": True}
+
+
 def test_copy_and_remove_steps(spark):
     catalog, px = full_catalog(spark, "/p/one.png", "/p/two.png"), pixels(spark, (8, 8), (8, 8))
     first = recipe_run.run_recipe(catalog, px, [{"name": "write_metadata", "parameters": {"title": "<filename>"}}]).catalog
