@@ -7,7 +7,8 @@ text is not averaged away. Training knows only whole documents' labels: it start
 document's label, then keeps, for toxic documents, the windows it finds worst, and for clean ones those that it
 gets most wrong, along with random ones.
 
-Training weighs both labels alike, and the share of toxic ones among all training labels then sets the bias.
+Training weighs both labels alike, and the share of toxic ones among all labelled training documents then sets the bias; labels
+whose document is missing or null count for nothing.
 The classifier is fitted in one task on at most ``TRAIN_ROWS`` labelled documents of each label. Since the output
 is linear in the mean, a word adds one number, which scoring looks up.
 
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaforge.llm.tables import stored
+
 #: Labelled documents of each label used for fitting, at most.
 TRAIN_ROWS = 3_000
 THRESHOLD = 0.7
@@ -180,7 +183,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
         owners.append(np.full(len(rows), k))
     labels = np.asarray(labels, np.int64)
     if not windows or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), 0.0, 0.0)
+        return Model(np.zeros(BUCKETS), -50.0, 0.0)
     windows, owner, lengths = np.concatenate(windows), np.concatenate(owners), np.concatenate(lengths)
     toxic = labels[owner] == 1
     gram_owner, gram_cell = grams(list(index))
@@ -254,12 +257,13 @@ def train(
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     if where is not None:
         known = known.withColumnRenamed("key", key).where(where).withColumnRenamed(key, "key")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    known = stored(known.join(rows.select("key"), "key", "left_semi"), "labelled")
     share = known.agg(F.avg("label")).first()[0]
     sample = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("key"), "key").limit(train_rows)
         sample = part if sample is None else sample.unionByName(part)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     chosen = rows.join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
 
     def run(batches):

@@ -200,6 +200,18 @@ def test_toxicity_edges(spark, docs, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_sample_is_of_documents_that_are_there(spark, monkeypatch):
+    rows = [(i, "you rotten idiot" if i % 2 else "a calm sunny day") for i in range(40)] + [(i, None) for i in range(40, 80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if i < 40 else 1) for i in range(2_000)], "doc_id long, toxic int")
+    want = toxicity.train(frame, labels.where("doc_id < 40"), train_rows=10)
+    got = toxicity.train(frame, labels, train_rows=10)
+    assert (got.empty, got.bias) == (want.empty, want.bias) and got.empty == 0.5 and np.array_equal(got.weight, want.weight)
+    for label in (0, 1):
+        one = toxicity.train(frame, labels.where(f"doc_id < 40 AND toxic = {label}"))
+        assert {r.score < 1e-9 for r in toxicity.score(frame, one).collect()} == {True}
+
+
 def brute_tokens(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()) + [b""]
 
