@@ -270,8 +270,10 @@ def merge_metadata(spark, sf):
     t.with_tables(
         "cat",
         """
-        SELECT asset_id, path, format, 5 AS width, 6 AS height, 'RGBA' AS mode, dpi_x, dpi_y, original_path
-        FROM cat WHERE asset_id IN (SELECT vec_id FROM embeddings)
+        SELECT asset_id, path, format, CASE WHEN vec_id IS NULL THEN width ELSE 5 END AS width,
+          CASE WHEN vec_id IS NULL THEN height ELSE 6 END AS height, CASE WHEN vec_id IS NULL THEN mode ELSE 'RGBA' END AS mode,
+          coalesce(dpi_x, 72) AS dpi_x, coalesce(dpi_y, 72) AS dpi_y, original_path
+        FROM cat LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) AS e ON vec_id = asset_id
         """,
     ),
 )

@@ -21,6 +21,14 @@ def test_query_matches_sql(spark, con, name):
     assert verdict in ("ok", "rows-only"), verdict
 
 
+@pytest.mark.parametrize("name", ["assets_from_pixels", "merge_metadata", "check_assets", "batch_summary", "failed_files"])
+def test_rows_without_counterpart(spark, name):
+    """At this size half of the documents have no embedding."""
+    sf_dir = "/root/testdata/sf0.01"
+    verdict, _ = compare(spark, connect(sf_dir), sf_dir, name)
+    assert verdict == "ok", verdict
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
