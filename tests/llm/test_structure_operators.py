@@ -27,7 +27,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(i, t, i, "s") for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], 1, "s")]
-    return spark.createDataFrame(rows, "doc_id long, text string, length int, id string").cache()
+    return spark.createDataFrame(rows, "doc_id long, text string, length int, id string")
 
 
 def check_sequences(rows, capacity=packing.CAPACITY):

@@ -26,12 +26,12 @@ ODD_TEXTS = [
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns that clash with names used inside."""
     rows = [(i, t, "en", "x", 1, "y") for i, t in enumerate(ODD_TEXTS)] + [(5, "a b", "fr", "x", 1, "y"), (None, "no id", None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, key string, n_words int, row string").cache()
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, key string, n_words int, row string")
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.read.parquet(f"{SF_DIR}/documents.parquet").cache()
+    return spark.read.parquet(f"{SF_DIR}/documents.parquet")
 
 
 def test_bpe_equals_library(odd, docs):
