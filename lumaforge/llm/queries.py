@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaforge.llm import bpe, chat, html_text, language_id, lm_scoring, nearest, ngram_join, packing, quality_rules, toxicity
+from lumaforge.llm import bpe, chat, html_text, language_id, lm_scoring, nearest, ngram_join, packing, quality_rules, resampling, token_counts, toxicity, whitening
 from lumaforge.llm.registry import query
 from lumaforge.llm.tables import table
 
@@ -122,3 +122,44 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+RESAMPLING_SQL = r"""
+WITH texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+said AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+uses AS (SELECT kind, id, unnest(words) AS word FROM said),
+shifts AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+             lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+spelled AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM uses)),
+coded AS (SELECT word, list_transform(range(length(h) // 2), lambda i:
+            (('0x' || substr(h, (2 * i + 1)::INTEGER, 2))::BIGINT)) AS bytes FROM spelled),
+hashed AS (SELECT word, xor(list_reduce(list_concat([4294967295], bytes),
+             lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM coded, shifts),
+counts AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM uses JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT sum(s)::BIGINT AS s_all, sum(t)::BIGINT AS t_all FROM counts),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS g FROM counts, sums),
+weights AS (SELECT id, sum(g)::BIGINT AS weight FROM uses JOIN hashed USING (word) JOIN gain USING (bucket) WHERE kind = 0 GROUP BY id),
+scored AS (SELECT id AS doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+           FROM said LEFT JOIN weights USING (id) WHERE kind = 0),
+placed AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, n_features AS n_words, weight, score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END::BIGINT AS rank
+FROM placed
+"""
+
+
+@query(RESAMPLING_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))

@@ -20,9 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as columnar files into the shared checkpoint folder and continue from there.
 
-    Lost executors cost nothing then, since the files outlive them, and later reads prune columns.
+    Lost executors cost nothing then, since the files outlive them, and later reads prune columns. The files go when
+    :func:`release` is called, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that :func:`stored` returned and that nothing reads any more."""
+    for df in frames:
+        system, place = _file_system(df.sparkSession, df._stored_at)
+        system.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, whatever its scheme."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
