@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumaforge.operators import components, hamming, skew
 from lumaforge.operators import perceptual as ph
-from lumaforge.operators import skew
 
 
 def signed(v):
@@ -59,28 +59,100 @@ def clustered(seed, n=120):
 @pytest.mark.parametrize("limit,depth", [(2000, 3), (3, 3), (3, 1)])
 @pytest.mark.parametrize("threshold", [0, 5, 11])
 def test_groups_equal_sequential_scan(spark, threshold, limit, depth):
+    """With no component small enough for one task, the parallel rounds decide."""
     values = clustered(threshold)
-    got = groups(spark, values, threshold, bucket_limit=limit, max_depth=depth)
+    got = groups(spark, values, threshold, bucket_limit=limit, max_depth=depth, component_rows=0)
     assert got == greedy(values, threshold)
 
 
-@pytest.mark.parametrize("limit,depth", [(2000, 3), (2, 3), (2, 2)])
-def test_pairs_equal_brute_force_once_each(spark, limit, depth):
+@pytest.mark.parametrize("component_rows", [3, 50_000])
+@pytest.mark.parametrize("threshold", [0, 5, 16, 30])
+def test_groups_by_components_equal_sequential_scan(spark, threshold, component_rows):
+    values = clustered(threshold + 1)
+    assert groups(spark, values, threshold, component_rows=component_rows) == greedy(values, threshold)
+
+
+def drifting(n, seed=4):
+    """Each hash differs from the one before in three bits that it does not share with the one before that."""
+    rnd, out, last = random.Random(seed), [0], []
+    while len(out) < n:
+        bits = rnd.sample([b for b in range(64) if b not in last], 3)
+        out.append(out[-1] ^ sum(1 << b for b in bits))
+        last = bits
+    return list(dict.fromkeys(out))
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_chain_of_drifting_hashes_takes_logarithmic_rounds(spark, shuffled):
+    values = drifting(2000)
+    if shuffled:
+        random.Random(1).shuffle(values)
+    distinct = ph.cut_lineage(ph.distinct_hashes(frame(spark, values)))
+    rounds = []
+    got = {r.ord: r.leader for r in ph.find_leaders(distinct, 3, small_edges=0, rounds=rounds).collect()}
+    want = {m: lead for lead, members in greedy(values, 3).items() for m in members if m != lead}
+    assert got == want and len(rounds) <= 12
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_a_star_a_ring_and_a_path(spark, small):
+    edges = [(0, k) for k in range(1, 30)] + [(100 + k, 100 + (k + 1) % 40) for k in range(40)] + [(500 - k, 499 - k) for k in range(60)] + [(7, 7)]
+    frame_ = ph.cut_lineage(spark.createDataFrame(edges, "a long, b long"))
+    got = {r.id: r.component for r in components.connected(frame_, small).collect()}
+    want = {k: 0 for k in range(30)} | {100 + k: 100 for k in range(40)} | {500 - k: 440 for k in range(61)}
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold,tile", [(5, 4096), (5, 2), (0, 4096), (16, 4096), (16, 3), (22, 50)])
+def test_pairs_equal_brute_force_once_each(spark, threshold, tile):
     values = list(dict.fromkeys(clustered(7)))
     distinct = ph.distinct_hashes(frame(spark, values)).cache()
-    rows = ph.similar_pairs(distinct, 5, limit, depth).collect()
+    rows = ph.similar_pairs(distinct, threshold, tile).collect()
+    distinct.unpersist()
     want = sorted(
         (i, j, distance(values[i], values[j]))
-        for i in range(len(values)) for j in range(i + 1, len(values)) if distance(values[i], values[j]) <= 5
+        for i in range(len(values)) for j in range(i + 1, len(values)) if distance(values[i], values[j]) <= threshold
     )
     assert sorted((r.a, r.b, r.distance) for r in rows) == want
 
 
+@pytest.mark.parametrize("threshold", [0, 1, 5, 16, 22, 40, 63])
+def test_chunks_miss_no_pair(threshold):
+    """Whatever the number of hashes, two within the threshold meet in some chunk within its radius."""
+    rnd = random.Random(threshold)
+    for n in (10, 10**5, 10**7, 10**9):
+        chunks = hamming.chunking(threshold, n)
+        assert sum(c.near for c in chunks) <= hamming.MOST_KEYS
+        for _ in range(200):
+            apart = sum(1 << b for b in rnd.sample(range(64), threshold))
+            assert any(bin(apart & c.mask).count("1") <= c.radius for c in chunks)
+
+
+def test_wide_chunks_spare_candidates(spark):
+    """At a threshold of 16, a quarter of the comparisons of all with all, and less than bands of four bits give."""
+    chunks = hamming.chunking(16, 10**6)
+    share = sum(c.near / 2**c.width for c in chunks)
+    assert share < 0.3 and min(c.width for c in chunks) >= 8
+    assert hamming.chunking(5, 10**9)[0].width >= 20
+
+
+def test_salted_joins_equal_plain_ones(spark):
+    big = spark.createDataFrame([(k % 7 if k % 3 else 0, k, {"a": k}) for k in range(300)], "key long, v long, m map<string,long>")
+    counts = big.groupBy("key").agg(F.count("*").alias("n")).where("key != 5").withColumn("name", F.concat(F.lit("k"), "key"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        salted = skew.join_counted(big, counts, ["key"], "n", how, hot_rows=10)
+        plain = big.join(counts.drop("n"), ["key"], how)
+        assert salted.columns == plain.columns
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+    text = skew.join_counted(big, counts, ["key"], "n", hot_rows=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in text and "broadcast" not in text.lower()
+
+
 def test_small_blocks_and_hot_keys_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(ph, "BLOCK_ROWS", 2)
-    monkeypatch.setattr(skew.join_counted, "__defaults__", ("inner", 2))
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
     values = clustered(9)
-    assert groups(spark, values, 6, bucket_limit=2, max_depth=2) == greedy(values, 6)
+    assert groups(spark, values, 6, bucket_limit=2, max_depth=2, component_rows=4) == greedy(values, 6)
 
 
 def test_not_connected_components(spark):
