@@ -12,6 +12,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from lumaforge.operators.lines import gaussian_blur, median_filter
 from lumaforge.session import BUILD_CONF, configure
 from lumaforge.workload import QUERIES, load_all
 
@@ -23,11 +24,28 @@ HEADLINE = [
 ]
 
 
+def large_image(spark: SparkSession):
+    """One image of 512 x 512 pixels, where the cost of a neighborhood shows."""
+    return spark.range(512 * 512).selectExpr(
+        "0L AS img_id", "512 AS w", "512 AS h", "cast(id % 512 AS int) AS x", "cast(id div 512 AS int) AS y",
+        "cast(id * 7919 % 256 AS int) AS r", "cast(id div 512 % 256 AS int) AS g", "cast(id % 256 AS int) AS b",
+    )
+
+
+LARGE = {
+    "blur_512": lambda spark, _: gaussian_blur(large_image(spark), 5.0),
+    "blur_wide_512": lambda spark, _: gaussian_blur(large_image(spark), 30.0),
+    "median_512": lambda spark, _: median_filter(large_image(spark), 3),
+    "median_wide_512": lambda spark, _: median_filter(large_image(spark), 21),
+}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
+    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or [*HEADLINE, *LARGE]
     load_all()
+    known = QUERIES | LARGE
     spark = configure(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lumaforge-bench")
@@ -41,7 +59,7 @@ def main() -> None:
 
     def run(name: str) -> float:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
     timings = {}

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumaforge.operators.batches import whole_groups
 from lumaforge.operators.skew import join_counted
 from lumaforge.session import cut_lineage
 
@@ -130,27 +131,6 @@ def tiled(rows: DataFrame, tile: int) -> DataFrame:
     return out.repartition(*group).sortWithinPartitions(*group, "probe")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups from sorted batches, with the first row of each; a group that is cut waits for its rest."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-        new = np.zeros(table.num_rows, bool)
-        new[0] = True
-        for key in keys:
-            values = table.column(key).to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        firsts = np.flatnonzero(new)
-        if firsts[-1]:
-            yield table.slice(0, firsts[-1]), firsts[:-1]
-        rest = table.slice(firsts[-1])
-    if rest is not None:
-        yield rest.combine_chunks(), np.zeros(1, np.int64)
-
-
 def products(plain: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of all pairs of a plain row and a probe of its group, in portions; plain rows come first in a group."""
     ends = np.append(firsts[1:], len(plain))

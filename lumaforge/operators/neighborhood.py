@@ -21,9 +21,10 @@ from lumaforge.functions import color
 from lumaforge.functions import templates as tpl
 from lumaforge.functions.color import CHANNELS
 from lumaforge.functions.geometry import resize_target, rotated_canvas_for, watermark_origin
+from lumaforge.operators.lines import FIXED_POINT, gaussian_blur, gaussian_weights, median_filter
 from lumaforge.operators.pointwise import STRIP_ROWS, attach_per_image
 
-FIXED_POINT = 1 << 20
+__all__ = ["gaussian_blur", "gaussian_weights", "median_filter"]  # these live in lines
 
 
 # --- resizing -----------------------------------------------------------------------------------
@@ -136,46 +137,7 @@ def resize(
     return scale_to(px, target["w"], target["h"], resample)
 
 
-# --- blur and 3x3 kernels -----------------------------------------------------------------------
-
-
-def gaussian_weights(radius: float) -> list[int]:
-    """Fixed-point weights for distances ``0..ceil(3 * radius)``."""
-    reach = math.ceil(3 * radius)
-    return [math.floor(math.exp(-d * d / (2.0 * radius * radius)) * FIXED_POINT + 0.5) for d in range(reach + 1)]
-
-
-def _blur_axis(px: DataFrame, axis: str, weights: list[int]) -> DataFrame:
-    size = "w" if axis == "x" else "h"
-    other = "y" if axis == "x" else "x"
-    reach = len(weights) - 1
-    total = weights[0] + 2 * sum(weights[1:])
-    # An edge pixel also stands in for everything beyond the edge: its weight at distance k is the whole tail.
-    tails = [sum(weights[k:]) for k in range(reach + 1)]
-    tail0 = total - sum(weights[1:])
-    tails[0] = tail0
-    i, n = F.col(axis), F.col(size)
-    spread = _targets(px.repartition("img_id", other), axis, F.greatest(F.lit(0), i - reach), F.least(n - 1, i + reach))
-    k = F.abs(F.col("_o") - i) + 1
-    inner = F.element_at(F.array(*[F.lit(v).cast("long") for v in weights]), k)
-    edge = F.element_at(F.array(*[F.lit(v).cast("long") for v in tails]), k)
-    weight = (
-        F.when(n == 1, F.lit(total).cast("long")).when((i == 0) | (i == n - 1), edge).otherwise(inner)
-    )
-    spread = spread.withColumn("_wt", weight)
-    summed = spread.groupBy("img_id", "w", "h", F.col("_o").alias(axis), other).agg(
-        *[F.sum(F.col("_wt") * F.col(c)).alias(c) for c in CHANNELS]
-    )
-    return summed.withColumns({c: _rounded(F.col(c), F.lit(total).cast("long")) for c in CHANNELS})
-
-
-def gaussian_blur(px: DataFrame, radius: float) -> DataFrame:
-    """Two separable passes cut at three sigma; positions outside the image repeat the edge."""
-    if radius <= 0:
-        return px
-    weights = gaussian_weights(radius)
-    order = [c for c in px.columns if c != "a"]
-    return _blur_axis(_blur_axis(px, "x", weights), "y", weights).select(order)
+# --- 3x3 kernels --------------------------------------------------------------------------------
 
 
 def _in_strips(px: DataFrame, reach: int) -> DataFrame:
@@ -236,44 +198,6 @@ def sharpness(px: DataFrame, factor: float = 1.0) -> DataFrame:
 # --- median -------------------------------------------------------------------------------------
 
 
-def _window_slots(px: DataFrame, axis: str, reach: int, first: str, last: str) -> DataFrame:
-    """Explode, for targets ``first..last``, the target ``_t<axis>`` and offset ``_d<axis>`` pairs whose clamped source is this pixel.
-
-    An inner pixel meets each target at one offset. An edge pixel also stands in for all offsets that
-    point beyond the edge.
-    """
-    size = "w" if axis == "x" else "h"
-    targets = px.withColumn(f"_t{axis}", F.explode(F.expr(f"sequence({first}, {last})")))
-    lo = f"if({axis} = 0, -{reach}, {axis} - _t{axis})"
-    hi = f"if({axis} = {size} - 1, {reach}, {axis} - _t{axis})"
-    return targets.withColumn(f"_d{axis}", F.explode(F.expr(f"sequence({lo}, {hi})")))
-
-
-def median_filter(px: DataFrame, size: int = 3) -> DataFrame:
-    """Median of a size x size window clamped to the edge.
-
-    Each window slot is its own ``max`` aggregate, so the state of a target pixel has a fixed size
-    and combines before the shuffle.
-    """
-    reach = size // 2
-    k = 2 * reach + 1
-    packed = F.shiftleft(F.col("r"), 16).bitwiseOR(F.shiftleft(F.col("g"), 8)).bitwiseOR(F.col("b"))
-    spread = _window_slots(_in_strips(px.withColumn("_v", packed), reach), "y", reach, "_top", "_bottom")
-    spread = _window_slots(spread, "x", reach, f"greatest(0, x - {reach})", f"least(w - 1, x + {reach})")
-    spread = spread.withColumn("_slot", F.expr(f"(_dy + {reach}) * {k} + _dx + {reach}"))
-    out = spread.groupBy("img_id", "_strip", "w", "h", F.col("_tx").alias("x"), F.col("_ty").alias("y")).agg(
-        *[F.expr(f"max(if(_slot = {s}, _v, NULL)) AS _{s}") for s in range(k * k)]
-    )
-    middle = (k * k + 1) // 2
-
-    def channel(shift: int) -> Column:
-        values = F.array(*[F.shiftright(F.col(f"_{s}"), shift).bitwiseAND(255) for s in range(k * k)])
-        return F.element_at(F.sort_array(values), middle)
-
-    order = [c for c in px.columns if c != "a"]
-    return out.withColumns({"r": channel(16), "g": channel(8), "b": channel(0)}).select(order)
-
-
 def noise_reduction(px: DataFrame, strength: float = 1.0) -> DataFrame:
     """Median whose window grows with strength, then a light blur when strength is above one half."""
     size = max(3, int(strength * 3))

@@ -1,10 +1,14 @@
 """Pixel operators on odd shapes, against plain Python."""
 
 import math
+from functools import reduce
 
+import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumaforge.operators import lines
 from lumaforge.operators import neighborhood as nb
 from lumaforge.operators import pointwise as pw
 from lumaforge.operators import skew
@@ -32,10 +36,11 @@ def clamp(v):
     return int(max(0, min(255, math.floor(v))))
 
 
-@pytest.mark.parametrize("w,h", [(1, 1), (1, 5), (7, 2), (3, 200)])
-def test_blur_small_and_thin_images(spark, w, h):
+@pytest.mark.parametrize("w,h,radius", [(1, 1, 1.5), (1, 5, 1.5), (7, 2, 1.5), (3, 200, 1.5), (40, 30, 12.0), (3, 230, 15.0)])
+def test_blur_small_and_thin_images(spark, w, h, radius):
+    """The last two are wide enough for spectra."""
     px, src = image(spark, w, h)
-    weights = nb.gaussian_weights(1.5)
+    weights = nb.gaussian_weights(radius)
     reach = len(weights) - 1
 
     def axis(get, n, at):
@@ -45,7 +50,7 @@ def test_blur_small_and_thin_images(spark, w, h):
             t += weights[abs(d)]
         return clamp((2 * s + t) / (2.0 * t))
 
-    _, _, got = collected(nb.gaussian_blur(px, 1.5))
+    _, _, got = collected(nb.gaussian_blur(px, radius))
     for k in range(3):
         mid = {(x, y): axis(lambda i: src[(i, y)][k], w, x) for x in range(w) for y in range(h)}
         for x, y in src:
@@ -53,7 +58,7 @@ def test_blur_small_and_thin_images(spark, w, h):
 
 
 @pytest.mark.parametrize("w,h", [(1, 1), (2, 3), (5, 4), (3, 140)])
-@pytest.mark.parametrize("size", [3, 5])
+@pytest.mark.parametrize("size", [3, 5, 9])
 def test_median(spark, w, h, size):
     px, src = image(spark, w, h)
     reach = size // 2
@@ -64,6 +69,34 @@ def test_median(spark, w, h, size):
         assert got[(x, y)] == tuple(sorted(p[k] for p in around)[(size * size + 1) // 2 - 1] for k in range(3))
 
 
+def test_windows_by_sorting_and_by_counting_agree(monkeypatch):
+    values = np.random.default_rng(1).integers(0, 256, (2, 40, 30, 3)).astype(np.uint8)
+    sorted_ = {size: lines.window_median(values, size) for size in (3, 5, 7)}
+    monkeypatch.setattr(lines, "SORTED_SIZE", 1)
+    for size, want in sorted_.items():
+        assert (lines.window_median(values, size) == want).all()
+
+
+def test_spectra_give_the_exact_sums(monkeypatch):
+    values = np.random.default_rng(2).integers(0, 256, (1, 700, 9, 3)).astype(np.uint8)
+    for radius in (0.3, 4, 30, 80):
+        weights = nb.gaussian_weights(radius)
+        monkeypatch.setattr(lines, "SPECTRAL_REACH", 10**6)
+        plain = lines.weighted_sums(values, weights, 1)
+        monkeypatch.setattr(lines, "SPECTRAL_REACH", 0)
+        assert (lines.weighted_sums(values, weights, 1) == plain).all()
+
+
+def test_many_images_of_several_shapes_at_once(spark):
+    """Each image is filtered as if it were alone, whatever shares its batch."""
+    shapes = [(4, 3), (4, 3), (2, 130), (5, 1)]
+    frames = [image(spark, w, h, img_id=k)[0].withColumn("r", (F.col("r") + 40 * k) % 256) for k, (w, h) in enumerate(shapes)]
+    together = reduce(DataFrame.unionByName, frames)
+    for run in (lambda p: nb.gaussian_blur(p, 2.0), lambda p: nb.median_filter(p, 3)):
+        want = sorted(tuple(r) for f in frames for r in run(f).collect())
+        assert sorted(tuple(r) for r in run(together).collect()) == want
+
+
 @pytest.mark.parametrize("w,h", [(1, 1), (2, 5), (5, 4), (4, 135)])
 def test_sharpen(spark, w, h):
     px, src = image(spark, w, h)
