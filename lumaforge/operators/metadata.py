@@ -59,16 +59,13 @@ def _pick(key: tuple[str, int], value: str) -> Column:
     return F.expr(f"max(if(tag = {no} AND ifd = '{ifd}', {value}, NULL))")
 
 
-def exif_records(tags: DataFrame) -> DataFrame:
-    """``(asset_id, exif, ratios)``: one pass of conditional aggregates over the tag table.
-
-    ``ratios`` keeps the undivided rationals that display labels need.
-    """
+def _exif_wanted(pick) -> dict[str, Column]:
+    """The values that records are made of; ``pick(key, value)`` finds one in a group of tags or in a row's."""
     wanted: dict[str, Column] = {}
     for name, key in EXIF_TEXT.items():
-        wanted[name] = F.nullif(F.trim(_pick(key, "str_val")), F.lit(""))
+        wanted[name] = F.nullif(F.trim(pick(key, "str_val")), F.lit(""))
     for name, key in EXIF_INT.items():
-        wanted[name] = _pick(key, "int_val").cast("int")
+        wanted[name] = pick(key, "int_val").cast("int")
     for name, key in {
         **EXIF_RATIO,
         "exposure": EXPOSURE_TIME,
@@ -80,32 +77,55 @@ def exif_records(tags: DataFrame) -> DataFrame:
         "alt": GPS_ALT,
         "clock": GPS_TIME,
     }.items():
-        wanted[f"_{name}"] = _pick(key, "rationals")
+        wanted[f"_{name}"] = pick(key, "rationals")
     for name, key in {"lat_ref": GPS_LAT_REF, "lon_ref": GPS_LON_REF, "day": GPS_DATE}.items():
-        wanted[f"_{name}"] = _pick(key, "str_val")
+        wanted[f"_{name}"] = pick(key, "str_val")
     for name, key in {"flash": FLASH, "wb": WHITE_BALANCE, "cs": COLOR_SPACE, "alt_ref": GPS_ALT_REF}.items():
-        wanted[f"_{name}"] = _pick(key, "int_val")
+        wanted[f"_{name}"] = pick(key, "int_val")
+    return wanted
+
+
+def exif_records(tags: DataFrame) -> DataFrame:
+    """``(asset_id, exif, ratios)``: one pass of conditional aggregates over the tag table.
+
+    ``ratios`` keeps the undivided rationals that display labels need.
+    """
+    wanted = _exif_wanted(_pick)
     flat = tags.groupBy("asset_id").agg(*[c.alias(f"f_{n}") for n, c in wanted.items()])
+    record, ratios = _exif_structs({n: F.col(f"f_{n}") for n in wanted})
+    return flat.select("asset_id", record.alias("exif"), ratios.alias("ratios"))
+
 
+def exif_of_row(tags: Column) -> tuple[Column, Column]:
+    """The same from an array of tags on the row, without a shuffle."""
+
+    def pick(key: tuple[str, int], value: str) -> Column:
+        ifd, no = key
+        return F.array_max(F.transform(F.filter(tags, lambda t: (t["tag"] == no) & (t["ifd"] == ifd)), lambda t: t[value]))
+
+    return _exif_structs(_exif_wanted(pick))
+
+
+def _exif_structs(found: dict[str, Column]) -> tuple[Column, Column]:
     def parts(name: str) -> tuple[Column, Column]:
-        p = F.get(F.col(f"f__{name}"), F.lit(0))
+        p = F.get(found[f"_{name}"], F.lit(0))
         return p["num"], p["den"]
 
     ratio = {name: tv.rational_to_float(*parts(name)) for name in ("fnumber", "focal", *EXIF_RATIO)}
-    values = {name: F.col(f"f_{name}") for name in (*EXIF_TEXT, *EXIF_INT)}
+    values = {name: found[name] for name in (*EXIF_TEXT, *EXIF_INT)}
     values |= {name: ratio[name] for name in EXIF_RATIO}
     values |= {
         "exposure_time": tv.rational_to_string(*parts("exposure")),
         "f_number": F.concat(F.lit("f/"), ratio["fnumber"].cast("string")),
         "aperture": ratio["fnumber"],
         "focal_length": ratio["focal"].cast("string"),
-        "flash": tv.flash_label(F.col("f__flash")),
-        "white_balance": tv.white_balance_label(F.col("f__wb")),
-        "color_space": tv.color_space_label(F.col("f__cs")),
-        "gps_latitude": tv.gps_decimal(F.col("f__lat"), F.col("f__lat_ref")),
-        "gps_longitude": tv.gps_decimal(F.col("f__lon"), F.col("f__lon_ref")),
-        "gps_altitude": tv.gps_altitude(*parts("alt"), F.col("f__alt_ref")),
-        "gps_timestamp": tv.gps_timestamp(F.col("f__clock"), F.col("f__day")),
+        "flash": tv.flash_label(found["_flash"]),
+        "white_balance": tv.white_balance_label(found["_wb"]),
+        "color_space": tv.color_space_label(found["_cs"]),
+        "gps_latitude": tv.gps_decimal(found["_lat"], found["_lat_ref"]),
+        "gps_longitude": tv.gps_decimal(found["_lon"], found["_lon_ref"]),
+        "gps_altitude": tv.gps_altitude(*parts("alt"), found["_alt_ref"]),
+        "gps_timestamp": tv.gps_timestamp(found["_clock"], found["_day"]),
     }
     record = F.struct(*[values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in EXIF_FIELDS.items()])
     ratios = F.struct(
@@ -119,7 +139,7 @@ def exif_records(tags: DataFrame) -> DataFrame:
             }.items()
         ]
     )
-    return flat.select("asset_id", record.alias("exif"), ratios.alias("ratios"))
+    return record, ratios
 
 
 def iptc_records(tags: DataFrame) -> DataFrame:
@@ -129,18 +149,33 @@ def iptc_records(tags: DataFrame) -> DataFrame:
         return F.expr(f"max(if(dataset = {no}, value, NULL))")
 
     word = F.when(F.col("dataset") == IPTC_KEYWORDS, F.struct("ord", F.trim("value").alias("word")))
-    date = text(IPTC_DATE)
     flat = tags.groupBy("asset_id").agg(
         *[text(no).alias(f"f_{n}") for n, no in IPTC_TEXT.items()],
-        F.when(F.char_length(date) == 8, date).alias("f_date_created"),
+        text(IPTC_DATE).alias("f_date"),
         F.sort_array(F.collect_list(word)).alias("f_words"),
     )
-    words = F.filter(F.transform("f_words", lambda s: s["word"]), lambda v: v != "")
-    values = {n: F.col(f"f_{n}") for n in (*IPTC_TEXT, "date_created")} | {"keywords": words}
-    record = F.struct(*[values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in IPTC_FIELDS.items()])
+    record = _iptc_struct({n: F.col(f"f_{n}") for n in IPTC_TEXT}, F.col("f_date"), F.col("f_words"))
     return flat.select("asset_id", record.alias("iptc"))
 
 
+def iptc_of_row(tags: Column) -> Column:
+    """The same from an array of records on the row, without a shuffle."""
+
+    def text(no: int) -> Column:
+        return F.array_max(F.transform(F.filter(tags, lambda t: t["dataset"] == no), lambda t: t["value"]))
+
+    words = F.transform(
+        F.filter(tags, lambda t: t["dataset"] == IPTC_KEYWORDS), lambda t: F.struct(t["ord"].alias("ord"), F.trim(t["value"]).alias("word"))
+    )
+    return _iptc_struct({n: text(no) for n, no in IPTC_TEXT.items()}, text(IPTC_DATE), F.sort_array(words))
+
+
+def _iptc_struct(found: dict[str, Column], date: Column, words: Column) -> Column:
+    kept = F.filter(F.transform(words, lambda s: s["word"]), lambda v: v != "")
+    values = found | {"date_created": F.when(F.char_length(date) == 8, date), "keywords": kept}
+    return F.struct(*[values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in IPTC_FIELDS.items()])
+
+
 def with_metadata(catalog: DataFrame, exif_tags: DataFrame, iptc_tags: DataFrame) -> DataFrame:
     """Catalog rows with their ``exif``, ``ratios`` and ``iptc`` records (null when absent).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumaforge.functions.derived import suffix
 from lumaforge.operators.catalog import IMAGE_SUFFIXES
-from lumaforge.sources.headers import header_of
+from lumaforge.sources.records import read_records, readable, with_records
 
 # Leading bytes (hex) of each format.
 MAGIC = {
@@ -19,10 +19,8 @@ MAGIC = {
     "TIFF_BE": "4D4D002A",
 }
 
-# Channel count of a decoded image -> color mode.
-MODE_OF_CHANNELS = {1: "L", 3: "RGB", 4: "RGBA"}
 DEFAULT_DPI = 72
-#: Formats that the decoder does not know, but whose header says enough for a catalog row.
+#: Formats that the decoder does not know.
 UNDECODED = ("WEBP",)
 
 # Schema of Spark's image source.
@@ -45,7 +43,10 @@ def with_format(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """Files of a folder tree (or one folder, by glob) as ``(path, modified, size_bytes, content)``."""
+    """Files of a folder tree (or one folder, by glob) as ``(path, modified, size_bytes, content)``.
+
+    Spark's file sources leave out files without a single byte.
+    """
     reader = spark.read.format("binaryFile")
     if pattern is None:
         files = reader.option("recursiveFileLookup", "true").load(folder)
@@ -81,10 +82,14 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def split_decoded(images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(good, rejected)``: unreadable files go aside with a message instead of stopping the job."""
+    """``(good, rejected)``: unreadable files go aside with a message instead of stopping the job.
+
+    A format without a decoder here has a message of its own: such a file may be a sound one, with a catalog row.
+    """
     bad = F.col("width") < 1
-    rejected = images.where(bad).select("path", F.lit("cannot identify image file").alias("error"))
-    return images.where(~bad), rejected
+    undecoded = F.lower(suffix(F.col("path"))).isin(*(f".{f.lower()}" for f in UNDECODED))
+    why = F.when(undecoded, "no decoder for this format").otherwise("cannot identify image file")
+    return images.where(~bad), images.where(bad).select("path", why.alias("error"))
 
 
 def image_id(path: Column) -> Column:
@@ -92,25 +97,20 @@ def image_id(path: Column) -> Column:
     return F.xxhash64(path)
 
 
-def load_assets(files: DataFrame, images: DataFrame) -> DataFrame:
-    """Catalog rows from scanned files and decoded images, joined on the path.
+def load_assets(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(assets, rejected)`` of scanned files, from one read of each.
 
-    The resolution comes from the header, as do size and mode of formats that have no decoder here (WebP).
+    Size, mode and resolution come from the header, without decoding a pixel; the ``exif``, ``ratios`` and ``iptc`` records
+    hang on the row, null where the file has none. A file whose header cannot be read is rejected with a message.
     """
-    facts = with_format(files).select("path", "format", "size_bytes", header_of("content").alias("_head"))
-    modes = F.create_map(*[F.lit(v) for pair in MODE_OF_CHANNELS.items() for v in pair])
-    heads = split_decoded(images)[0].select(
-        "path", "width", "height", F.coalesce(F.try_element_at(modes, F.col("channels")), F.lit("RGB")).alias("mode")
-    )
-    known = facts.join(heads, "path", "left").where(
-        F.col("width").isNotNull() | (F.col("format").isin(*UNDECODED) & F.col("_head.width").isNotNull())
-    )
-    return known.select(
-        image_id(F.col("path")).alias("asset_id"), "path", "format",
-        *[F.coalesce(F.col(c), F.col(f"_head.{c}")).alias(c) for c in ("width", "height", "mode")], "size_bytes",
-        *[F.coalesce(F.col(f"_head.{c}"), F.lit(DEFAULT_DPI)).alias(c) for c in ("dpi_x", "dpi_y")],
-        F.lit(None).cast("string").alias("color_profile"), F.col("path").alias("original_path"),
+    found = with_records(read_records(with_format(files)))
+    assets = found.where(readable()).select(
+        image_id(F.col("path")).alias("asset_id"), "path", "format", "head.width", "head.height",
+        F.coalesce("head.mode", F.lit("RGB")).alias("mode"), "size_bytes",
+        *[F.coalesce(f"head.{c}", F.lit(DEFAULT_DPI)).alias(c) for c in ("dpi_x", "dpi_y")],
+        F.lit(None).cast("string").alias("color_profile"), F.col("path").alias("original_path"), "exif", "ratios", "iptc",
     )
+    return assets, found.where(~F.coalesce(readable(), F.lit(False))).select("path", F.lit("cannot identify image file").alias("error"))
 
 
 def explode_pixels(images: DataFrame, spread: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -12,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaforge.functions.derived import suffix
+from lumaforge.sources.png_sink import NAME, SCHEMA, PngFiles
 
-PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 # Pixels per compressed strip: bounds the group one Python call sees, however large the image.
 STRIP_PIXELS = 1 << 16
 # Formats written with a quality setting; images with alpha are flattened for JPEG.
@@ -69,10 +67,7 @@ def png_strips(px: DataFrame) -> DataFrame:
                 adler=[zlib.adler32(b) for b in raw], size=[len(b) for b in raw], bytes=[_deflate(b) for b in raw]
             )
 
-    return strips.mapInPandas(compress, STRIP_SCHEMA)
-
-
-STRIP_SCHEMA = "img_id bigint, w int, h int, channels int, strip int, bytes binary, adler bigint, size bigint"
+    return strips.mapInPandas(compress, SCHEMA)
 
 
 def _deflate(raw: bytes) -> bytes:
@@ -80,54 +75,17 @@ def _deflate(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush(zlib.Z_SYNC_FLUSH)
 
 
-def _adler_join(a: int, b: int, size_b: int) -> int:
-    """Checksum of two texts put together, from their own checksums."""
-    mod = 65521
-    low = (a & 0xFFFF) + (b & 0xFFFF) - 1
-    high = (a >> 16) + (b >> 16) + size_b * ((a & 0xFFFF) - 1)
-    return ((high % mod) << 16) | (low % mod)
-
-
-def _chunk(kind: bytes, body: bytes) -> bytes:
-    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-
 def export_png(px: DataFrame, folder: str) -> DataFrame:
-    """Write ``<folder>/<img_id>.png`` for every image and return ``(img_id, path, size_bytes)``.
+    """Write ``<folder>/<img_id>.png`` for every image; returns ``(img_id, path, size_bytes)`` of the images in the folder.
 
-    ``folder`` must be mounted by all executors. Strips of one image meet in one task, already
-    compressed and in order, and stream into the file one by one; a task that is repeated writes under a
-    temporary name and replaces the file at the end.
+    ``folder`` is a path or a URI whose file system the executors reach; see :mod:`lumaforge.sources.png_sink`.
     """
+    spark = px.sparkSession
+    spark.dataSource.register(PngFiles)
+    # One task per image, the image's strips in order; they are compressed already, so no group is larger than a file.
     strips = png_strips(px).repartition("img_id").sortWithinPartitions("img_id", "strip")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        current, handle, check, done = None, None, 1, []
-
-        def close():
-            tail = b"\x03\x00" + struct.pack(">I", check)
-            handle.write(_chunk(b"IDAT", tail) + _chunk(b"IEND", b""))
-            handle.close()
-            final = f"{folder}/{current}.png"
-            os.replace(handle.name, final)
-            done.append((current, final, os.path.getsize(final)))
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.img_id != current:
-                    if handle is not None:
-                        close()
-                    current, check = row.img_id, 1
-                    handle = open(f"{folder}/.{current}.{os.getpid()}.part", "wb")
-                    head = struct.pack(">IIBBBBB", row.w, row.h, 8, 6 if row.channels == 4 else 2, 0, 0, 0)
-                    handle.write(PNG_SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"\x78\x9c"))
-                handle.write(_chunk(b"IDAT", bytes(row.bytes)))
-                check = _adler_join(check, int(row.adler), int(row.size))
-            yield pd.DataFrame(done, columns=["img_id", "path", "size_bytes"])
-            done = []
-        if handle is not None:
-            close()
-        yield pd.DataFrame(done, columns=["img_id", "path", "size_bytes"])
-
-    return strips.mapInPandas(write, "img_id bigint, path string, size_bytes bigint")
+    strips.write.format(NAME).mode("append").option("path", folder).save()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder)
+    return files.select(
+        F.regexp_extract("path", r"([^/]*)\.png$", 1).cast("long").alias("img_id"), "path", F.col("length").alias("size_bytes")
+    )

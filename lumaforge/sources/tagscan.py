@@ -88,7 +88,7 @@ def _value(raw: bytes, kind: int, count: int, order: str):
     return " ".join(map(str, numbers)), None, None
 
 
-def _entries(tiff: bytes) -> Iterator[tuple]:
+def entries(tiff: bytes) -> Iterator[tuple]:
     """``(block, tag, type, raw value, text, integer, rationals)`` of every readable entry."""
     order = {b"II": "<", b"MM": ">"}[tiff[:2]]
     todo, seen = [("0th", struct.unpack_from(f"{order}I", tiff, 4)[0])], set()
@@ -119,7 +119,7 @@ def exif_rows(data: bytes) -> list[tuple]:
         tiff, _ = _blocks(data)
         if tiff is None:
             return []
-        return [(ifd, tag, text, number, ratios) for ifd, tag, _, text, number, ratios in _entries(tiff) if tag != IPTC_TAG]
+        return [(ifd, tag, text, number, ratios) for ifd, tag, _, text, number, ratios in entries(tiff) if tag != IPTC_TAG]
     except (struct.error, KeyError):
         return []
 
@@ -129,7 +129,7 @@ def iptc_rows(data: bytes) -> list[tuple]:
     try:
         tiff, block = _blocks(data)
         if block is None and tiff is not None and data[:2] != b"\xff\xd8":
-            block = next((raw for ifd, tag, raw, *_ in _entries(tiff) if tag == IPTC_TAG), None)
+            block = next((raw for ifd, tag, raw, *_ in entries(tiff) if tag == IPTC_TAG), None)
         rows, at = [], 0
         while block is not None and at + 5 <= len(block) and block[at] == 0x1C:
             record, dataset, size = struct.unpack_from(">BBH", block, at + 1)

@@ -6,17 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lumaforge.operators import metadata
-from lumaforge.session import cut_lineage, ensure_checkpoint_dir
+from lumaforge.session import ensure_checkpoint_dir
 from lumaforge.sources import images, recipes, sinks, tagscan
+from lumaforge.sources.records import read_records, with_records
 from lumaforge.workload import tables as t
 from lumaforge.workload.chains import recipes as recipe_rows
 from lumaforge.workload.registry import query
 
 
-def _local_folder(spark, name):
-    """A new folder beside the checkpoints, as a plain path."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
+def _new_folder(spark, name):
+    """A new folder beside the checkpoints."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(
@@ -25,8 +25,8 @@ def _local_folder(spark, name):
 )
 def png_round_trip(spark, sf):
     """Export every image as PNG, decode the files again and list the pixels."""
-    folder = _local_folder(spark, "png")
-    cut_lineage(sinks.export_png(t.px_rgb(spark, sf, alpha=True), folder))
+    folder = _new_folder(spark, "png")
+    sinks.export_png(t.px_rgb(spark, sf, alpha=True), folder)
     good, _ = images.split_decoded(images.load_images(spark, folder))
     names = good.select(images.image_id(F.col("path")).alias("img_id"), F.regexp_extract("path", "[^/]*$", 0).alias("file"))
     return images.explode_pixels(good).join(names, "img_id").select("file", "x", "y", "r", "g", "b", "a")
@@ -40,9 +40,9 @@ def png_round_trip(spark, sf):
 )
 def loaded_assets(spark, sf):
     """Catalog rows of exported files."""
-    folder = _local_folder(spark, "assets")
-    cut_lineage(sinks.export_png(t.px_rgb(spark, sf), folder))
-    rows = images.load_assets(images.scan(spark, folder), images.load_images(spark, folder))
+    folder = _new_folder(spark, "assets")
+    sinks.export_png(t.px_rgb(spark, sf), folder)
+    rows, _ = images.load_assets(images.scan(spark, folder))
     return rows.select(
         F.regexp_extract("path", "[^/]*$", 0).alias("file"), "format", "width", "height", "mode", "dpi_x"
     )
@@ -132,16 +132,62 @@ def scan_iptc_tags(spark, sf):
     """,
 )
 def scanned_records(spark, sf):
-    """From bytes to structured records in one job."""
-    files = _jpegs(spark, sf)
-    exif = metadata.exif_records(tagscan.scan_exif_tags(files))
-    iptc = metadata.iptc_records(tagscan.scan_iptc_tags(files))
-    return exif.join(iptc, "asset_id").select(
+    """From bytes to structured records in one read of each file."""
+    found = with_records(read_records(_jpegs(spark, sf))).where("exif IS NOT NULL AND iptc IS NOT NULL")
+    return found.select(
         "asset_id", "exif.make", "exif.iso_speed", "exif.x_resolution", "iptc.title",
         F.concat_ws("|", "iptc.keywords").alias("keywords"),
     )
 
 
+def _be4(v: str) -> str:
+    return f"lpad(hex(cast({v} AS bigint)), 8, '0')"
+
+
+def _le4(v: str) -> str:
+    return f"concat({_le2(v)}, {_le2(f'({v}) div 65536')})"
+
+
+# Color types of PNG headers with their bit depths, and the modes they stand for.
+_PNG_KINDS = "array('0803', '0804', '0802', '0806', '0800', '0100', '0403', '1004')"
+
+
+def _files(spark, sf):
+    """Header bytes of one file per document: PNGs of all kinds, BMPs and broken files, some names odd."""
+    w, h = "(1 + doc_id % 3000)", "(1 + n_chars % 2000)"
+    kind = f"element_at({_PNG_KINDS}, cast(doc_id % 8 AS int) + 1)"
+    phys = f"if(doc_id % 3 = 0, concat('00000009', '70485973', {_be4('11811')}, {_be4('5906')}, '01', '00000000'), '')"
+    png = f"concat('89504E470D0A1A0A0000000D49484452', {_be4(w)}, {_be4(h)}, {kind}, '000000', '00000000', {phys}, '0000000049444154')"
+    bmp = f"concat('424D', '000000000000000036000000', '28000000', {_le4(w)}, {_le4(h)}, '0100', '1800', '0000000000000000', {_le4('3780')}, {_le4('0')}, '0000000000000000')"
+    return t.read(spark, sf, "documents").selectExpr(
+        "doc_id", "concat('file:/in/', if(doc_id % 4 = 0, 'a + b %20#', 'img'), cast(doc_id AS string), if(doc_id % 10 = 9, '.bmp', '.png')) AS path",
+        f"unhex(CASE WHEN doc_id % 17 = 5 THEN '89504E47' WHEN doc_id % 10 = 9 THEN {bmp} ELSE {png} END) AS content",
+        "n_chars AS size_bytes",
+    )
+
+
+@query(
+    "S3 S4",
+    """
+    WITH d AS (SELECT *, doc_id % 10 = 9 AS bmp, 'file:/in/' || CASE WHEN doc_id % 4 = 0 THEN 'a + b %20#' ELSE 'img' END || doc_id ||
+        CASE WHEN doc_id % 10 = 9 THEN '.bmp' ELSE '.png' END AS path FROM documents)
+    SELECT path, CASE WHEN doc_id % 17 = 5 THEN 'cannot identify image file' END AS error,
+      CASE WHEN doc_id % 17 <> 5 THEN CASE WHEN bmp THEN 'BMP' ELSE 'PNG' END END AS format,
+      CASE WHEN doc_id % 17 <> 5 THEN CAST(1 + doc_id % 3000 AS INTEGER) END AS width,
+      CASE WHEN doc_id % 17 <> 5 THEN CAST(1 + n_chars % 2000 AS INTEGER) END AS height,
+      CASE WHEN doc_id % 17 <> 5 THEN CASE WHEN bmp THEN 'RGB' ELSE ['P', 'LA', 'RGB', 'RGBA', 'L', '1', 'P', 'RGBA'][doc_id % 8 + 1] END END AS mode,
+      CASE WHEN doc_id % 17 <> 5 THEN CASE WHEN bmp THEN 96 WHEN doc_id % 3 = 0 THEN 300 ELSE 72 END END AS dpi_x,
+      CASE WHEN doc_id % 17 <> 5 THEN CASE WHEN NOT bmp AND doc_id % 3 = 0 THEN 150 ELSE 72 END END AS dpi_y
+    FROM d
+    """,
+)
+def file_headers(spark, sf):
+    """Assets and rejected files from header bytes: true modes, resolutions and odd names."""
+    good, bad = images.load_assets(_files(spark, sf))
+    columns = ["path", "format", "width", "height", "mode", "dpi_x", "dpi_y"]
+    return good.select(*columns).unionByName(bad, allowMissingColumns=True)
+
+
 # --- recipe documents ---------------------------------------------------------------------------
 
 

@@ -8,11 +8,13 @@ import pytest
 from conftest import png_bytes
 from pyspark.sql import functions as F
 
+from lumaforge.operators import metadata
 from lumaforge.operators import pointwise as pw
 from lumaforge.operators.registry import OPERATORS, Operator, OperatorError, Param, Registry, run_steps
 from lumaforge.plans.duplicates import find_duplicates
 from lumaforge.plans.steps import run_with_lineage
-from lumaforge.sources import images, recipes, sinks, tagscan
+from lumaforge.sources import images, png_sink, recipes, sinks, tagscan
+from lumaforge.sources.headers import header
 from lumaforge.streaming import arrivals
 
 
@@ -53,7 +55,7 @@ def test_pixels_and_quarantine(spark, folder):
 
 
 def test_load_assets(spark, folder):
-    rows = images.load_assets(images.scan(spark, folder), images.load_images(spark, folder)).collect()
+    rows = images.load_assets(images.scan(spark, folder))[0].collect()
     got = {name_of(r.path): (r.format, r.width, r.height, r.mode, r.dpi_x) for r in rows}
     assert got == {
         "rgb.png": ("PNG", 2, 2, "RGB", 72), "alpha.PNG": ("PNG", 1, 1, "RGBA", 72), "gray.png": ("PNG", 3, 1, "L", 72),
@@ -76,13 +78,108 @@ def test_png_export_of_large_image_streams_strips(spark, tmp_path, monkeypatch):
     )
     assert sinks.png_strips(px).count() == 15
     (row,) = sinks.export_png(px, str(tmp_path / "out")).collect()
-    assert row.img_id == 5 and os.path.getsize(row.path) == row.size_bytes
+    assert row.img_id == 5 and os.path.getsize(row.path.removeprefix("file:")) == row.size_bytes
     assert os.listdir(tmp_path / "out") == ["5.png"]
     back = images.explode_pixels(images.split_decoded(images.load_images(spark, row.path))[0])
     same = back.select("x", "y", "r", "g", "b").exceptAll(px.select("x", "y", "r", "g", "b"))
     assert back.count() == 510 and same.isEmpty()
 
 
+def test_failed_export_leaves_nothing_behind(spark, tmp_path):
+    """Half of the images are written when a later one ends the job: the files of every task go."""
+    cell = "named_struct('w', 1, 'h', 1)"
+    px = spark.range(40, numPartitions=8).selectExpr("id AS img_id", f"{cell}.w AS w", f"{cell}.h AS h", "0 AS x", "0 AS y", "1 AS r", "2 AS g", "3 AS b")
+    strips = sinks.png_strips(px)
+    bad = strips.withColumn("bytes", F.when(F.col("img_id") != 33, F.col("bytes")))
+    folder = tmp_path / "out"
+    spark.dataSource.register(png_sink.PngFiles)
+
+    def write(df):
+        df.repartition(4, "img_id").sortWithinPartitions("img_id", "strip").write.format(png_sink.NAME).mode("append").option("path", f"file://{folder}").save()
+
+    with pytest.raises(Exception, match="Writ|write|NoneType"):
+        write(bad)
+    assert os.listdir(folder) == []
+    write(strips)
+    assert sorted(os.listdir(folder)) == sorted(f"{k}.png" for k in range(40))
+
+
+@pytest.mark.parametrize("uri,path", [("/a b/c", "/a b/c"), ("file:/a b/c", "/a b/c"), ("file:///a%20b", "/a%20b"), ("rel/x:y", "rel/x:y")])
+def test_folders_are_paths_or_uris(uri, path):
+    system, found = png_sink.file_system(uri)
+    assert (system.type_name, found) == ("local", path)
+
+
+def bmp(bits, colors=b"", meters=(0, 0)):
+    return b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + len(colors)) + struct.pack("<IiiHHIIiiII", 40, 7, -5, 1, bits, 0, 0, *meters, len(colors) // 4, 0) + colors
+
+
+def tiff_header(order, entries, extra=b""):
+    code = {b"II": "<", b"MM": ">"}[order]
+    out = order + struct.pack(f"{code}HIH", 42, 8, len(entries))
+    for tag, kind, count, value in entries:
+        out += struct.pack(f"{code}HHI", tag, kind, count) + (struct.pack(f"{code}HH", value, 0) if kind == 3 and count == 1 else struct.pack(f"{code}I", value))
+    return out + struct.pack(f"{code}I", 0) + extra
+
+
+def tiff_file(order, photometric, samples, bits, unit=2, dots=300):
+    code = {b"II": "<", b"MM": ">"}[order]
+    entries = [(256, 3, 1, 40), (257, 3, 1, 30), (258, 3, 1, bits), (262, 3, 1, photometric), (277, 3, 1, samples)]
+    at = 10 + 12 * (len(entries) + 3) + 4
+    entries += [(282, 5, 1, at), (283, 5, 1, at), (296, 3, 1, unit)]
+    return tiff_header(order, entries, struct.pack(f"{code}II", dots, 1))
+
+
+def png_head(depth, color):
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 3, 2, depth, color, 0, 0, 0) + b"\0" * 4
+
+
+GRAY = b"".join(bytes([k, k, k, 0]) for k in range(256))
+
+
+@pytest.mark.parametrize(
+    "data,want",
+    [
+        (png_head(8, 3), (3, 2, "P", None, None)), (png_head(8, 4), (3, 2, "LA", None, None)), (png_head(1, 0), (3, 2, "1", None, None)),
+        (png_head(16, 0), (3, 2, "I;16", None, None)), (png_head(16, 6), (3, 2, "RGBA", None, None)),
+        (bmp(24, meters=(11811, 3780)), (7, 5, "RGB", 300, 96)), (bmp(8, GRAY), (7, 5, "L", None, None)),
+        (bmp(8, GRAY[:-4] + b"\1\2\3\0"), (7, 5, "P", None, None)), (bmp(1, b"\0\0\0\0\xff\xff\xff\0"), (7, 5, "1", None, None)),
+        (tiff_file(b"II", 2, 3, 8), (40, 30, "RGB", 300, 300)), (tiff_file(b"MM", 5, 4, 8, unit=3, dots=100), (40, 30, "CMYK", 254, 254)),
+        (tiff_file(b"II", 1, 1, 1, unit=1), (40, 30, "1", None, None)), (tiff_file(b"II", 3, 1, 8), (40, 30, "P", 300, 300)), (tiff_file(b"MM", 1, 2, 8), (40, 30, "LA", 300, 300)),
+        (b"GIF89a" + struct.pack("<HH", 9, 8), (9, 8, "P", None, None)),
+        (b"\xff\xd8\xff\xff\xff\xc0" + struct.pack(">HBHHB", 17, 8, 30, 40, 4), (40, 30, "CMYK", None, None)),
+        (b"II*\0", (None,) * 5), (b"BM", (None,) * 5), (tiff_header(b"II", [(256, 3, 1, 5)]), (None,) * 5),
+    ],
+)
+def test_headers_of_all_formats(data, want):
+    assert header(data) == want
+
+
+def test_jpeg_resolution_from_tags_where_the_frame_has_none():
+    block = tiff_file(b"II", 2, 3, 8, dots=240)
+    assert header(jpeg((0xE1, b"Exif\0\0" + block), (0xC0, struct.pack(">BHHB", 8, 30, 40, 3)))) == (40, 30, "RGB", 240, 240)
+
+
+def test_assets_bring_their_records_from_one_read(spark, tmp_path):
+    block = iim((5, b"Title"), (25, b"one"), (25, b" "), (25, b"two"))
+    resource = b"Photoshop 3.0\0" + b"8BIM\x04\x04\0\0" + struct.pack(">I", len(block)) + block
+    frame = (0xC0, struct.pack(">BHHB", 8, 30, 40, 3))
+    (tmp_path / "full #1.jpg").write_bytes(jpeg((0xE1, b"Exif\0\0" + tiff(b"II")), (0xED, resource), frame))
+    (tmp_path / "plain.jpg").write_bytes(jpeg(frame))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG")
+    good, bad = images.load_assets(images.scan(spark, str(tmp_path)))
+    rows = {name_of(r.path): r for r in good.collect()}
+    assert set(rows) == {"full #1.jpg", "plain.jpg"} and [name_of(r.path) for r in bad.collect()] == ["broken.png"]
+    full, plain = rows["full #1.jpg"], rows["plain.jpg"]
+    assert (full.iptc.title, full.iptc.keywords) == ("Title", ["one", "two"]) and full.exif is not None
+    assert (plain.exif, plain.ratios, plain.iptc) == (None, None, None)
+    text = good._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1 and text.count("FileScan") == 1
+    files = images.scan(spark, str(tmp_path)).withColumn("asset_id", images.image_id(F.col("path")))
+    apart = metadata.exif_records(tagscan.scan_exif_tags(files)).collect()
+    assert [r.exif for r in apart] == [full.exif] and [r.ratios for r in apart] == [full.ratios]
+
+
 def test_save_pixels(spark, tmp_path):
     px = spark.range(3).selectExpr("id AS img_id", "2 AS w", "1 AS h", "explode(sequence(0, 1)) AS x").selectExpr(
         "*", "0 AS y", "1 AS r", "2 AS g", "3 AS b"

@@ -33,11 +33,16 @@ def folder(tmp_path):
 
 
 def test_every_file_is_an_asset_or_rejected(spark, folder):
-    loaded = images.load_images(spark, str(folder))
-    assets = images.load_assets(images.scan(spark, str(folder)), loaded)
-    rejected = images.split_decoded(loaded)[1]
-    assert sorted(r.path.rsplit("/", 1)[1] for r in assets.collect()) == sorted(NAMES)
+    webp = b"VP8X" + struct.pack("<I", 10) + b"\x10\0\0\0" + (319).to_bytes(3, "little") + (199).to_bytes(3, "little")
+    (folder / "sound.webp").write_bytes(b"RIFF" + struct.pack("<I", 4 + len(webp)) + b"WEBP" + webp)
+    assets, rejected = images.load_assets(images.scan(spark, str(folder)))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in assets.collect()) == sorted([*NAMES, "sound.webp"])
     assert [r.path.rsplit("/", 1)[1] for r in rejected.collect()] == ["broken file.png"]
+    decoded, undecoded = images.split_decoded(images.load_images(spark, str(folder)))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in decoded.collect()) == sorted(NAMES)
+    assert {r.path.rsplit("/", 1)[1]: r.error for r in undecoded.collect()} == {
+        "broken file.png": "cannot identify image file", "sound.webp": "no decoder for this format",
+    }
 
 
 def test_duplicates_with_odd_names(spark, folder):
@@ -207,7 +212,7 @@ def test_resolution_and_sizes_come_from_the_header(spark, folder):
     (folder / "plain.png").write_bytes(plain[:33] + struct.pack(">I", 9) + body + struct.pack(">I", zlib.crc32(body)) + plain[33:])
     webp = b"VP8X" + struct.pack("<I", 10) + b"\x10\0\0\0" + (319).to_bytes(3, "little") + (199).to_bytes(3, "little")
     (folder / "new.webp").write_bytes(b"RIFF" + struct.pack("<I", 4 + len(webp)) + b"WEBP" + webp)
-    assets = images.load_assets(images.scan(spark, str(folder)), images.load_images(spark, str(folder)))
+    assets, _ = images.load_assets(images.scan(spark, str(folder)))
     rows = {r.path.rsplit("/", 1)[1]: r for r in assets.collect()}
     assert (rows["plain.png"].dpi_x, rows["my photo.png"].dpi_x) == (300, 72)
     assert (rows["new.webp"].width, rows["new.webp"].height, rows["new.webp"].mode, rows["new.webp"].format) == (320, 200, "RGBA", "WEBP")
