@@ -128,10 +128,16 @@ def sepia(px: DataFrame, intensity: float = 1.0) -> DataFrame:
     return _map_channels(toned, lambda c: color.blend(F.col(c), F.col(f"_{c}"), intensity)).select(px.columns)
 
 
+def outside_crop(px: DataFrame, x: int = 0, y: int = 0) -> DataFrame:
+    """``(img_id, w, h)`` of the images that a crop at ``x, y`` leaves without a pixel."""
+    return px.where("x = 0 AND y = 0").where((F.col("w") <= x) | (F.col("h") <= y)).select("img_id", "w", "h")
+
+
 def crop(px: DataFrame, x: int = 0, y: int = 0, width: int | None = None, height: int | None = None) -> DataFrame:
     """Keep a rectangle and shift it to the origin; a missing size reaches to the image edge.
 
-    The rectangle is cut at the image border, so the result is never larger than the source.
+    The rectangle is cut at the image border, so the result is never larger than the source. An image that lies
+    outside it altogether has no pixel left and so no row: :func:`outside_crop` names those, and runs report them.
     """
     right = F.col("w") if width is None else F.least(F.lit(x + width), F.col("w"))
     bottom = F.col("h") if height is None else F.least(F.lit(y + height), F.col("h"))

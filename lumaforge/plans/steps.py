@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumaforge.functions import derived as d
@@ -281,3 +281,23 @@ def run_with_outcomes(catalog: DataFrame, px: DataFrame, actions: list[dict]) ->
     missing = F.when(F.col("_read").isNull(), F.lit("image has no pixels"))
     outcomes = joined.select("asset_id", "path", F.coalesce("error", missing).alias("error"))
     return run_steps(good, actions), outcomes, lineage(sizes.join(failed, "img_id", "left_anti"))
+
+
+def run_to_folder(catalog: DataFrame, px: DataFrame, actions: list[dict], folder: str) -> DataFrame:
+    """Run the actions, write the pixels to ``folder`` as Parquet and return ``outcomes(asset_id, path, error)``.
+
+    Images are counted while they are written, so the outcomes are those of the run and need no second pass. Only when fewer
+    images arrived than were expected, since an operator left some without a pixel, are their names looked up.
+    """
+    pixels, outcomes, _ = run_with_outcomes(catalog, px, actions)
+    outcomes = cut_lineage(outcomes)
+    expected = outcomes.where("error IS NULL").count()
+    seen = Observation("images")
+    first_pixel = (F.col("x") == 0) & (F.col("y") == 0)
+    pixels.observe(seen, F.count_if(first_pixel).alias("written")).write.mode("errorifexists").parquet(folder)
+    if seen.get["written"] >= expected:
+        return outcomes
+    arrived = px.sparkSession.read.parquet(folder).where("x = 0 AND y = 0").select(F.col("img_id").alias("asset_id"), F.lit(True).alias("_in"))
+    found = outcomes.join(arrived.distinct(), "asset_id", "left")
+    lost = F.when(F.col("_in").isNull(), F.lit("no pixels left after the run"))
+    return found.select("asset_id", "path", F.coalesce("error", lost).alias("error"))

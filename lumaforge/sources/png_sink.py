@@ -1,9 +1,9 @@
 """A data source that writes images as PNG files: ``px.write.format("png_files")``, one file per image.
 
 Strips of an image come to one task, compressed and in order, and stream into the file one by one, through the file system
-that the folder's URI names. Files are named by the image, so a task that is repeated writes the same file again:
-where renaming is atomic it writes beside the target and renames, and an object store shows a file only when it is whole. A
-task that fails deletes what it has written; when the job fails, the files of the tasks that had succeeded go, too.
+that the folder's URI names. A task attempt writes into a folder of its own below a hidden one of the job. When all tasks are
+done, the files of the attempts that count are moved to their names; when the job fails, the hidden folder goes with all
+that is in it, so neither a failed nor a killed task leaves anything behind.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "img_id bigint, w int, h int, channels int, strip int, bytes binary, adler bigint, size bigint"
 # Schemes that Spark's readers know under another name than this library's file systems.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
-#: File systems that rename in one step.
-RENAMING = ("local", "hdfs")
+#: Files moved at once when a job ends.
+MOVERS = 32
 
 
 def file_system(uri: str):
@@ -52,18 +53,16 @@ def adler_join(a: int, b: int, size_b: int) -> int:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Images that a task has written."""
+    """The folder of a task attempt that has succeeded."""
 
-    images: list[int]
+    attempt: str
 
 
 class _File:
     """One image on its way out."""
 
-    def __init__(self, system, folder: str, img_id: int, w: int, h: int, channels: int):
-        self.system, self.final, self.check = system, f"{folder}/{img_id}.png", 1
-        self.path = f"{folder}/.{img_id}-{uuid.uuid4().hex}.part" if system.type_name in RENAMING else self.final
-        self.out = system.open_output_stream(self.path)
+    def __init__(self, system, path: str, w: int, h: int, channels: int):
+        self.out, self.check = system.open_output_stream(path), 1
         head = struct.pack(">IIBBBBB", w, h, 8, 6 if channels == 4 else 2, 0, 0, 0)
         self.out.write(SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", b"\x78\x9c"))
 
@@ -75,59 +74,59 @@ class _File:
         tail = b"\x03\x00" + struct.pack(">I", self.check)
         self.out.write(chunk(b"IDAT", tail) + chunk(b"IEND", b""))
         self.out.close()
-        if self.path != self.final:
-            self.system.move(self.path, self.final)
-
-    def drop(self) -> None:
-        self.out.close()
-        self.system.delete_file(self.path)
 
 
 class PngWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder.rstrip("/"), overwrite
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+        self.job = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+    def _places(self):
         system, folder = file_system(self.folder)
-        system.create_dir(folder, recursive=True)
-        done: list[int] = []
+        return system, folder, f"{folder}/_writing-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, _, hidden = self._places()
+        attempt = uuid.uuid4().hex
+        system.create_dir(f"{hidden}/{attempt}", recursive=True)
         current, img_id = None, None
-        try:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    if row["img_id"] != img_id:
-                        if current:
-                            current.close()
-                            done.append(img_id)
-                        img_id = row["img_id"]
-                        current = _File(system, folder, img_id, row["w"], row["h"], row["channels"])
-                    current.add(row["bytes"], row["adler"], row["size"])
-            if current:
-                current.close()
-                done.append(img_id)
-        except BaseException:
-            if current and img_id not in done:
-                current.drop()
-            _delete(self.folder, done)
-            raise
-        return Written(done)
+        for batch in iterator:
+            for row in batch.to_pylist():
+                if row["img_id"] != img_id:
+                    if current:
+                        current.close()
+                    img_id = row["img_id"]
+                    current = _File(system, f"{hidden}/{attempt}/{img_id}.png", row["w"], row["h"], row["channels"])
+                current.add(row["bytes"], row["adler"], row["size"])
+        if current:
+            current.close()
+        return Written(attempt)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Files are in place already."""
+        from pyarrow import fs
+
+        system, folder, hidden = self._places()
+
+        def move(path: str) -> None:
+            final = f"{folder}/{path.rsplit('/', 1)[1]}"
+            if system.type_name == "hdfs" and system.get_file_info(final).type != fs.FileType.NotFound:
+                system.delete_file(final)  # where a rename does not replace
+            system.move(path, final)
+
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for message in filter(None, messages):
+                list(pool.map(move, (f.path for f in system.get_file_info(fs.FileSelector(f"{hidden}/{message.attempt}")))))
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            if message is not None:
-                _delete(self.folder, message.images)
+        self._clear()
 
+    def _clear(self) -> None:
+        from pyarrow import fs
 
-def _delete(folder: str, images: list[int]) -> None:
-    system, path = file_system(folder)
-    for img_id in images:
-        try:
-            system.delete_file(f"{path}/{img_id}.png")
-        except FileNotFoundError:
-            pass
+        system, _, hidden = self._places()
+        if system.get_file_info(hidden).type != fs.FileType.NotFound:
+            system.delete_dir(hidden)
 
 
 class PngFiles(DataSource):
@@ -141,4 +140,4 @@ class PngFiles(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool) -> PngWriter:
-        return PngWriter(self.options["path"], overwrite)
+        return PngWriter(self.options["path"])

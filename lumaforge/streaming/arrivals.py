@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumaforge.functions.derived import suffix
 from lumaforge.operators.catalog import IMAGE_SUFFIXES
-from lumaforge.sources.images import IMAGE_SCHEMA, decoded, explode_pixels, image_files, split_decoded, with_format
+from lumaforge.session import cut_lineage
+from lumaforge.sources.images import IMAGE_SCHEMA, decoded, explode_pixels, image_files, image_id, split_decoded, with_format
 
 
 def watch_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,13 +47,23 @@ def run_on_arrivals(
 
     Each micro-batch writes its own folder under ``output`` and overwrites it when it is replayed, so a
     restart adds nothing twice. Unreadable files are recorded with their error beside it, under
-    ``<output>-rejected``.
+    ``<output>-rejected``, and so are images of which the chain leaves no pixel; those are counted while pixels are
+    written, and looked up only if some are missing.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         good, bad = split_decoded(batch)
+        names = cut_lineage(good.select(image_id(F.col("path")).alias("img_id"), "path"))
+        folder = f"{output}/batch={batch_id}"
+        seen = Observation("images")
+        first_pixel = (F.col("x") == 0) & (F.col("y") == 0)
+        done = transform(explode_pixels(good)).observe(seen, F.count_if(first_pixel).alias("written"))
+        done.write.mode("overwrite").parquet(folder)
+        if seen.get["written"] < names.count():
+            arrived = batch.sparkSession.read.parquet(folder).where("x = 0 AND y = 0").select("img_id")
+            lost = names.join(arrived, "img_id", "left_anti").select("path", F.lit("no pixels left after the run").alias("error"))
+            bad = bad.unionByName(lost)
         bad.write.mode("overwrite").parquet(f"{output}-rejected/batch={batch_id}")
-        transform(explode_pixels(good)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return (
         images.writeStream.foreachBatch(one_batch)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lumaforge.functions import geometry as g
+from lumaforge.operators import pointwise as pw
 from lumaforge.operators.registry import run_steps
 from lumaforge.plans import steps
+from lumaforge.session import ensure_checkpoint_dir
 from lumaforge.workload import tables as t
 from lumaforge.workload.pixels import CH, LUMA, OUT, _mean, _weights, clamp
 from lumaforge.workload.registry import query
@@ -187,27 +190,31 @@ def predicted_sizes(spark, sf):
 
 
 _RESULT = """
-res AS (SELECT asset_id, path, CASE WHEN x < 0 THEN 'Crop X position cannot be negative' WHEN x + 900 > width
-  THEN 'Crop area extends beyond image width' WHEN y + 700 > height THEN 'Crop area extends beyond image height' END AS error
-  FROM (SELECT *, asset_id % 50 - 3 AS x, asset_id % 300 AS y FROM cat))
+res AS (SELECT asset_id, path, CASE WHEN vec_id IS NULL THEN 'image has no pixels'
+  WHEN asset_id % 3 = 0 THEN 'step 2 (crop) leaves no pixels' END AS error FROM cat LEFT JOIN embeddings ON vec_id = asset_id)
 """
 
+_RUN = [{"name": "brightness", "parameters": {"factor": 1.2}}, {"name": "crop", "parameters": {"x": 4, "width": 3}}]
+
 
 def _results(spark, sf):
-    x, y = F.col("asset_id") % 50 - 3, F.col("asset_id") % 300
-    error = g.crop_error(F.col("width"), F.col("height"), x, y, F.lit(900), F.lit(700))
-    return t.catalog(spark, sf).select("asset_id", "path", error.alias("error"))
+    """Outcomes of a run over images of which every third is too narrow for its crop."""
+    px = t.px_rgb(spark, sf)
+    narrow = F.col("img_id") % 3 == 0
+    px = pw.crop(px.where(narrow), width=3).unionByName(px.where(~narrow))
+    folder = f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    return steps.run_to_folder(t.catalog(spark, sf), px, _RUN, folder)
 
 
 @query(
-    "L8",
+    "L5 L8",
     t.with_tables("cat", f", {_RESULT} SELECT CASE WHEN error IS NULL THEN 'successful' ELSE 'failed' END AS status, count(*) AS n FROM res GROUP BY 1"),
 )
 def batch_summary(spark, sf):
     return steps.batch_summary(_results(spark, sf))
 
 
-@query("L8", t.with_tables("cat", f", {_RESULT} SELECT asset_id, path, error AS message FROM res WHERE error IS NOT NULL"))
+@query("L5 L8", t.with_tables("cat", f", {_RESULT} SELECT asset_id, path, error AS message FROM res WHERE error IS NOT NULL"))
 def failed_files(spark, sf):
     return steps.failed_files(_results(spark, sf))
 

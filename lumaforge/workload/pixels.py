@@ -131,10 +131,19 @@ def crop_to_edge(spark, sf):
     return pw.crop(t.px_rgb(spark, sf), 2, 5).select("img_id", "w", "h", "x", "y", "r", "g", "b")
 
 
-# The images are cut to 8x5 first, so that width and height differ.
+# The pixels of an image dealt anew to sixteen columns and four lines, so that width and height differ.
+_WIDE = """wide AS (SELECT img_id, CAST((y * 8 + x) % 16 AS INTEGER) AS x, CAST((y * 8 + x) // 16 AS INTEGER) AS y, r, g, b FROM rgb)"""
+
+
+def _wide(spark, sf):
+    return t.px_rgb(spark, sf).selectExpr(
+        "img_id", "16 AS w", "4 AS h", "cast((y * 8 + x) % 16 AS int) AS x", "cast((y * 8 + x) div 16 AS int) AS y", "r", "g", "b"
+    )
+
+
 _MAPS = {
-    "flip_horizontal": "7 - x, y", "FLIP_TOP_BOTTOM": "x, 4 - y", "ROTATE_90": "y, 7 - x",
-    "ROTATE_180": "7 - x, 4 - y", "ROTATE_270": "4 - y, x", "TRANSPOSE": "y, x", "TRANSVERSE": "4 - y, 7 - x",
+    "flip_horizontal": "15 - x, y", "FLIP_TOP_BOTTOM": "x, 3 - y", "ROTATE_90": "y, 15 - x",
+    "ROTATE_180": "15 - x, 3 - y", "ROTATE_270": "3 - y, x", "TRANSPOSE": "y, x", "TRANSVERSE": "3 - y, 15 - x",
 }
 
 
@@ -142,14 +151,14 @@ _MAPS = {
     "X9",
     t.with_tables(
         "rgb",
-        " UNION ALL ".join(
-            f"SELECT '{m}' AS method, img_id, {e.split(', ')[0]} AS x, {e.split(', ')[1]} AS y, r, g, b FROM rgb WHERE y < 5"
+        f", {_WIDE} " + " UNION ALL ".join(
+            f"SELECT '{m}' AS method, img_id, {e.split(', ')[0]} AS x, {e.split(', ')[1]} AS y, r, g, b FROM wide"
             for m, e in _MAPS.items()
         ),
     ),
 )
 def transpose(spark, sf):
-    px = pw.crop(t.px_rgb(spark, sf), 0, 0, 8, 5)
+    px = _wide(spark, sf)
     out = None
     for m in _MAPS:
         part = pw.transpose(px, m).select(F.lit(m).alias("method"), *OUT)
@@ -336,34 +345,34 @@ def noise_reduction_strong(spark, sf):
 
 
 def _rotate_sql(cos: str, sin: str, cw: int, ch: int) -> str:
-    """Gather form: every canvas pixel looks up its source in an 8x5 image."""
-    sx = f"CAST(floor({cos} * (tx + 0.5::DOUBLE - {cw} / 2.0::DOUBLE) - {sin} * (ty + 0.5::DOUBLE - {ch} / 2.0::DOUBLE) + 8 / 2.0::DOUBLE) AS INTEGER)"
-    sy = f"CAST(floor({sin} * (tx + 0.5::DOUBLE - {cw} / 2.0::DOUBLE) + {cos} * (ty + 0.5::DOUBLE - {ch} / 2.0::DOUBLE) + 5 / 2.0::DOUBLE) AS INTEGER)"
+    """Gather form: every canvas pixel looks up its source in a 16x4 image."""
+    sx = f"CAST(floor({cos} * (tx + 0.5::DOUBLE - {cw} / 2.0::DOUBLE) - {sin} * (ty + 0.5::DOUBLE - {ch} / 2.0::DOUBLE) + 16 / 2.0::DOUBLE) AS INTEGER)"
+    sy = f"CAST(floor({sin} * (tx + 0.5::DOUBLE - {cw} / 2.0::DOUBLE) + {cos} * (ty + 0.5::DOUBLE - {ch} / 2.0::DOUBLE) + 4 / 2.0::DOUBLE) AS INTEGER)"
     return t.with_tables(
         "rgb",
         f"""
-        , c AS (SELECT img_id, tx, ty, {sx} AS sx, {sy} AS sy FROM (SELECT DISTINCT img_id FROM rgb), range({cw}) a(tx), range({ch}) b(ty))
+        , {_WIDE}, c AS (SELECT img_id, tx, ty, {sx} AS sx, {sy} AS sy FROM (SELECT DISTINCT img_id FROM rgb), range({cw}) a(tx), range({ch}) b(ty))
         SELECT c.img_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, coalesce(r, 9) AS r, coalesce(g, 8) AS g, coalesce(b, 7) AS b
-        FROM c LEFT JOIN (SELECT * FROM rgb WHERE y < 5) s ON s.img_id = c.img_id AND s.x = sx AND s.y = sy
+        FROM c LEFT JOIN wide s ON s.img_id = c.img_id AND s.x = sx AND s.y = sy
         """,
     )
 
 
 def _rotated(spark, sf, angle, expand):
-    return nb.rotate(pw.crop(t.px_rgb(spark, sf), 0, 0, 8, 5), angle, expand, (9, 8, 7)).select(OUT)
+    return nb.rotate(_wide(spark, sf), angle, expand, (9, 8, 7)).select(OUT)
 
 
-@query("N6", _rotate_sql("0.0::DOUBLE", "1.0::DOUBLE", 5, 8))
+@query("N6", _rotate_sql("0.0::DOUBLE", "1.0::DOUBLE", 4, 16))
 def rotate_quarter(spark, sf):
     return _rotated(spark, sf, 90, True)
 
 
-@query("N6", _rotate_sql("0.0::DOUBLE", "-1.0::DOUBLE", 8, 5))
+@query("N6", _rotate_sql("0.0::DOUBLE", "-1.0::DOUBLE", 16, 4))
 def rotate_same_canvas(spark, sf):
     return _rotated(spark, sf, 270, False)
 
 
-@query("N6", _rotate_sql("0.8660254037844387::DOUBLE", "0.49999999999999994::DOUBLE", 10, 9))
+@query("N6", _rotate_sql("0.8660254037844387::DOUBLE", "0.49999999999999994::DOUBLE", 16, 12))
 def rotate_free(spark, sf):
     return _rotated(spark, sf, 30, True)
 

@@ -42,21 +42,28 @@ def exif_struct(spark, sf):
     t.with_tables(
         "exif",
         """
-        , r AS (SELECT asset_id, 33434 AS tag, exp_num AS num, exp_den AS den FROM exif
-          UNION ALL SELECT asset_id, 33437, fn_num, fn_den FROM exif
-          UNION ALL SELECT asset_id, 37386, fl_num, 1 FROM exif WHERE fl_num IS NOT NULL)
-        SELECT asset_id, tag, CASE WHEN den <> 0 THEN num / den::DOUBLE END AS value,
+        , gps AS (SELECT * FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 3 = 0),
+        r AS (SELECT asset_id, 33434 AS tag, 0 AS place, exp_num AS num, exp_den AS den FROM exif
+          UNION ALL SELECT asset_id, 33437, 0, fn_num, fn_den FROM exif
+          UNION ALL SELECT asset_id, 37386, 0, fl_num, 1 FROM exif WHERE fl_num IS NOT NULL
+          UNION ALL SELECT doc_id, 282, 0, 72 + doc_id % 3, 1 FROM documents WHERE doc_id % 4 <> 0
+          UNION ALL SELECT doc_id, 2, i, [doc_id % 90, doc_id % 60, doc_id % 3600][i + 1], [1, 1, 60][i + 1] FROM gps, range(3) a(i)
+          UNION ALL SELECT doc_id, 4, i, [doc_id % 180, doc_id % 59, doc_id % 1800][i + 1], [1, 1, 30][i + 1] FROM gps, range(3) a(i)
+          UNION ALL SELECT doc_id, 6, 0, doc_id % 9000, 4 FROM gps
+          UNION ALL SELECT doc_id, 7, i, [doc_id % 24, doc_id % 60, doc_id % 600][i + 1], [1, 1, 10][i + 1] FROM gps, range(3) a(i))
+        SELECT asset_id, tag, place::BIGINT AS place, CASE WHEN den <> 0 THEN num / den::DOUBLE END AS value,
           CASE WHEN den = 1 THEN CAST(num AS VARCHAR) ELSE num || '/' || den END AS txt FROM r
         """,
     ),
 )
 def rationals(spark, sf):
-    r = t.exif_tags(spark, sf).where(F.col("tag").isin(33434, 33437, 37386)).select(
-        "asset_id", "tag", F.col("rationals")[0]["num"].alias("num"), F.col("rationals")[0]["den"].alias("den")
+    """Every quotient of every rational tag."""
+    r = t.exif_tags(spark, sf).select("asset_id", "tag", F.posexplode("rationals").alias("place", "q")).select(
+        "asset_id", "tag", F.col("place").cast("long").alias("place"), "q.num", "q.den"
     )
     num, den = F.col("num"), F.col("den")
     return r.select(
-        "asset_id", "tag", tv.rational_to_float(num, den).alias("value"), tv.rational_to_string(num, den).alias("txt")
+        "asset_id", "tag", "place", tv.rational_to_float(num, den).alias("value"), tv.rational_to_string(num, den).alias("txt")
     )
 
 

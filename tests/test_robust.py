@@ -7,8 +7,9 @@ import pytest
 
 from lumaforge.functions import geometry, templates, validation
 from lumaforge.operators import neighborhood
+from lumaforge.operators import pointwise as pw
 from lumaforge.operators.catalog import assets_from_pixels
-from lumaforge.operators.registry import OperatorError
+from lumaforge.operators.registry import OPERATORS, Operator, OperatorError
 from lumaforge.plans import recipe_run, steps
 from lumaforge.plans.duplicates import find_duplicates
 from lumaforge.sources import images, tagscan
@@ -58,6 +59,33 @@ def test_unreadable_arrivals_are_recorded(spark, folder, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in bad] == ["broken file.png"]
 
 
+def test_arrivals_left_without_pixels_are_recorded(spark, folder, tmp_path):
+    out = str(tmp_path / "cropped")
+    narrow = [[9, 9, 9]]
+    (folder / "narrow.png").write_bytes(png_bytes(narrow, 3))
+    run_on_arrivals(watch_images(spark, str(folder)), lambda px: pw.crop(px, x=2), out, str(tmp_path / "ckpt2")).awaitTermination()
+    bad = {r.path.rsplit("/", 1)[1]: r.error for r in spark.read.parquet(f"{out}-rejected").collect()}
+    assert bad == {"broken file.png": "cannot identify image file", "narrow.png": "no pixels left after the run"}
+    assert {(r.w, r.h) for r in spark.read.parquet(out).select("w", "h").distinct().collect()} == {(2, 4)}
+
+
+def test_images_lost_by_an_operator_are_found_from_the_run(spark, tmp_path):
+    """The counts of the run say that images are missing, though no step was expected to fail."""
+    px = pixels(spark, (3, 3)).unionByName(pixels(spark, (3, 3)).withColumn("img_id", F.col("img_id") + 1))
+    ids = [r.img_id for r in px.select("img_id").distinct().orderBy("img_id").collect()]
+    catalog = spark.createDataFrame([(i, f"/p/{i}.png") for i in [*ids, 99]], "asset_id long, path string")
+    drop = Operator("drop_first", "Drop", lambda p: p.where(F.col("img_id") != ids[0]), {})
+    OPERATORS.register(drop)
+    try:
+        got = steps.run_to_folder(catalog, px, [{"name": "drop_first"}], str(tmp_path / "run"))
+    finally:
+        OPERATORS.unregister("drop_first")
+    assert {r.asset_id: r.error for r in got.collect()} == {
+        ids[0]: "no pixels left after the run", **{i: None for i in ids[1:]}, 99: "image has no pixels",
+    }
+    assert {(r.img_id, r.w, r.h) for r in pw.outside_crop(px, x=3).collect()} == {(i, 3, 3) for i in ids}
+
+
 def test_cut_off_resource_segment_costs_nothing_else():
     body = b"Photoshop 3.0\0" + b"8BIM\x04"
     segment = b"\xff\xed" + struct.pack(">H", len(body) + 2) + body
