@@ -3,7 +3,8 @@
 Texts are sets of five-word shingles; a text of one to four words is one shingle, a text without words has none
 and is linked to nothing. Two texts are linked if their sets have a Jaccard similarity of 0.8 or more.
 
-1. Texts with equal sets are copies of each other and go on as one, by the smallest id.
+1. Texts with equal sets are copies of each other and go on as one, under a number of its own: ids play no part in
+   what is compared, so different texts may share one, and it may be of any type.
 2. ``HASHES`` minhash values per text; bands of ``ROWS`` values are candidate buckets. A pair of similarity
    0.8 shares no bucket with a probability of 3e-6.
 3. Pairs in a bucket are compared by sixteen more values at a time. With a uniform prior, the posterior of the
@@ -15,8 +16,9 @@ and is linked to nothing. Two texts are linked if their sets have a Jaccard simi
 Buckets and components above ``BLOCK`` texts are cut into blocks, and each pair of blocks is a group of its own,
 so no task holds more than two blocks. Shingles are compared by 64-bit hashes.
 
-Repeated rows are copies. A null text is a text without words. Rows without an id are returned without class. An
-empty table gives an empty result. Texts are used whole; only the two named columns are read.
+Repeated rows are copies. A null text is a text without words. A row without an id is compared like any other; it gives
+a class its name only if no member has an id, and that name is null. An empty table gives an empty result. Texts are used
+whole; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaforge.llm.tables import WORD, stored
+from lumaforge.llm.tables import WORD, release, stored
 
 SHINGLE = 5
 #: The similarity from which on texts are linked, as a fraction.
@@ -116,11 +118,17 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """``id, text, fp``; the fingerprint tells rows apart, and those that share one are told apart by their digest."""
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return rows.withColumn("fp", _fingerprint(F.col("id"), F.col("text")))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """``id, same, size, sig``: a digest of the shingle set, its size, and the signature."""
+def _fingerprint(key: Column, text: Column) -> Column:
+    return F.xxhash64(key, key.isNull(), text)
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """``id, fp, same, size, sig``: a digest of the shingle set, its size, and the signature."""
 
     def run(batches):
         hashes = WordHashes()
@@ -128,13 +136,18 @@ def signed(docs: DataFrame) -> DataFrame:
             same, sizes, sigs = [], [], []
             for value in batch.column(1):
                 found = shingles(value.as_py(), hashes)
-                same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                same.append(_digest(found))
                 sizes.append(len(found))
                 sigs.append(signature(found).tobytes())
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "same", "size", "sig"])
+            columns = [batch.column(0), batch.column(2), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "same", "size", "sig"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, fp long, same binary, size int, sig binary")
 
-    return docs.mapInArrow(run, "id long, same binary, size int, sig binary")
+
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -310,33 +323,42 @@ def intersections(owner: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(members: DataFrame, rows: DataFrame) -> DataFrame:
     """Per text and task ``id, links, root``: verified links, and the smallest text they connect it to there.
 
-    ``members`` has ``id, component, n``. So that no other text moves, a Bloom filter of their ids, of bounded size,
-    picks the texts whose shingles are computed again; the join that follows is exact.
+    ``members`` has ``id`` (the text's number), ``fp`` (of a row that bears it), ``same``, ``component, n``. So that no other
+    text moves, a Bloom filter of the fingerprints, of bounded size, picks the rows whose shingles are computed again, a
+    repeated row once per task; the join that follows is exact.
     """
     bits = min(FILTER_BITS, max(1 << 10, 1 << (16 * members.count()).bit_length()))
-    ways = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(2)]
+    ways = [F.pmod(F.xxhash64("fp", F.lit(k)), F.lit(bits)) for k in range(2)]
     marks = members.select(F.explode(F.array(*ways)).alias("bit"))
     words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow()
     table = np.zeros(bits >> 6, np.uint64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    known = docs.sparkSession.sparkContext.broadcast(table)
+    known = rows.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches):
         hashes = WordHashes()
+        seen: set[int] = set()
         for batch in batches:
             hit = np.ones(batch.num_rows, bool)
             for way in ("a", "b"):
                 bit = batch.column(way).to_numpy().astype(np.uint64)
                 hit &= (known.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            prints = batch.column("fp").to_numpy()
+            for k in np.flatnonzero(hit).tolist():
+                if int(prints[k]) in seen:
+                    hit[k] = False
+                elif len(seen) < TABLE_SIZE:
+                    seen.add(int(prints[k]))
             batch = batch.filter(pa.array(hit))
-            found = [shingles(t.as_py(), hashes).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "found"])
+            found = [shingles(t.as_py(), hashes) for t in batch.column("text")]
+            columns = [batch.column("fp"), pa.array(map(_digest, found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["fp", "same", "found"])
 
-    sought = docs.select("id", "text", ways[0].alias("a"), ways[1].alias("b"))
-    shingled = sought.mapInArrow(sets, "id long, found binary").join(members, "id")
+    sought = rows.select("fp", "text", ways[0].alias("a"), ways[1].alias("b"))
+    shingled = sought.mapInArrow(sets, "fp long, same binary, found binary").join(members, ["fp", "same"])
 
     def compare(batches):
         for table, firsts in whole_groups(batches, ["component", "lo", "hi"]):
@@ -356,7 +378,7 @@ def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
                 s = side[start:end]
                 like &= (s[:, None] == 2) | (s[:, None] != s[None, :])
                 own = ids[start:end]
-                again = np.concatenate([[False], own[1:] == own[:-1]])  # a row repeated with its id
+                again = np.concatenate([[False], own[1:] == own[:-1]])  # a row that is repeated in several tasks
                 like &= ~(again[:, None] | again[None, :])
                 np.fill_diagonal(like, False)
                 links[start:end] = like.sum(1)
@@ -368,7 +390,42 @@ def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
             columns = [pa.array(ids), pa.array(links), pa.array(least[roots])]
             yield pa.RecordBatch.from_arrays(columns, ["id", "links", "root"])
 
-    return tiles(shingled, "component").mapInArrow(compare, "id long, links long, root long")
+    kept = shingled.select("id", "component", "n", "found")
+    return tiles(kept, "component").mapInArrow(compare, "id long, links long, root long")
+
+
+def classified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(signs, about)`` of ``id, text, fp``: the stored signatures of all rows, and what is known of each text with words.
+
+    ``about`` has ``same, copy_of, n_copies, node, class, class_id, n_links``; ``class`` is a number, since two classes may bear
+    the same smallest id.
+    """
+    signs = stored(signed(rows), "signatures")
+    worded = signs.where("size > 0")
+    # Copies of a text meet here; Spark puts them together within each task first.
+    copies = worded.groupBy("same").agg(
+        F.min("id").alias("copy_of"), F.count("fp").alias("n_copies"), F.min("fp").alias("fp"), F.any_value("sig").alias("sig")
+    )
+    nodes = stored(copies.withColumn("node", F.monotonically_increasing_id()), "texts")
+    found = components(candidates(nodes.select(F.col("node").alias("id"), "sig")))
+    sizes = found.groupBy("component").agg(F.count("id").alias("n"))
+    members = found.join(sizes, "component").join(nodes.select(F.col("node").alias("id"), "fp", "same"), "id")
+    members = stored(members, "members")
+    links = stored(verified(members, rows), "verified")
+    counts = links.groupBy("id").agg(F.sum("links").cast("long").alias("n_links"))
+    linked = components(links.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    texts = nodes.select("same", "copy_of", "n_copies", F.col("node").alias("id"))
+    about = texts.join(counts, "id", "left").join(linked, "id", "left")
+    about = about.select(
+        "same", "copy_of", "n_copies", F.col("id").alias("node"), F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    # Most texts are a class of their own; only linked ones meet to find the smallest id.
+    alone = about.join(linked.select(F.col("id").alias("node")), "node", "left_anti").withColumn("class_id", F.col("copy_of"))
+    grouped = about.join(linked.select(F.col("id").alias("node")), "node", "left_semi")
+    least = grouped.groupBy("class").agg(F.min("copy_of").alias("class_id"))
+    about = stored(alone.unionByName(grouped.join(least, "class")), "classes")
+    release(nodes, members, links)
+    return signs, about
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,45 +433,35 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     ``copy_of`` is the smallest id with the same shingles and ``n_copies`` the number of rows with them;
     ``n_links`` counts the other texts it is linked to, copies of one text being one; ``class_id`` is the smallest
-    id reached over links and copies.
+    id reached over links and copies. A text without words is a class of its own.
     """
-    rows = _columns(docs, key, text)
-    named = rows.where("id IS NOT NULL")
-    signs = stored(signed(named), "signatures")
-    classes = signs.where("size > 0").groupBy("same").agg(F.min("id").alias("copy_of"), F.count("id").alias("n_copies"))
-    classes = stored(classes, "copies")
-    first = classes.select(F.col("copy_of").alias("id"))
-    leaders = stored(signs.select("id", "sig").join(first, "id", "left_semi").dropDuplicates(["id"]), "leaders")
-    found = components(candidates(leaders))
-    sizes = found.groupBy("component").agg(F.count("id").alias("n"))
-    members = stored(found.join(sizes, "component"), "members")
-    links = stored(verified(members, named), "verified")
-    return _labelled(rows, signs, classes, links, key)
-
-
-def _labelled(rows: DataFrame, signs: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    counts = links.groupBy("id").agg(F.sum("links").cast("long").alias("n_links"))
-    linked = components(links.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    about = classes.join(counts, classes["copy_of"] == counts["id"], "left").drop("id")
-    about = about.join(linked, about["copy_of"] == linked["id"], "left").drop("id")
-    out = signs.select("id", "same").join(about, "same", "left")
-    out = out.select(
-        F.col("id").alias(key), F.coalesce("component", "copy_of", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_of", "id").alias("copy_of"),
+    signs, about = classified(_columns(docs, key, text))
+    known = about.withColumn("_worded", F.lit(True))
+    out = signs.select("id", "same").join(known, "same", "left")
+    own = F.col("_worded").isNull()
+    return out.select(
+        F.col("id").alias(key), F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(own, F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
     )
-    nothing = rows.where("id IS NULL").select(
-        F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-        F.col("id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"),
-    )
-    return out.unionByName(nothing)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, the one with the smallest id, with its columns unchanged.
 
-    Of rows that repeat an id one stays. Rows without an id belong to no class and stay.
+    Different texts under one id are different documents; where one belongs to the class and another does not, both are looked
+    at alone. Of rows that repeat id and text one stays. Documents without words are linked to nothing and all stay.
     """
-    first = join(docs, key, text).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    chosen = docs.join(first, key, "left_semi").dropDuplicates([key])
-    return chosen.unionByName(docs.where(F.col(key).isNull()))
+    signs, about = classified(_columns(docs, key, text))
+    placed = signs.where("size > 0").join(about.select("same", "class"), "same")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp"))
+    chosen = placed.groupBy("class").agg(first.alias("f")).select(F.col("f.id").alias("_id"), F.col("f.fp").alias("_fp"))
+    printed = docs.withColumn("_fp", _fingerprint(F.col(key), F.col(text)))
+    found = chosen.alias("c")
+    same_row = (F.col("_doc._fp") == F.col("c._fp")) & F.col(f"_doc.{key}").eqNullSafe(F.col("c._id"))
+    kept = printed.alias("_doc").join(found, same_row, "left_semi").where(_worded(F.col(text))).dropDuplicates([key, "_fp"]).drop("_fp")
+    return kept.unionByName(docs.where(~_worded(F.col(text))))
+
+
+def _worded(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(WORD)

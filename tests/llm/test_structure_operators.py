@@ -197,18 +197,55 @@ def test_near_duplicates_equal_all_pairs(spark, odd, monkeypatch, block):
     for i in range(10):
         rows.append((200 + i, " ".join(f"u{k}" for k in range(i * 3, 100 + i * 3))))
     rows.append((5, TEXTS[5]))
-    frame = spark.createDataFrame([(*r, "x") for r in rows] + [(None, "one two three four five", "x")], "doc_id long, text string, component string")
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string")
     got = ngram_join.join(frame).collect()
-    assert len(got) == len(rows) + 1
+    assert len(got) == len(rows)
     want = brute_join(rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.class_id is None
-        else:  # the row that is there twice is two copies
-            assert (r.class_id, r.n_links, r.copy_of, r.n_copies) == want[r.doc_id]
+    for r in got:  # the row that is there twice is two copies
+        assert (r.class_id, r.n_links, r.copy_of, r.n_copies) == want[r.doc_id]
     kept = ngram_join.keep_one(frame)
     assert kept.columns == frame.columns
-    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == [-1, *sorted({v[0] for v in want.values()})]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({v[0] for v in want.values()})
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_with_shared_and_missing_ids(spark, kind):
+    """Texts are compared whatever their ids: shared by several texts, null, or no numbers."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(base) if i % 3 else [f"z{i}_{k}" for k in range(30)]
+        for k in rng.choice(len(words), rng.integers(0, 4), replace=False):
+            words[k] = f"v{rng.integers(2)}"
+        rows.append((None if i % 7 == 0 else int(i % 11), " ".join(words)))
+    rows += [(1, "alpha beta gamma delta epsilon"), (1, "other text that is quite different here"), (2, "alpha beta gamma delta epsilon")]
+    rows += [(None, "alpha beta gamma delta epsilon"), (None, "nobody else says these words"), (None, "nobody else says these words"), (None, None), (3, ""), (3, "")]
+    if kind == "string":
+        rows = [(None if i is None else f"id {i}", t) for i, t in rows]
+    # By row number, as if each row had an id of its own; then by the smallest id in each class.
+    plain = brute_join(list(enumerate(t for _, t in rows)))
+    members = collections.defaultdict(list)
+    for k, (c, *_) in plain.items():
+        members[c].append(k)
+    copies = collections.defaultdict(list)
+    for k, v in plain.items():
+        copies[v[2]].append(k)
+    least = lambda ks: min((rows[k][0] for k in ks if rows[k][0] is not None), default=None)
+    want = collections.Counter((rows[k][0], least(members[c]), n, least(copies[first]), m) for k, (c, n, first, m) in plain.items())
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    assert collections.Counter(map(tuple, ngram_join.join(frame).collect())) == want
+    kept = ngram_join.keep_one(frame).collect()
+    worded = [c for c in members if rows[c][1]]
+    assert len(kept) == len(worded) + 3 and {(1, "other text that is quite different here"), ("id 1", "other text that is quite different here")} & set(map(tuple, kept))
+    shown = collections.Counter(shingles_of(t) for _, t in map(tuple, kept) if t)
+    for c in worded:
+        assert sum(shown[shingles_of(rows[k][1])] for k in {j for j in members[c]}) >= 1
+    assert collections.Counter((i, i is None) for i, t in map(tuple, kept) if t) == collections.Counter((least(members[c]), least(members[c]) is None) for c in worded)
+
+
+def shingles_of(text):
+    return frozenset(shingle_set(text))
 
 
 def test_near_duplicates_of_documents(spark):
