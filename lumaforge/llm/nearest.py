@@ -8,13 +8,15 @@ than the k-th best so far would lie there with a probability below ``1 - CONFIDE
 The top of the kd-tree is fitted on a bounded sample, and every vector is dealt into its cells; a cell that got
 more rows than ``CELL_ROWS``, because of copies for instance, is split by a hash of the row. In a cell's task the
 tree goes on to leaves of ``LEAF_ROWS``. A query first searches its own cell. The bound found there says which
-other cells it must visit; their candidates are merged. Leaves are visited by rising projected distance and
-verified in full precision with the original vectors.
+other cells it must visit; their candidates are merged. The tree knows the first ``PROJECTED`` of ``WIDE`` projections. Leaves
+are opened by rising distance of their boxes; the points of the open ones are verified with the original vectors, in full
+precision, by rising distance in all ``WIDE`` projections, until the test on the next of them holds.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, neither do rows without an
 id; rows repeated with id and vector count once, and different vectors with the same id are each a row, as candidates and
 as queries, whose rows then bear the same ``query_id``; a vector is never a neighbour of its own id. Vectors are compared with those of the
-same dimension. Ties go to the smaller id. Only the two named columns are read.
+same dimension. Ties go to the smaller id, which must be a whole number; another type is refused. An empty table gives an
+empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -30,10 +32,14 @@ from pyspark.sql import functions as F
 from lumaforge.llm.tables import stored
 
 K = 20
-PROJECTED = 8
-CONFIDENCE = 0.97
+#: Projections that the tree is built on, and those that points are tested by.
+PROJECTED, WIDE = 8, 40
+#: Of the test on boxes, and of that on points.
+CONFIDENCE, POINT_CONFIDENCE = 0.97, 0.88
 CELL_ROWS = 16_384
-LEAF_ROWS = 128
+LEAF_ROWS = 32
+#: Leaves opened first; each further step opens this many times as many, and verifies this many times as many points.
+FIRST_LEAVES, GROWTH = 8, 4
 #: Queries searched in one task, at most about.
 QUERY_ROWS = 32_768
 #: Vectors that the top of the tree is fitted on, at most.
@@ -56,7 +62,7 @@ def chi_square_quantile(p: float, freedom: int) -> float:
 
 def projection(dim: int) -> np.ndarray:
     """Gaussian directions for vectors of ``dim`` components and the one that is added."""
-    return np.random.default_rng([SEED, dim]).normal(size=(dim + 1, PROJECTED))
+    return np.random.default_rng([SEED, dim]).normal(size=(dim + 1, WIDE))
 
 
 def project(vectors: np.ndarray, longest: float, query: bool = False) -> np.ndarray:
@@ -122,53 +128,88 @@ def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
 
 
 class Cell:
-    """One cell's vectors with the lower part of the tree."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.vectors, self.longest = ids, vectors, longest
-        points = project(self.vectors, longest)
-        _, leaves = split_tree(points, LEAF_ROWS)
-        self.order = np.concatenate(leaves)
-        self.starts = np.cumsum([0] + [len(x) for x in leaves])
-        self.low = np.array([points[x].min(0) for x in leaves])
-        self.high = np.array([points[x].max(0) for x in leaves])
-        self.limit = chi_square_quantile(CONFIDENCE, PROJECTED)
+    """One cell's vectors with the lower part of the tree, in the order of its leaves."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        # Lengths are measured against the longest vector here, which leaves the smallest distances to tell apart.
+        self.longest = float(np.sqrt((vectors * vectors).sum(1).max())) * (1 + 1e-12)
+        points = project(vectors, self.longest)
+        _, leaves = split_tree(points[:, :PROJECTED], LEAF_ROWS)
+        order = np.concatenate(leaves)
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+        self.sizes = np.array([len(x) for x in leaves])
+        self.low = np.array([points[x, :PROJECTED].min(0) for x in leaves])
+        self.high = np.array([points[x, :PROJECTED].max(0) for x in leaves])
+        self.box_limit, self.point_limit = chi_square_quantile(CONFIDENCE, PROJECTED), chi_square_quantile(POINT_CONFIDENCE, WIDE)
+        self.verified = 0
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray):
-        """For each query the rows and scores of its best ``k`` here; ``bounds``: scores below these are no use."""
-        norms = np.sqrt((queries * queries).sum(1))
-        gaps = box_distances(project(queries, self.longest, query=True), self.low, self.high)
+        """For each query the ids and scores of its best ``k`` here; ``bounds``: scores below these are no use."""
+        places = project(queries, self.longest, query=True)
+        gaps = box_distances(places[:, :PROJECTED], self.low, self.high)
+        scales = np.sqrt((queries * queries).sum(1)) * self.longest
         for i, q in enumerate(queries):
-            near = np.argsort(gaps[i], kind="stable")
-            lower = gaps[i][near]
-            scale = norms[i] * self.longest
-            found_rows, found_scores = np.empty(0, np.int64), np.empty(0)
-            best, done, step = bounds[i], 0, 2
-            while done < len(near):
-                # A point better than the k-th best has at most this squared distance.
-                reach = max(0.0, 2 - 2 * best / scale) * self.limit if best > -np.inf else np.inf
-                stop = min(int(np.searchsorted(lower, reach, side="right")), done + step)
-                if stop <= done:
+            found = _Best(k, bounds[i], scales[i])
+            near, opened = np.argsort(gaps[i], kind="stable"), 0
+            step = FIRST_LEAVES
+            while opened < len(near):
+                stop = min(int(np.searchsorted(gaps[i][near], found.reach(self.box_limit), side="right")), opened + step)
+                if stop <= opened:
                     break
-                rows = np.concatenate([self.order[self.starts[j] : self.starts[j + 1]] for j in near[done:stop]])
-                rows = rows[self.ids[rows] != ids[i]]
-                done, step = stop, step * 2
-                scores = self.vectors[rows] @ q
-                # Rounding of this product depends on the block; near the edge more are kept for the exact measure.
-                slack = 1e-9 * scale
-                found_rows = np.concatenate([found_rows, rows[scores >= best - slack]])
-                found_scores = np.concatenate([found_scores, scores[scores >= best - slack]])
-                if len(found_rows) >= k:
-                    best = max(best, np.partition(found_scores, -k)[-k])
-                    keep = found_scores >= best - slack
-                    found_rows, found_scores = found_rows[keep], found_scores[keep]
-            exact = (self.vectors[found_rows] * q).sum(1)
-            top = np.lexsort((self.ids[found_rows], -exact))[:k]
-            yield self.ids[found_rows[top]], exact[top]
+                mask = np.zeros(len(near), bool)
+                mask[near[opened:stop]] = True
+                opened, step = stop, step * GROWTH
+                rows = np.flatnonzero(np.repeat(mask, self.sizes) & (self.ids != ids[i]))
+                apart = self.points[rows] - places[i]
+                self.verify(q, rows, np.einsum("ij,ij->i", apart, apart), found)
+            exact = (self.vectors[found.rows] * q).sum(1)
+            top = np.lexsort((self.ids[found.rows], -exact))[:k]
+            yield self.ids[found.rows[top]], exact[top]
+
+    def verify(self, q: np.ndarray, rows: np.ndarray, distances: np.ndarray, found: _Best) -> None:
+        """Score rows by rising projected distance, until the next is so far that it is hardly among the best."""
+        take = 4 * found.k
+        while True:
+            fit = distances <= found.reach(self.point_limit)
+            rows, distances = rows[fit], distances[fit]
+            if not len(rows):
+                return
+            if len(rows) > 2 * take:
+                order = np.argpartition(distances, take)
+                now, later = order[:take], order[take:]
+            else:
+                now, later = np.arange(len(rows)), np.empty(0, np.int64)
+            found.add(rows[now], self.vectors[rows[now]] @ q)
+            self.verified += len(now)
+            rows, distances, take = rows[later], distances[later], take * GROWTH
+
+
+class _Best:
+    """Rows that may be among the best ``k`` of a query."""
+
+    def __init__(self, k: int, bound: float, scale: float):
+        self.k, self.best, self.scale = k, bound, scale
+        self.rows, self.scores = np.empty(0, np.int64), np.empty(0)
+        # Rounding of a product depends on its block; near the edge more are kept for the exact measure.
+        self.slack = 1e-9 * scale
+
+    def reach(self, limit: float) -> float:
+        """The squared projected distance that a better point exceeds with small probability."""
+        return max(0.0, 2 - 2 * self.best / self.scale) * limit if self.best > -np.inf else np.inf
+
+    def add(self, rows: np.ndarray, scores: np.ndarray) -> None:
+        good = scores >= self.best - self.slack
+        self.rows, self.scores = np.concatenate([self.rows, rows[good]]), np.concatenate([self.scores, scores[good]])
+        if len(self.rows) >= self.k:
+            self.best = max(self.best, np.partition(self.scores, -self.k)[-self.k])
+            keep = self.scores >= self.best - self.slack
+            self.rows, self.scores = self.rows[keep], self.scores[keep]
 
 
 def usable(rows: DataFrame, is_query: Column, key: str, vector: str) -> DataFrame:
     """``id, v, q, dim`` of the vectors that take part, in double precision; ``q`` marks queries."""
+    if rows.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} must be a whole number")
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     query = F.coalesce(is_query, F.lit(False)).alias("q")
@@ -206,8 +247,8 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
     first_cell = 0
     for dim, (n, longest) in sorted(sizes.items()):
         at = np.flatnonzero(sample.column("dim").to_numpy() == dim)
-        points = project(_matrix(sample.column("v").take(pa.array(at)).combine_chunks()), longest) if len(at) else np.empty((0, PROJECTED))
-        nodes, leaves = split_tree(points, max(1, int(CELL_ROWS / 2 * len(at) / n)))
+        points = project(_matrix(sample.column("v").take(pa.array(at)).combine_chunks()), longest) if len(at) else np.empty((0, WIDE))
+        nodes, leaves = split_tree(points[:, :PROJECTED], max(1, int(CELL_ROWS / 2 * len(at) / n)))
         trees[dim] = nodes, first_cell
         first_cell += len(leaves)
     shared = spark.sparkContext.broadcast((trees, sizes))
@@ -218,7 +259,7 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
         for batch in batches:
             for dim, at in _split_dims(batch):
                 part = batch.take(pa.array(at))
-                points = project(_matrix(part.column("v")), sizes[dim][1])
+                points = project(_matrix(part.column("v")), sizes[dim][1])[:, :PROJECTED]
                 nodes, first = trees[dim]
                 cell = first + locate(nodes, points)
                 columns = [part.column("id"), part.column("v"), pa.array(cell), part.column("q")]
@@ -255,9 +296,7 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
         """Best candidates of one cell part for the queries sent to it."""
         out = []
         if left.num_rows and right.num_rows:
-            sizes = layout.value[5]
-            matrix = _matrix(left.column("v").combine_chunks())
-            cell = Cell(left.column("id").to_numpy(), matrix, sizes[matrix.shape[1]][1])
+            cell = Cell(left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks()))
             q = _matrix(right.column("w").combine_chunks())
             ids, numbers = right.column("query").to_numpy(), right.column("number").to_numpy()
             for i, (found, scores) in enumerate(cell.search(ids, q, k, right.column("bound").to_numpy())):
@@ -287,7 +326,7 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
                 scale = np.sqrt((v * v).sum(1)) * sizes[dim][1]
                 bound = part.column("bound").to_numpy(zero_copy_only=False)
                 reach = np.maximum(0, 2 - 2 * bound / scale) * limit
-                gaps = box_distances(project(v, sizes[dim][1], query=True), low, high)
+                gaps = box_distances(project(v, sizes[dim][1], query=True)[:, :PROJECTED], low, high)
                 go = ((gaps <= reach[:, None]) | ~np.isfinite(bound)[:, None]) & (dims == dim) & (numbers != part.column("cell").to_numpy()[:, None])
                 who, where = np.nonzero(go)
                 times = splits[where]

@@ -288,6 +288,43 @@ def brute_nearest(rows, divisor=20, k=20):
     return out
 
 
+def test_nearest_verifies_a_part_of_the_vectors():
+    """On all vectors of a table: the share that is verified, and the recall that is left."""
+    import pyarrow.parquet as pq
+
+    read = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, vectors = read["vec_id"].to_numpy(), np.array(read["embedding"].to_pylist(), float)
+    asked = np.flatnonzero(ids % 20 == 0)
+    cell = nearest.Cell(ids, vectors)
+    hits = 0
+    for i, (found, scores) in zip(asked, cell.search(ids[asked], vectors[asked], 20, np.full(len(asked), -np.inf))):
+        exact = vectors @ vectors[i]
+        exact[ids == ids[i]] = -np.inf
+        hits += int((scores >= np.sort(exact)[-20] - 1e-12).sum())
+    assert cell.verified <= 0.5 * len(asked) * len(ids)
+    assert hits >= 0.93 * 20 * len(asked)
+
+
+def test_nearest_prunes_data_with_structure():
+    """Vectors near a plane: the tree alone spares most leaves, and nearly nothing is lost."""
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(6000, 2)) @ rng.normal(size=(2, 64)) + 0.01 * rng.normal(size=(6000, 64))
+    vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
+    ids = np.arange(6000)
+    cell = nearest.Cell(ids, vectors)
+    hits = 0
+    for i, (found, scores) in zip(range(100), cell.search(ids[:100], vectors[:100], 20, np.full(100, -np.inf))):
+        exact = vectors @ vectors[i]
+        exact[i] = -np.inf
+        hits += int((scores >= np.sort(exact)[-20] - 1e-12).sum())
+    assert cell.verified < 0.1 * 100 * 6000 and hits > 0.9 * 2000
+
+
+def test_nearest_refuses_ids_that_are_no_numbers(spark):
+    with pytest.raises(ValueError):
+        nearest.search(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
+
+
 def test_nearest_with_odd_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
