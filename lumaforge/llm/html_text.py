@@ -14,6 +14,7 @@ limited, since nothing recurses. Pages are handled one by one, repeated or not.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import defaultdict
@@ -64,9 +65,11 @@ WIDEST = 80
 INDENT = 2
 
 _TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>?",
+    r"<!--(?:.*?-->|.*)|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>?",
     re.DOTALL,
 )
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -92,6 +95,30 @@ class Node:
         return not _INVISIBLE.search(a.get("style", ""))
 
 
+class Closings:
+    """Where a tag ends whose name ends at a given place, for a page on which some do not.
+
+    From each quote and bracket of the page the way leads to another one further on, so all are known after one pass.
+    """
+
+    def __init__(self, page: str):
+        self.places = [m.start() for m in _SPECIAL.finditer(page)]
+        self.ends: list[int | None] = [None] * (len(self.places) + 1)
+        following = {'"': None, "'": None}
+        for k in range(len(self.places) - 1, -1, -1):
+            c = page[self.places[k]]
+            if c == ">":
+                self.ends[k] = self.places[k]
+                continue
+            # A quote with a partner hides what is between; one without is a character like others.
+            partner = following[c]
+            self.ends[k] = self.ends[k + 1 if partner is None else partner + 1]
+            following[c] = k
+
+    def after(self, place: int) -> int | None:
+        return self.ends[bisect.bisect_left(self.places, place)]
+
+
 def build(page: str) -> Node:
     """The page's tree; text is a child string."""
     root = Node("#root")
@@ -124,14 +151,25 @@ def build(page: str) -> Node:
                 cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(value))
 
-    at = 0
+    at = done = 0  # where the next tag is sought, and where text that is not yet in the tree starts
+    closings: Closings | None = None
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
+        at = page.find("<", at)
+        if at < 0:
+            text(page[done:])
             return root
-        text(page[at : m.start()])
-        at = m.end()
+        name = _NAME.match(page, at)
+        if name and closings and closings.after(name.end()) is None:
+            at += 1
+            continue
+        m = _TAG.match(page, at)
+        if m is None:
+            if name and not closings:
+                closings = Closings(page)
+            at += 1
+            continue
+        text(page[done:at])
+        at = done = m.end()
         if not m["name"]:
             continue
         tag = m["name"].lower()
@@ -168,7 +206,7 @@ def build(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.IGNORECASE).search(page, at)
             node.children.append(html.unescape(page[at : end.start() if end else len(page)]) if tag == "textarea" else page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+            at = done = end.end() if end else len(page)
             continue
         opened(node)
 
