@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER = ("[ROLE]", "[/ROLE]", "[/TURN]")
 LEARNED = "assistant"
+#: Characters of a role and of a text that decide which range a turn goes to.
+PREFIX = 32
 
 #: What stands behind the first character of the control strings.
 _RESTS = r"(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ROLE\]|/ROLE\]|/TURN\])"
@@ -103,8 +105,11 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     role = F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role")
     rows = conversations.select("conv_id", "turn", role, text)
-    order = ["conv_id", "turn", "role", "text"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text")
+    # Only the start of a text takes part in dealing, so that no long one is among the samples that find the ranges.
+    long_role = F.length("role") > PREFIX
+    start = F.when(~long_role, F.left("text", F.lit(PREFIX)))
+    ranges = ["conv_id", "turn", F.left("role", F.lit(PREFIX)), long_role, start]
+    ordered = rows.repartitionByRange(*ranges).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches):
         part = TaskContext.get().partitionId() << 32
