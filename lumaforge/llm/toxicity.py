@@ -9,12 +9,14 @@ gets most wrong, along with random ones.
 
 Training weighs both labels alike, and the share of toxic ones among all labelled training documents then sets the bias; labels
 whose document is missing or null count for nothing.
-The classifier is fitted in one task on at most ``TRAIN_ROWS`` labelled documents of each label. Since the output
+The classifier is fitted in one task on at most ``TRAIN_ROWS`` labelled documents of each label, and of ``TRAIN_BYTES`` altogether:
+those that come first by a hash of their key. Since the output
 is linear in the mean, a word adds one number, which scoring looks up.
 
 A text that is null or without words scores as an empty window: the share of toxic documents that a text without
 evidence has. Repeated rows score alike; a document labelled twice is toxic if either label says so; null labels
-teach nothing. Without labelled rows of both kinds every score is 0. Texts are used whole.
+teach nothing. Without labelled rows of both kinds every score of a worded text is next to 0 (below 1e-20). An empty table gives an
+empty result. Texts are used whole, very long ones too; one that alone exceeds the bytes of its label's sample teaches nothing.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaforge.llm.tables import stored
 
 #: Labelled documents of each label used for fitting, at most.
 TRAIN_ROWS = 3_000
+#: Bytes of their texts, at most; half of them for each label.
+TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.7
 BUCKETS = 1 << 16
 DIM = 8
@@ -264,7 +268,12 @@ def train(
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("key"), "key").limit(train_rows)
         sample = part if sample is None else sample.unionByName(part)
-    chosen = rows.join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    # The sample has at most twice ``train_rows`` rows, first without its texts.
+    sized = rows.select("key", F.octet_length("text").alias("size")).join(F.broadcast(sample), "key")
+    sized = stored(sized.groupBy("key", "label").agg(F.max("size").alias("size")), "sized")
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    fit_in = sized.withColumn("bytes", F.sum("size").over(so_far)).where(F.col("bytes") <= TRAIN_BYTES // 2).select("key", "label")
+    chosen = rows.join(F.broadcast(fit_in), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
 
     def run(batches):
         got = sorted(((k, v, t) for b in batches for k, v, t in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
