@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 from tokenizers import Tokenizer
 
@@ -373,6 +375,67 @@ def test_html_keeps_all_visible_words_and_any_depth(spark):
         seen = collections.Counter(w for w in got[r.page_id].split() if not re.fullmatch(r"-|\d+\.", w))
         want = collections.Counter({w: n for w, n in want.items() if not re.fullmatch(r"-|\d+\.", w)})
         assert "".join(sorted("".join(want.elements()))) == "".join(sorted("".join(seen.elements())))
+        if "<table" not in body:  # nothing stands beside something else, so the order is that of the page
+            order = [w for w in h.unescape(words).replace("\xa0", " ").split() if not re.fullmatch(r"-|\d+\.", w)]
+            assert "".join(order) == "".join(w for w in got[r.page_id].split() if not re.fullmatch(r"-|\d+\.", w))
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 32_000, '<a href="' * 32_000, "<a b='" * 32_000 + ">", "<" + "a" * 300_000, '<a "' * 20_000 + "'" * 20_001, "<b>" + "< " * 50_000],
+)
+def test_html_broken_markup_takes_time_in_proportion(page):
+    start = time.perf_counter()
+    html_text.extract(page)
+    assert time.perf_counter() - start < 2
+
+
+@pytest.mark.parametrize(
+    "markup,text",
+    [
+        ("a <b>c</b> <img alt=\"x", 'a c <img alt="x'), ('<a t="<b>bold</b>" x "<i>it</i>', "it"), ('<a t="<b>bold</b>" <i x', '<a t="bold" <i x'),
+        ("x < y <b>z</b>", "x < y z"), ("<p>one<p class='a>two</p>three", "one\n\ntwo\n\nthree"),
+    ],
+)
+def test_html_tags_that_do_not_end_are_text(markup, text):
+    assert html_text.extract(markup) == text
+
+
+def test_toxicity_scores_equal_a_plain_computation(spark, odd, monkeypatch):
+    """Each score again, word by word and n-gram by n-gram, from the definition of the model."""
+    docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    model = toxicity.train(docs, labels, where=remainder(3) != 1, train_rows=30)
+
+    def number(word):
+        marked = f"<{word.strip(toxicity._EDGES) or word}>"
+        found = []
+        for order in toxicity.ORDERS:
+            for i in range(len(marked) - order + 1):
+                h = 0
+                for c in marked[i : i + order]:
+                    h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+                h = ((h ^ (order * 0x1F123BB5 & 0xFFFFFFFF)) * 0x9E3779B1) & 0xFFFFFFFF
+                found.append(model.weight[(h >> 15) & (toxicity.BUCKETS - 1)])
+        return sum(found) / len(found) if found else 0.0
+
+    def plain(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+        if not words:
+            return model.empty
+        n = max(1, (len(words) + toxicity.WINDOW // 2) // toxicity.WINDOW)
+        cuts = [k * toxicity.WINDOW for k in range(n)] + [len(words)]
+        best = max(sum(number(w) for w in set(words[a:b])) / (b - a) for a, b in zip(cuts, cuts[1:]))
+        return 1 / (1 + math.exp(-(best + model.bias)))
+
+    short = docs.where(F.length("text") < 1_500)
+    for frame in (short, odd.where(F.coalesce(F.length("text"), F.lit(0)) < 1_500)):
+        want = sorted(((r.doc_id is None, r.doc_id or 0, plain(r.text)) for r in frame.collect()))
+        got = sorted(((r.doc_id is None, r.doc_id or 0, r.score) for r in toxicity.score(frame, model).collect()))
+        assert [w[:2] for w in want] == [g[:2] for g in got] and want
+        np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
+    # Documents that do not fit into the bytes of a label's sample teach nothing.
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 400)
+    small = toxicity.train(docs, labels, where=remainder(3) != 1)
+    assert (small.weight != model.weight).any()
 
 
 def test_html_empty_table(spark):
