@@ -7,15 +7,21 @@ softmax over the network's state; every other word belongs to one of ``TAILS`` t
 within it has ``(c + 1) / (N_t + V_t + 1)`` with the class's training tokens and distinct words, so that unknown words
 share one place per tail class and all probabilities add up to one.
 
+Texts are read twice: for the counts, and to write each document's tokens as numbers (two bytes each) beside its static part. Training
+and scoring work on those.
+
 Training is one pass over all training rows by truncated backpropagation: whole documents, many side by side, in
-windows of ``STEPS`` tokens; the state is carried on from window to window, to the document's end, without its gradient. Each task trains on
-its share of the documents from common weights, and the results are averaged by tokens; there are ``SLICES`` such rounds, each with
+windows of ``STEPS`` tokens; the state is carried on from window to window, to the document's end, without its gradient. Where few
+documents are left, several windows go before an update, so that no update has few tokens. Tasks of some ``TASK_TOKENS`` tokens train
+from common weights, and the results are averaged by tokens, a bounded number at a time; there are ``SLICES`` such rounds, each with
 a slice of the rows of its own, and together they take every row once. Scoring carries the state through the whole document, too.
 
 Words outside the ``HEAD`` most frequent ones are looked up by a join, so no table that grows with the corpus is
 broadcast.
 
-Null texts are empty: their only token is the end. Repeated rows are scored alike and count as often as they occur.
+Null texts are empty: their only token is the end. Repeated rows are scored alike and count as often as they occur. Very long
+texts are one document like any other; a task holds the numbers of the documents it works on, ``WAITING_TOKENS`` or one more document
+at most. An empty table gives an empty result.
 Without training rows every word is unknown and has the only place there is, so scores are 0. Only the named columns
 are read.
 """
@@ -35,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaforge.llm.tables import stored
+from lumaforge.llm.tables import release, stored
 
 #: Words that are looked up in memory, and those of them that the network tells apart.
 HEAD = 1 << 18
@@ -46,10 +52,23 @@ STATE = 16
 STEPS = 32
 #: Documents side by side in training and in scoring, and those that wait for a place in training.
 TRAIN_LANES, SCORE_LANES = 256, 1024
-WAITING = 1024
-#: Tokens of a step of training, at least: short windows at the end of a task are put together.
-LEAST_TOKENS = 1024
+#: Tokens of the documents that wait for a place, or that are scored side by side, at most about.
+WAITING_TOKENS = 1 << 22
+#: Tokens of a step of training, at least: the windows of few documents are put together.
+LEAST_TOKENS = 4096
+#: Windows that are put together, at most.
+MOST_WINDOWS = 64
+#: Tokens that are scored at once, about.
+SCORE_TOKENS = 1 << 14
+#: Rows of the softmax over classes that are worked on at once.
+AT_ONCE = 1024
+#: Absolute weights up to which exponentials are safe in single precision, and the least probability that has a logarithm there.
+SAFE_LOGIT, LEAST = 40.0, 1e-37
 SLICES = 8
+#: Training tokens of one task of a round, about. Each has its longest document to go through alone at its end.
+TASK_TOKENS = 2_000_000
+#: Weight vectors that are averaged in one task.
+FAN_IN = 32
 RATE = 0.01
 SEED = 6
 #: Distinct words a counting task holds before it hands them on.
@@ -106,6 +125,19 @@ class Vocabulary:
         return at, kind
 
 
+    def numbers(self, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """What the network sees of each token: a modeled word's index, or one for the tail class, in two bytes."""
+        return np.where((at >= 0) & (at < self.modeled), at, self.modeled + kind - self.classes).astype(np.uint16)
+
+    def rows(self, numbers: np.ndarray) -> np.ndarray:
+        """Rows of input, class and place of a document's tokens, from their numbers; the input is the token before."""
+        seen = numbers.astype(np.int32)
+        word = seen < self.modeled
+        kind = np.where(word, seen // CLASS_WORDS, seen - self.modeled + self.classes)
+        before = np.concatenate([[self.modeled + TAILS], seen[:-1]])
+        return np.column_stack([before, kind, np.where(word, seen % CLASS_WORDS, 0)]).astype(np.int32)
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, tail, c`` of all tokens; the end is the empty word."""
 
@@ -186,86 +218,133 @@ class Network:
 
         ``keep`` gets what going back needs.
         """
-        states = np.empty((*x.shape, STATE), np.float32)
+        steps, lanes = x.shape
+        states = np.empty((steps, lanes, STATE), np.float32)
+        # Gates are computed from negated sums, so that one exponential is all they need, and take the place of the inputs.
+        sign = np.concatenate([np.full(2 * STATE, -1, np.float32), np.ones(STATE, np.float32)])
+        gates, recurrent = (self.X * sign).astype(np.float32)[x], (self.U * sign).astype(np.float32)
         fresh = x == len(self.X) - 1
-        for t in range(len(x)):
-            if fresh[t].any():
+        starts = fresh.any(1).tolist()
+        before, inner = (np.empty((steps, lanes, STATE), np.float32) for _ in range(2)) if keep is not None else (None, None)
+        for t in range(steps):
+            if starts[t]:
                 h = h * ~fresh[t][:, None]
-            gx = self.X[x[t]]
-            gh = h @ self.U
-            zr = 1 / (1 + np.exp(-(gx[:, : 2 * STATE] + gh[:, : 2 * STATE])))
-            z, r = zr[:, :STATE], zr[:, STATE:]
-            n = np.tanh(gx[:, 2 * STATE :] + r * gh[:, 2 * STATE :])
+            gh = h @ recurrent
+            zr, n = gates[t, :, : 2 * STATE], gates[t, :, 2 * STATE :]
+            zr += gh[:, : 2 * STATE]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            n += zr[:, STATE:] * gh[:, 2 * STATE :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, gh[:, 2 * STATE :]))
-            h = n + z * (h - n)
+                before[t], inner[t] = h, gh[:, 2 * STATE :]
+            h = h - n
+            h *= zr[:, :STATE]
+            h += n
             states[t] = h
+        if keep is not None:
+            keep.extend([before, gates, inner])
         return states
 
     def output(self, s: np.ndarray, kind: np.ndarray, place: np.ndarray, backward: bool = False):
         """Natural log probabilities of classes and of words within modeled classes; and gradients, if asked for."""
-        logits = s @ self.C + self.c
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
-        rows = np.arange(len(s))
-        out = logits[rows, kind] - np.log(total)
-        grads = None
-        if backward:
-            p /= total[:, None]
-            p[rows, kind] -= 1
-            ds = p @ self.C.T
-            grads = {"C": s.T @ p, "c": p.sum(0), "W": np.zeros_like(self.W), "w": np.zeros_like(self.w)}
+        s1 = np.concatenate([s, np.ones((len(s), 1), s.dtype)], 1)
+        out, dC = np.empty(len(s), s.dtype), np.zeros((STATE + 1, self.c.size), s.dtype)
+        ds = np.empty_like(s) if backward else None
+        weights = _with_bias(self.C.T, self.c).T
+        for a in range(0, len(s), AT_ONCE):
+            part = slice(a, a + AT_ONCE)
+            out[part], p = _log_softmax(s1[part], weights, kind[part], backward)
+            if backward:
+                ds[part] = p @ self.C.T
+                dC += s1[part].T @ p
         order = np.argsort(kind, kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        dW = np.zeros((*self.w.shape, STATE + 1), s.dtype)
+        inside = _with_bias(self.W, self.w)
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             pick = order[bounds[k] : bounds[k + 1]]
-            states, inside = s[pick], place[pick]
-            logits = states @ self.W[k].T + self.w[k]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(1)
-            rows = np.arange(len(pick))
-            out[pick] += logits[rows, inside] - np.log(total)
+            states = s1[pick]
+            found, p = _log_softmax(states, inside[k].T, place[pick], backward)
+            out[pick] += found
             if backward:
-                p /= total[:, None]
-                p[rows, inside] -= 1
                 ds[pick] += p @ self.W[k]
-                grads["W"][k] = p.T @ states
-                grads["w"][k] = p.sum(0)
-        return (out, ds, grads) if backward else out
+                dW[k] = p.T @ states
+        if not backward:
+            return out
+        return out, ds, {"C": dC[:STATE], "c": dC[STATE], "W": dW[..., :STATE], "w": dW[..., STATE]}
 
     def back(self, x: np.ndarray, keep: list, ds: np.ndarray) -> dict:
-        """Gradients of the recurrent part from those of the states; the window's first state gets none."""
-        dU = np.zeros_like(self.U)
-        dx = np.empty((*x.shape, 3 * STATE), np.float32)
+        """Gradients of the recurrent part from those of the states; none goes from a window to the one before."""
+        h, made, ghn = keep
+        z, r, n = (made[..., k * STATE : (k + 1) * STATE] for k in range(3))
+        steps, lanes = x.shape
+        of_n, of_z, of_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), ghn * r * (1 - r)
+        gates = np.empty((steps, lanes, 3 * STATE), np.float32)  # gradients of the recurrent sums
+        news = np.empty((steps, lanes, STATE), np.float32)
         dh = np.zeros_like(ds[0])
         fresh = x == len(self.X) - 1
-        for t in range(len(x) - 1, -1, -1):
-            h, z, r, n, ghn = keep[t]
-            dh = dh + ds[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            dgh = np.concatenate([dz, dr, dn * r], 1)
-            dU += h.T @ dgh
-            dh = dh * z + dgh @ self.U.T
-            if fresh[t].any():
+        starts = fresh.any(1).tolist()
+        back = self.U.T.copy()
+        for t in range(steps - 1, -1, -1):
+            dh = ds[t] if (t + 1) % STEPS == 0 else dh + ds[t]
+            dn = np.multiply(dh, of_n[t], out=news[t])
+            g = gates[t]
+            np.multiply(dh, of_z[t], out=g[:, :STATE])
+            np.multiply(dn, of_r[t], out=g[:, STATE : 2 * STATE])
+            np.multiply(dn, r[t], out=g[:, 2 * STATE :])
+            dh = dh * z[t] + g @ back
+            if starts[t]:
                 dh *= ~fresh[t][:, None]
-        flat = (x.reshape(-1, 1).astype(np.int64) * (3 * STATE) + np.arange(3 * STATE)).ravel()
-        return {"U": dU, "X": np.bincount(flat, dx.ravel(), self.X.size).reshape(self.X.shape).astype(np.float32)}
+        dU = h.reshape(-1, STATE).T @ gates.reshape(-1, 3 * STATE)
+        # Each input row's gradients, added up where rows are equal.
+        order = np.argsort(x, axis=None, kind="stable")
+        seen = x.ravel()[order]
+        firsts = np.flatnonzero(np.diff(seen, prepend=-1))
+        dx = np.zeros_like(self.X)
+        flat = np.concatenate([gates[..., : 2 * STATE], news], 2).reshape(-1, 3 * STATE)
+        dx[seen[firsts]] = np.add.reduceat(flat[order], firsts, axis=0)
+        return {"U": dU, "X": dx}
+
+
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights and bias of softmax rows side by side, shifted so that the exponentials neither overflow nor vanish.
+
+    States lie within -1 and 1, so a logit is within the sum of its absolute weights of its bias. Only when that is
+    much do rows need their own maximum, which :func:`_log_softmax` then takes.
+    """
+    return np.concatenate([weights, (bias - bias.max(-1, keepdims=True))[..., None]], -1)
+
+
+def _log_softmax(s1: np.ndarray, weights: np.ndarray, at: np.ndarray, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of column ``at`` of each row; and, going back, the gradients of the logits, else anything."""
+    p = s1 @ weights
+    if np.abs(weights[:-1]).sum(0).max() > SAFE_LOGIT:
+        p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], p.dtype)
+    rows = np.arange(len(p))
+    out = np.log(np.maximum(p[rows, at], LEAST) / total)
+    if backward:
+        p *= (1 / total)[:, None]
+        p[rows, at] -= 1
+    return out, p
 
 
 def windows(lengths: np.ndarray):
-    """Start of each window and how many of the documents, sorted by falling length, reach it."""
-    for start in range(0, int(lengths[0]), STEPS):
-        yield start, int(np.searchsorted(-lengths, -start, side="left"))
+    """Start and size of each window, and how many of the documents, sorted by falling length, reach it."""
+    start = 0
+    while start < int(lengths[0]):
+        lanes = int(np.searchsorted(-lengths, -start, side="left"))
+        size = max(STEPS, SCORE_TOKENS // lanes)
+        yield start, size, lanes
+        start += size
 
 
-def side_by_side(rows: list[np.ndarray], start: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+def side_by_side(rows: list[np.ndarray], start: int, size: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns of a window of the first ``lanes`` rows, and which cells are filled."""
-    size = min(STEPS, len(rows[0]) - start)
+    size = min(size, len(rows[0]) - start)
     out = np.zeros((size, lanes), np.int32)
     filled = np.zeros((size, lanes), bool)
     for j in range(lanes):
@@ -289,10 +368,13 @@ class Trainer:
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
         for name, g in grads.items():
-            m, v = self.m[name], self.v[name]
-            m += 0.1 * (g * clip - m)
-            v += 0.001 * (g * g * clip * clip - v)
-            getattr(self.net, name)[...] -= rate * m / (np.sqrt(v) + 1e-8)
+            # Of the inputs only those that occurred move.
+            rows = np.flatnonzero(g.any(1)) if name == "X" else slice(None)
+            g = g[rows] * np.float32(clip)
+            m = self.m[name][rows] * np.float32(0.9) + np.float32(0.1) * g
+            v = self.v[name][rows] * np.float32(0.999) + np.float32(0.001) * g * g
+            self.m[name][rows], self.v[name][rows] = m, v
+            getattr(self.net, name)[rows] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))
 
     def learn(self, docs: Iterable[np.ndarray]) -> None:
         """One pass over documents, given as rows of input, class and place.
@@ -300,24 +382,31 @@ class Trainer:
         A lane goes through its document to the end, and then takes the longest of those that wait.
         """
         docs, waiting, number = iter(docs), [], count()
+        held = 0  # tokens of those that wait
 
         def following() -> np.ndarray | None:
-            while len(waiting) < WAITING and (doc := next(docs, None)) is not None:
+            nonlocal held
+            while held < WAITING_TOKENS and (doc := next(docs, None)) is not None:
                 heapq.heappush(waiting, (-len(doc), next(number), doc))
-            return heapq.heappop(waiting)[2] if waiting else None
+                held += len(doc)
+            if not waiting:
+                return None
+            doc = heapq.heappop(waiting)[2]
+            held -= len(doc)
+            return doc
 
         lanes: list = []  # what is left of each lane's document
         while len(lanes) < TRAIN_LANES and (doc := following()) is not None:
             lanes.append(doc)
         h = np.zeros((len(lanes), STATE), np.float32)
-        held, tokens = {}, 0
         while lanes:
-            cells = np.zeros((len(lanes), STEPS, 3), np.int32)
-            filled = np.zeros((len(lanes), STEPS), bool)
+            long = STEPS * min(MOST_WINDOWS, -(-LEAST_TOKENS // (len(lanes) * STEPS)))
+            cells = np.zeros((len(lanes), long, 3), np.int32)
+            filled = np.zeros((len(lanes), long), bool)
             for j, doc in enumerate(lanes):
                 at = 0
-                while at < STEPS and doc is not None:
-                    part = doc[: STEPS - at]
+                while at < long and doc is not None:
+                    part = doc[: long - at]
                     cells[j, at : at + len(part)] = part
                     at += len(part)
                     doc = doc[len(part) :] if len(doc) > len(part) else following()
@@ -328,17 +417,19 @@ class Trainer:
             filled = filled[:, :size].T
             keep: list = []
             states = self.net.run(x, h, keep)
-            _, ds_filled, grads = self.net.output(states[filled], kind[filled], place[filled], backward=True)
-            ds = np.zeros_like(states)
-            ds[filled] = ds_filled
+            if filled.all():
+                shape = (-1, STATE)
+                _, ds, grads = self.net.output(states.reshape(shape), kind.ravel(), place.ravel(), backward=True)
+                ds = ds.reshape(states.shape)
+            else:
+                _, ds_filled, grads = self.net.output(states[filled], kind[filled], place[filled], backward=True)
+                ds = np.zeros_like(states)
+                ds[filled] = ds_filled
             grads |= self.net.back(x, keep, ds)
-            held = {n: held[n] + g for n, g in grads.items()} if held else grads
-            tokens += len(ds_filled)
+            tokens = int(filled.sum())
+            self.update({n: g * np.float32(1 / tokens) for n, g in grads.items()})
+            self.tokens += tokens
             left = [j for j, doc in enumerate(lanes) if doc is not None]
-            if tokens >= LEAST_TOKENS or not left:
-                self.update({n: g * np.float32(1 / tokens) for n, g in held.items()})
-                self.tokens += tokens
-                held, tokens = {}, 0
             h = states[-1][left]
             lanes = [lanes[j] for j in left]
 
@@ -349,46 +440,88 @@ def _average(rows: list[tuple[float, bytes]]) -> tuple[float, bytes]:
     return total, mean.astype(np.float32).tobytes()
 
 
-def train(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text") -> Network:
-    """Rounds of training in every task and averaging, the latter in two steps."""
+def encoded(docs: DataFrame, vocab, train_where: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document once as numbers, stored: ``slice, key, row, ids, n_tokens, known, base, static, rest``.
+
+    ``slice`` is the round in which it is trained on, -1 for none; ``known``, ``base`` and ``static`` are the parts of count, base score
+    and score that the words in memory have, and ``rest`` the words that must be looked up. ``vocab`` is a broadcast vocabulary.
+    """
+
+    def run(batches):
+        vocab = vocab_.value
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            out: list[tuple] = []
+            for turn, key, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).cast(pa.binary())):
+                words = words_of(value.as_py())
+                at, kind = vocab.look_up(words)
+                head = at[at >= 0]
+                tail = kind[kind >= vocab.classes] - vocab.classes
+                static = float(vocab.log_count[head[head >= vocab.modeled]].sum() - vocab.tail_scale[tail].sum())
+                rest = [words[i] for i in np.flatnonzero(at[:-1] < 0).tolist()]
+                out.append((turn, row, vocab.numbers(at, kind).tobytes(), len(at), len(head), float(vocab.log_count[head].sum()), static, rest))
+                row += 1
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)]
+            yield pa.RecordBatch.from_arrays([columns[0], batch.column(1), *columns[1:]], names)
+
+    vocab_ = vocab
+    names = ["slice", "key", "row", "ids", "n_tokens", "known", "base", "static", "rest"]
+    kind = docs.schema[key].dataType.simpleString()
+    turn = F.when(F.coalesce(train_where, F.lit(False)), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SLICES))).otherwise(-1)
+    rows = docs.select(turn.cast("int").alias("slice"), F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = f"slice int, key {kind}, row long, ids binary, n_tokens long, known long, base double, static double, rest array<binary>"
+    return stored(rows.mapInArrow(run, schema), "numbers", by=["slice"])
+
+
+def train_on(numbers: DataFrame, known, vocab: Vocabulary) -> Network:
+    """Rounds of training and averaging over stored numbers; ``known`` is the broadcast ``vocab``.
+
+    A round has one task for every ``TASK_TOKENS`` tokens; the weights of ``FAN_IN`` tasks meet in one, until as few are left.
+    """
     net = Network(vocab)
-    sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(vocab)
+    spark = numbers.sparkSession
+    sizes = dict(numbers.where("slice >= 0").groupBy("slice").agg(F.sum("n_tokens")).collect())  # one row per round
     for turn in range(SLICES):
-        start = sc.broadcast(net.get())
+        if turn not in sizes:
+            continue
+        start = spark.sparkContext.broadcast(net.get())
 
         def run(batches, start=start):
             vocab = known.value
             net = Network(vocab)
             net.put(np.frombuffer(start.value, np.float32))
             trainer = Trainer(net)
-
-            def inputs():
-                for batch in batches:
-                    for value in batch.column(0).cast(pa.binary()):
-                        at, kind = vocab.look_up(words_of(value.as_py()))
-                        yield np.column_stack([net.inputs_of(at, kind, vocab.modeled), kind, at % CLASS_WORDS])
-
-            trainer.learn(inputs())
+            trainer.learn(vocab.rows(np.frombuffer(v.as_py(), np.uint16)) for batch in batches for v in batch.column(0))
             if trainer.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([float(trainer.tokens)]), pa.array([net.get()], pa.binary())], ["n", "weights"])
 
         def mean(batches):
             total = None
             for batch in batches:
-                rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-                total = _average(rows + ([total] if total else []))
+                for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    total = _average([row] + ([total] if total else []))
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1]], pa.binary())], ["n", "weights"])
 
-        part = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SLICES)) == turn).select(F.col(text).alias("text"))
-        trained = part.mapInArrow(run, "n double, weights binary")
-        groups = max(1, int(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-        found = trained.repartition(groups).mapInArrow(mean, "n double, weights binary").collect()
-        if found:
-            tokens, mean_weights = _average([tuple(r) for r in found])
-            net.put(np.frombuffer(mean_weights, np.float32))
-            net.tokens += int(tokens)
+        tasks = max(1, round(sizes[turn] / TASK_TOKENS))
+        trained = numbers.where(F.col("slice") == turn).select("ids").coalesce(tasks).mapInArrow(run, "n double, weights binary")
+        while tasks > FAN_IN:
+            tasks = -(-tasks // FAN_IN)
+            trained = trained.repartition(tasks).mapInArrow(mean, "n double, weights binary")
+        found = trained.collect()  # of ``FAN_IN`` tasks at most
+        tokens, mean_weights = _average([tuple(r) for r in found])
+        net.put(np.frombuffer(mean_weights, np.float32))
+        net.tokens += int(tokens)
+    return net
+
+
+def train(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text") -> Network:
+    """A network that has learned from all rows."""
+    known = docs.sparkSession.sparkContext.broadcast(vocab)
+    numbers = encoded(docs, known, F.lit(True), key, text)
+    net = train_on(numbers, known, vocab)
+    release(numbers)
     return net
 
 
@@ -402,10 +535,10 @@ def log_likelihoods(net: Network, docs: list[tuple[np.ndarray, np.ndarray, np.nd
         lengths = np.array([len(d[0]) for d in part])
         total = np.zeros(len(part))
         h = np.zeros((len(part), STATE), np.float32)
-        for start, lanes in windows(lengths):
-            x, filled = side_by_side([d[0] for d in part], start, lanes)
-            kind, _ = side_by_side([d[1] for d in part], start, lanes)
-            place, _ = side_by_side([d[2] for d in part], start, lanes)
+        for start, size, lanes in windows(lengths):
+            x, filled = side_by_side([d[0] for d in part], start, size, lanes)
+            kind, _ = side_by_side([d[1] for d in part], start, size, lanes)
+            place, _ = side_by_side([d[2] for d in part], start, size, lanes)
             states = net.run(x, h[:lanes])
             found = net.output(states[filled], kind[filled], place[filled])
             total += np.bincount(np.nonzero(filled)[1], found, len(part))
@@ -416,47 +549,35 @@ def log_likelihoods(net: Network, docs: list[tuple[np.ndarray, np.ndarray, np.nd
 
 def score(docs: DataFrame, train_where: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` of every row, learning from those of ``train_where``."""
-    learned = docs.where(train_where)
-    counts = count_words(learned, text)
+    counts = count_words(docs.where(train_where), text)
     vocab = vocabulary(counts)
-    net = train(learned, vocab, key, text)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((vocab, net.get()))
+    known = sc.broadcast(vocab)
+    numbers = encoded(docs, known, train_where, key, text)
+    weights = sc.broadcast(train_on(numbers, known, vocab).get())
 
     def run(batches):
-        vocab, weights = shared.value
+        vocab = known.value
         net = Network(vocab)
-        net.put(np.frombuffer(weights, np.float32))
-        row = TaskContext.get().partitionId() << 33
+        net.put(np.frombuffer(weights.value, np.float32))
         for batch in batches:
-            # Many documents at once, so that long ones run beside others of their kind.
-            for start in range(0, batch.num_rows, 10 * SCORE_LANES):
-                part = batch.slice(start, 10 * SCORE_LANES)
-                inputs, base, static, known, tokens, rest = [], [], [], [], [], []
-                for value in part.column(1).cast(pa.binary()):
-                    words = words_of(value.as_py())
-                    at, kind = vocab.look_up(words)
-                    inputs.append((net.inputs_of(at, kind, vocab.modeled), kind, at % CLASS_WORDS))
-                    head = at[at >= 0]
-                    base.append(float(vocab.log_count[head].sum()))
-                    tail = kind[kind >= vocab.classes] - vocab.classes
-                    static.append(float(vocab.log_count[head[head >= vocab.modeled]].sum() - vocab.tail_scale[tail].sum()))
-                    known.append(len(head))
-                    tokens.append(len(at))
-                    rest.append([words[i] for i in np.flatnonzero(at[:-1] < 0).tolist()])
-                model = log_likelihoods(net, inputs) / np.log(10) + np.array(static)
-                n = part.num_rows
-                columns = [part.column(0), pa.array(row + np.arange(n)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64())]
-                columns += [pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rest, pa.list_(pa.binary()))]
-                row += n
-                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "n_tokens", "known", "base", "model", "rest"])
-
+            ids, sizes = batch.column(0), batch.column(1).to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                # Many documents at once, so that long ones run beside others of their kind; bounded in tokens.
+                within = int(np.searchsorted(np.cumsum(sizes[at:]), WAITING_TOKENS))
+                stop = at + max(1, min(within, 10 * SCORE_LANES))
+                docs = [tuple(vocab.rows(np.frombuffer(v.as_py(), np.uint16)).T) for v in ids.slice(at, stop - at)]
+                model = log_likelihoods(net, docs) / np.log(10) + batch.column(2).to_numpy()[at:stop]
+                yield pa.RecordBatch.from_arrays([pa.array(model), *(batch.column(c).slice(at, stop - at) for c in names[1:])], names)
+                at = stop
+
+    names = ["model", "key", "row", "n_tokens", "known", "base"]
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kind}, row long, n_tokens long, known long, base double, model double, rest array<binary>"
-    main = stored(rows.mapInArrow(run, schema), "scored")
+    schema = f"model double, key {kind}, row long, n_tokens long, known long, base double"
+    main = numbers.select("ids", "n_tokens", "static", "key", "row", "known", "base").mapInArrow(run, schema)
     # What the head lacks: only words that training has seen add anything.
-    rare = main.select("row", F.explode("rest").alias("word")).join(counts.select("word", "c"), "word")
+    rare = numbers.select("row", F.explode("rest").alias("word")).join(counts.select("word", "c"), "word")
     more = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("c").alias("seen"))
     scale = F.log10(F.lit(float(vocab.tokens + vocab.distinct + 1)))
     extra = F.coalesce("more", F.lit(0.0))

@@ -17,15 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as columnar files into the shared checkpoint folder and continue from there.
 
-    Lost executors cost nothing then, since the files outlive them, and later reads prune columns. The files go when
-    :func:`release` is called, or else when the application ends.
+    Lost executors cost nothing then, since the files outlive them, and later reads prune columns, and files by the
+    few values of the columns ``by``. The files go when :func:`release` is called, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*(by or [])).parquet(path)
     system, place = _file_system(spark, path)
     system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
