@@ -279,6 +279,10 @@ NO_GLYPH = 0o77777
 GLYPH_W, GLYPH_H, GLYPH_STEP = 3, 5, 4
 
 
+#: Words of 32 cells that an overlay may put into the plan.
+OVERLAY_WORDS = 1 << 18
+
+
 def alpha_composite(
     px: DataFrame,
     overlay: DataFrame,
@@ -289,15 +293,38 @@ def alpha_composite(
 ) -> DataFrame:
     """Blend white over the cells of one overlay ``(ox, oy)`` placed at an anchor of every image.
 
-    No broadcast hint: the overlay is broadcast by the optimizer when its measured size allows it, and a
-    shuffled left join does the same work otherwise.
+    The overlay is packed into words of 32 cells, which the plan carries as an array: pixels look their cell up by
+    row and word, and no pixel is joined. An overlay whose bounding box needs more than ``OVERLAY_WORDS`` words is joined
+    instead, by those pixels that lie in the box.
     """
     alpha = int(255 * opacity)
     left, top = watermark_origin(F.col("w"), F.col("h"), F.lit(text_w), F.lit(text_h), position)
-    keyed = px.withColumns({"ox": (F.col("x") - left).cast("int"), "oy": (F.col("y") - top).cast("int")})
-    cells = overlay.select(F.col("ox").cast("int"), F.col("oy").cast("int"), F.lit(alpha).alias("_a")).distinct()
-    joined = keyed.join(cells, ["ox", "oy"], "left")
-    return joined.withColumns(_whitened(F.coalesce(F.col("_a"), F.lit(0)))).select(px.columns)
+    placed = px.withColumns({"_ox": (F.col("x") - left).cast("int"), "_oy": (F.col("y") - top).cast("int")})
+    cells = overlay.where("ox IS NOT NULL AND oy IS NOT NULL").select(F.col("ox").cast("int"), F.col("oy").cast("int"))
+    box = cells.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("ox", "oy") for f in (F.min, F.max)]).first()
+    if box["min_ox"] is None:
+        return px
+    wide = (box["max_ox"] - box["min_ox"]) // 32 + 1
+    high = box["max_oy"] - box["min_oy"] + 1
+    inside = F.col("_ox").between(box["min_ox"], box["max_ox"]) & F.col("_oy").between(box["min_oy"], box["max_oy"])
+    if wide * high > OVERLAY_WORDS:
+        marks = cells.distinct().select(F.col("ox").alias("_ox"), F.col("oy").alias("_oy"), F.lit(alpha).alias("_a"))
+        drawn = placed.where(inside).join(marks, ["_ox", "_oy"], "left")
+        rest = placed.where(~inside).withColumn("_a", F.lit(0))
+        both = drawn.unionByName(rest)
+        return both.withColumns(_whitened(F.coalesce("_a", F.lit(0)))).select(px.columns)
+    x, y = F.col("ox") - box["min_ox"], F.col("oy") - box["min_oy"]
+    word = (y * wide + F.floor(x / 32)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(32)).cast("int"))
+    words = [0] * (wide * high)
+    for at, bits in cells.groupBy(word.alias("at")).agg(F.bit_or(bit)).collect():
+        words[at] = bits
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    x, y = F.col("_ox") - box["min_ox"], F.col("_oy") - box["min_oy"]
+    at = (y * wide + F.floor(x / 32) + 1).cast("int")
+    found = F.element_at(table, F.when(inside, at).otherwise(1))
+    lit_cell = inside & (F.call_function("shiftright", found, F.pmod(x, F.lit(32)).cast("int")).bitwiseAND(1) == 1)
+    return placed.withColumns(_whitened(F.when(lit_cell, alpha).otherwise(0))).select(px.columns)
 
 
 def _whitened(alpha: Column) -> dict[str, Column]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ MAGIC = {
 DEFAULT_DPI = 72
 #: Formats that the decoder does not know.
 UNDECODED = ("WEBP",)
+#: Pixels that a batch of the pixel table holds, if a line is not longer.
+PIXELS_AT_ONCE = 1 << 17
+PIXEL_SCHEMA = "img_id long, w int, h int, x int, y int, r int, g int, b int, a int"
 
 # Schema of Spark's image source.
 IMAGE_SCHEMA = (
@@ -117,31 +124,50 @@ def explode_pixels(images: DataFrame, spread: bool = False) -> DataFrame:
     """Decoded images as a pixel table, in row-major order.
 
     A file is decoded in one task. With ``spread`` its lines are dealt to all tasks before they become
-    pixels, for corpora where a few images hold much of the data. The byte array is cut into pixel rows first, so a generated row carries one line of the image, never
-    the whole of it. The decoder stores blue first; gray images repeat their value in all channels.
+    pixels, for corpora where a few images hold much of the data. The byte array is cut into lines first; batches of lines
+    then become pixels by strided reads of their bytes, at most ``PIXELS_AT_ONCE`` or one line at a time. The decoder
+    stores blue first; gray images repeat their value in all channels.
     """
     lines = F.expr(
         "transform(sequence(0, height - 1), y -> substring(data, y * width * channels + 1, width * channels))"
     )
     rows = images.select(
         image_id(F.col("path")).alias("img_id"), F.col("width").alias("w"), F.col("height").alias("h"), "channels",
-        F.posexplode(lines).alias("y", "_line"),
+        F.posexplode(lines).alias("y", "line"),
     )
     if spread:
         rows = rows.repartition("img_id", "y")
-    cells = rows.select("img_id", "w", "h", "channels", "y", "_line", F.explode(F.expr("sequence(0, w - 1)")).alias("x"))
-    packed = cells.withColumn(
-        "_v", F.expr("cast(conv(hex(substring(_line, x * channels + 1, channels)), 16, 10) AS bigint)")
-    )
-    # Bytes of a cell, first to last: B G R [A], or one gray value.
-    alpha = F.expr("channels = 4")
-    bgr = F.when(alpha, F.shiftright("_v", 8)).when(F.col("channels") == 1, F.col("_v") * 0x010101).otherwise(F.col("_v"))
-    out = packed.withColumn("_bgr", bgr)
-
-    def part(shift: int) -> Column:
-        return F.shiftright("_bgr", shift).bitwiseAND(255).cast("int")
-
-    return out.select(
-        "img_id", "w", "h", "x", "y", part(0).alias("r"), part(8).alias("g"), part(16).alias("b"),
-        F.when(alpha, F.col("_v").bitwiseAND(255)).otherwise(255).cast("int").alias("a"),
-    )
+    return rows.mapInArrow(_pixels_of_lines, PIXEL_SCHEMA)
+
+
+def _pixels_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        widths = batch.column("w").to_numpy()
+        ends = np.cumsum(widths, dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            after = max(first + 1, int(np.searchsorted(ends, done + PIXELS_AT_ONCE, side="right")))
+            yield _pixels(batch.slice(first, after - first))
+            first = after
+
+
+def _pixels(lines: pa.RecordBatch) -> pa.RecordBatch:
+    """Pixels of a few lines. Bytes of a cell, first to last: B G R [A], or one gray value."""
+    widths, channels = lines.column("w").to_numpy().astype(np.int64), lines.column("channels").to_numpy().astype(np.int64)
+    column = lines.column("line").cast(pa.large_binary())
+    starts = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column)]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    line = np.repeat(np.arange(len(widths)), widths)
+    x = np.arange(len(line)) - np.repeat(np.cumsum(widths) - widths, widths)
+    step = channels[line]
+    cell = starts[line] + x * step
+    color = step >= 3
+    blue = data[cell]
+    green, red = data[cell + color], data[cell + 2 * color]
+    alpha = np.where(step == 4, data[cell + 3 * (step == 4)], 255)
+    whole = {name: pa.array(lines.column(name).to_numpy()[line]) for name in ("img_id", "w", "h", "y")}
+    parts = {"x": x, "r": red, "g": green, "b": blue, "a": alpha}
+    found = whole | {name: pa.array(values.astype(np.int32)) for name, values in parts.items()}
+    names = [c.split()[0] for c in PIXEL_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([found[name] for name in names], names=names)

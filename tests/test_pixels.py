@@ -187,3 +187,44 @@ def test_numbering_spreads_one_large_group(spark):
     df = spark.range(5000).selectExpr("'all' AS parent", "format_string('%05d', (id * 7919) % 5000) AS path")
     rows = number_within(df, ["parent"], ["path"], "n").collect()
     assert sorted((r.n, r.path) for r in rows) == [(i + 1, f"{i:05d}") for i in range(5000)]
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_numbering_of_groups_that_span_ranges(spark, batch):
+    """Groups of one row, of many ranges, and null, in batches that cut them."""
+    rows = [(None if i % 5 == 0 else "hot" if i % 5 < 4 else f"k{i % 11}", i * 7919 % 4001, f"x{i}") for i in range(4001)]
+    df = spark.createDataFrame(rows, "k string, v int, _extra string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, number_within(df, ["k"], ["v"], "n").collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    seen, want = {}, []
+    for k, v, extra in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, v, extra, seen[k]))
+    assert got == sorted(want, key=repr)
+    assert number_within(df.limit(0), ["k"], ["v"]).count() == 0
+    assert sorted(r.row_no for r in number_within(df, [], ["v"]).collect()) == list(range(1, 4002))
+
+
+@pytest.mark.parametrize("words", [0, 1 << 18])
+@pytest.mark.parametrize("position", ["bottom_right", "center"])
+def test_overlay_cells_by_word_or_by_join(spark, monkeypatch, words, position):
+    """Cells beyond the declared size, repeated, null or off the image; equal to a plain loop."""
+    monkeypatch.setattr(nb, "OVERLAY_WORDS", words)
+    px = spark.range(100 * 70).selectExpr(
+        "1L AS img_id", "100 AS w", "70 AS h", "int(id % 100) AS x", "int(id div 100) AS y",
+        "int(id % 251) AS r", "int(id % 241) AS g", "int(id % 239) AS b", "255 AS a", "id AS ox",
+    )
+    cells = {(i * 37 % 90 - 5, i * 13 % 40 - 3) for i in range(700)}
+    overlay = spark.createDataFrame([*cells, *list(cells)[:9], (None, 1)], "ox int, oy int")
+    got = nb.alpha_composite(px, overlay, 60, 30, position, 0.5)
+    assert got.columns == px.columns
+    left, top = {"bottom_right": (100 - 60 - 10, 70 - 30 - 10), "center": (20, 20)}[position]
+    changed = {(r.x, r.y) for r in got.collect() if r.r != r.ox % 251}
+    assert changed == {(x + left, y + top) for x, y in cells if 0 <= x + left < 100 and 0 <= y + top < 70}
+    assert got.count() == 7000 and [r.ox for r in got.orderBy("ox").limit(3).collect()] == [0, 1, 2]
+    assert nb.alpha_composite(px, overlay.limit(0), 60, 30).count() == 7000

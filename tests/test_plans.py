@@ -11,6 +11,7 @@ from lumaforge.operators import neighborhood as nb
 from lumaforge.operators import pointwise as pw
 from lumaforge.operators.metadata import exif_records, with_metadata
 from lumaforge.operators.perceptual import average_hash
+from lumaforge.operators.ranking import number_within
 from lumaforge.operators.registry import run_steps
 from lumaforge.workload import tables as t
 
@@ -114,6 +115,14 @@ def test_no_query_needs_a_cross_join(spark):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
-def test_small_overlay_is_broadcast_by_size(px, spark):
-    cells = spark.range(10).select(F.col("id").alias("ox"), F.lit(0).alias("oy"))
-    assert "BroadcastHashJoin" in plan(nb.alpha_composite(px, cells, 10, 1))
+def test_overlay_is_looked_up_not_joined(px, spark):
+    for high in (1, 500):
+        cells = spark.range(10 * high).selectExpr("id % 10 AS ox", "id div 10 AS oy")
+        assert "Join" not in plan(nb.alpha_composite(px, cells, 10, high))
+
+
+def test_numbering_shuffles_rows_once(spark):
+    """What is read back after the checkpoint moves one row per range only."""
+    df = spark.range(1000).selectExpr("id % 7 AS k", "id AS v")
+    text = plan(number_within(df, ["k"], ["v"]))
+    assert "SortMergeJoin" not in text and "rangepartitioning" not in text
