@@ -26,6 +26,7 @@ MAGIC = {
 DEFAULT_DPI = 72
 #: Formats that the decoder does not know.
 UNDECODED = ("WEBP",)
+UNIDENTIFIED = "cannot identify image file"
 #: Pixels that a batch of the pixel table holds, if a line is not longer.
 PIXELS_AT_ONCE = 1 << 17
 PIXEL_SCHEMA = "img_id long, w int, h int, x int, y int, r int, g int, b int, a int"
@@ -95,7 +96,7 @@ def split_decoded(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     bad = F.col("width") < 1
     undecoded = F.lower(suffix(F.col("path"))).isin(*(f".{f.lower()}" for f in UNDECODED))
-    why = F.when(undecoded, "no decoder for this format").otherwise("cannot identify image file")
+    why = F.when(undecoded, "no decoder for this format").otherwise(UNIDENTIFIED)
     return images.where(~bad), images.where(bad).select("path", why.alias("error"))
 
 
@@ -117,7 +118,7 @@ def load_assets(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[F.coalesce(f"head.{c}", F.lit(DEFAULT_DPI)).alias(c) for c in ("dpi_x", "dpi_y")],
         F.lit(None).cast("string").alias("color_profile"), F.col("path").alias("original_path"), "exif", "ratios", "iptc",
     )
-    return assets, found.where(~F.coalesce(readable(), F.lit(False))).select("path", F.lit("cannot identify image file").alias("error"))
+    return assets, found.where(~F.coalesce(readable(), F.lit(False))).select("path", F.lit(UNIDENTIFIED).alias("error"))
 
 
 def explode_pixels(images: DataFrame, spread: bool = False) -> DataFrame:

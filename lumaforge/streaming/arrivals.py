@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,7 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from lumaforge.functions.derived import suffix
 from lumaforge.operators.catalog import IMAGE_SUFFIXES
 from lumaforge.session import cut_lineage
-from lumaforge.sources.images import IMAGE_SCHEMA, decoded, explode_pixels, image_files, image_id, split_decoded, with_format
+from lumaforge.sources.images import (
+    IMAGE_SCHEMA, UNIDENTIFIED, decoded, explode_pixels, image_files, image_id, load_images, split_decoded, with_format,
+)
+
+#: Waiting files that are read again with one micro-batch.
+RETRIED_AT_ONCE = 1000
+WAITING_SCHEMA = "path string, tries int"
 
 
 def watch_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,29 +48,50 @@ def watch_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_on_arrivals(
-    images: DataFrame, transform: Callable[[DataFrame], DataFrame], output: str, checkpoint: str
+    images: DataFrame, transform: Callable[[DataFrame], DataFrame], output: str, checkpoint: str, tries: int = 1
 ) -> StreamingQuery:
     """Run a batch operator chain on the pixels of arriving images and keep the result as Parquet.
 
-    Each micro-batch writes its own folder under ``output`` and overwrites it when it is replayed, so a
-    restart adds nothing twice. Unreadable files are recorded with their error beside it, under
-    ``<output>-rejected``, and so are images of which the chain leaves no pixel; those are counted while pixels are
-    written, and looked up only if some are missing.
+    Each micro-batch writes its own folders and overwrites them when it is replayed, so a restart adds nothing twice. A
+    file of which the folder holds no pixel is recorded with its error under ``<output>-rejected``; pixels are counted
+    while they are written, and files looked up only if some are missing, so one that is completed meanwhile is
+    either written or recorded. A file that cannot be identified may still be in writing: with ``tries`` above one it waits
+    under ``<output>-waiting`` and is read again with the next micro-batches, until it has been tried that often. Of
+    many waiting files ``RETRIED_AT_ONCE`` are read with a batch, and the others keep their turn.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_decoded(batch)
-        names = cut_lineage(good.select(image_id(F.col("path")).alias("img_id"), "path"))
+        spark = batch.sparkSession
+        arrived = batch.withColumn("tries", F.lit(1))
+        waiting = _waiting(spark, output, batch_id)
+        due = waiting.orderBy(F.desc("tries"), "path").limit(RETRIED_AT_ONCE).collect()
+        if due:
+            listed = spark.createDataFrame(due, WAITING_SCHEMA)
+            waiting = waiting.join(listed, ["path", "tries"], "left_anti")
+            found = _existing(spark, [row.path for row in due])
+            again = load_images(spark, found) if found else decoded(spark.createDataFrame([], IMAGE_SCHEMA))
+            again = listed.withColumn("tries", F.col("tries") + 1).join(again, "path", "left")
+            arrived = arrived.unionByName(again.withColumn("width", F.coalesce("width", F.lit(-1))))
+        good, bad = split_decoded(arrived)
+        errors = good.select("path", "tries", F.lit("no pixels left after the run").alias("error")).unionByName(
+            bad.join(arrived.select("path", "tries"), "path")
+        )
+        files = cut_lineage(errors.withColumn("img_id", image_id(F.col("path"))))
         folder = f"{output}/batch={batch_id}"
         seen = Observation("images")
         first_pixel = (F.col("x") == 0) & (F.col("y") == 0)
         done = transform(explode_pixels(good)).observe(seen, F.count_if(first_pixel).alias("written"))
         done.write.mode("overwrite").parquet(folder)
-        if seen.get["written"] < names.count():
-            arrived = batch.sparkSession.read.parquet(folder).where("x = 0 AND y = 0").select("img_id")
-            lost = names.join(arrived, "img_id", "left_anti").select("path", F.lit("no pixels left after the run").alias("error"))
-            bad = bad.unionByName(lost)
-        bad.write.mode("overwrite").parquet(f"{output}-rejected/batch={batch_id}")
+        lost = files.limit(0)
+        if seen.get["written"] < files.count():
+            written = spark.read.parquet(folder).where("x = 0 AND y = 0").select("img_id")
+            lost = files.join(written, "img_id", "left_anti")
+        later = (F.col("error") == UNIDENTIFIED) & (F.col("tries") < tries)
+        rejected = lost.where(~later).select("path", "error")
+        rejected.write.mode("overwrite").parquet(f"{output}-rejected/batch={batch_id}")
+        if tries > 1:
+            waiting = waiting.unionByName(lost.where(later).select("path", "tries"))
+            waiting.write.mode("overwrite").parquet(f"{output}-waiting/batch={batch_id}")
 
     return (
         images.writeStream.foreachBatch(one_batch)
@@ -73,6 +101,21 @@ def run_on_arrivals(
     )
 
 
+def _waiting(spark: SparkSession, output: str, batch_id: int) -> DataFrame:
+    """Files that the micro-batch before left for later."""
+    folder = f"{output}-waiting/batch={batch_id - 1}"
+    if _existing(spark, [folder]):
+        return spark.read.schema(WAITING_SCHEMA).parquet(folder)
+    return spark.createDataFrame([], WAITING_SCHEMA)
+
+
+def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of a few paths that are there, in a form that readers do not take for a pattern."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = [p for p in paths for j in [spark._jvm.org.apache.hadoop.fs.Path(p)] if j.getFileSystem(conf).exists(j)]
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in found]
+
+
 def first_arrivals(events: DataFrame, keys: list[str], ts: str = "ts", within: str = "1 hour") -> DataFrame:
     """Drop repeats of a key inside a time bound; state older than the bound is released."""
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)

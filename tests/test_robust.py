@@ -69,6 +69,34 @@ def test_arrivals_left_without_pixels_are_recorded(spark, folder, tmp_path):
     assert {(r.w, r.h) for r in spark.read.parquet(out).select("w", "h").distinct().collect()} == {(2, 4)}
 
 
+def test_half_written_arrivals_are_read_again(spark, tmp_path):
+    """One file is completed before its second try, one is removed, one stays broken until its tries are used up."""
+    files, out = tmp_path / "in", str(tmp_path / "out")
+    files.mkdir()
+    whole = png_bytes([[1, 2, 3, 4, 5, 6]], 3)
+
+    def arrive(name, content):
+        (files / name).write_bytes(content)
+        query = run_on_arrivals(watch_images(spark, str(files)), lambda px: px, out, str(tmp_path / "ckpt"), tries=3)
+        query.awaitTermination()
+
+    def names(folder):
+        return sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(folder).collect())
+
+    (files / "late [1].png").write_bytes(whole[:20])
+    (files / "gone.png").write_bytes(b"x")
+    arrive("broken.png", whole[:9])
+    assert names(f"{out}-waiting/batch=0") == ["broken.png", "gone.png", "late [1].png"] and not names(f"{out}-rejected")
+    (files / "late [1].png").write_bytes(whole)
+    (files / "gone.png").unlink()
+    arrive("second.png", whole)
+    assert spark.read.parquet(f"{out}/batch=1").select("img_id").distinct().count() == 2
+    assert names(f"{out}-waiting/batch=1") == ["broken.png", "gone.png"]
+    arrive("third.png", whole)
+    assert spark.read.parquet(out).count() == 3 * 2 and not names(f"{out}-waiting/batch=2")
+    assert names(f"{out}-rejected") == ["broken.png", "gone.png"]
+
+
 def test_images_lost_by_an_operator_are_found_from_the_run(spark, tmp_path):
     """The counts of the run say that images are missing, though no step was expected to fail."""
     px = pixels(spark, (3, 3)).unionByName(pixels(spark, (3, 3)).withColumn("img_id", F.col("img_id") + 1))
