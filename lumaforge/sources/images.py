@@ -27,9 +27,9 @@ DEFAULT_DPI = 72
 #: Formats that the decoder does not know.
 UNDECODED = ("WEBP",)
 UNIDENTIFIED = "cannot identify image file"
-#: Pixels that a batch of the pixel table holds, if a line is not longer.
+#: Pixels that leave a task in one batch, if a line is not longer.
 PIXELS_AT_ONCE = 1 << 17
-PIXEL_SCHEMA = "img_id long, w int, h int, x int, y int, r int, g int, b int, a int"
+CELL_SCHEMA = "img_id long, w int, h int, y int, cells array<int>"
 
 # Schema of Spark's image source.
 IMAGE_SCHEMA = (
@@ -126,7 +126,7 @@ def explode_pixels(images: DataFrame, spread: bool = False) -> DataFrame:
 
     A file is decoded in one task. With ``spread`` its lines are dealt to all tasks before they become
     pixels, for corpora where a few images hold much of the data. The byte array is cut into lines first; batches of lines
-    then become pixels by strided reads of their bytes, at most ``PIXELS_AT_ONCE`` or one line at a time. The decoder
+    then become one integer a pixel, ``PIXELS_AT_ONCE`` or one line at a time. The decoder
     stores blue first; gray images repeat their value in all channels.
     """
     lines = F.expr(
@@ -138,10 +138,17 @@ def explode_pixels(images: DataFrame, spread: bool = False) -> DataFrame:
     )
     if spread:
         rows = rows.repartition("img_id", "y")
-    return rows.mapInArrow(_pixels_of_lines, PIXEL_SCHEMA)
+    cells = rows.mapInArrow(_cells_of_lines, CELL_SCHEMA).select("img_id", "w", "h", "y", F.posexplode("cells").alias("x", "_v"))
 
+    def part(shift: int) -> Column:
+        return F.shiftrightunsigned("_v", shift).bitwiseAND(255).cast("int")
 
-def _pixels_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return cells.select(
+        "img_id", "w", "h", "x", "y", part(0).alias("r"), part(8).alias("g"), part(16).alias("b"), part(24).alias("a")
+    )
+
+
+def _cells_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         widths = batch.column("w").to_numpy()
         ends = np.cumsum(widths, dtype=np.int64)
@@ -149,26 +156,21 @@ def _pixels_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         while first < batch.num_rows:
             done = ends[first - 1] if first else 0
             after = max(first + 1, int(np.searchsorted(ends, done + PIXELS_AT_ONCE, side="right")))
-            yield _pixels(batch.slice(first, after - first))
+            yield _cells(batch.slice(first, after - first))
             first = after
 
 
-def _pixels(lines: pa.RecordBatch) -> pa.RecordBatch:
-    """Pixels of a few lines. Bytes of a cell, first to last: B G R [A], or one gray value."""
-    widths, channels = lines.column("w").to_numpy().astype(np.int64), lines.column("channels").to_numpy().astype(np.int64)
-    column = lines.column("line").cast(pa.large_binary())
-    starts = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column)]
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-    line = np.repeat(np.arange(len(widths)), widths)
-    x = np.arange(len(line)) - np.repeat(np.cumsum(widths) - widths, widths)
-    step = channels[line]
-    cell = starts[line] + x * step
-    color = step >= 3
-    blue = data[cell]
-    green, red = data[cell + color], data[cell + 2 * color]
-    alpha = np.where(step == 4, data[cell + 3 * (step == 4)], 255)
-    whole = {name: pa.array(lines.column(name).to_numpy()[line]) for name in ("img_id", "w", "h", "y")}
-    parts = {"x": x, "r": red, "g": green, "b": blue, "a": alpha}
-    found = whole | {name: pa.array(values.astype(np.int32)) for name, values in parts.items()}
-    names = [c.split()[0] for c in PIXEL_SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([found[name] for name in names], names=names)
+def _cells(lines: pa.RecordBatch) -> pa.RecordBatch:
+    """Lines as integers of R, G, B and A, lowest byte first. The bytes of a cell are B G R [A], or one gray value."""
+    widths, channels = lines.column("w").to_numpy(), lines.column("channels").to_numpy()
+    ends = np.cumsum(widths, dtype=np.int64)
+    packed = np.empty((int(ends[-1]), 4), dtype=np.uint8)
+    for line, width, step, end in zip(lines.column("line"), widths, channels, ends):
+        cells = np.frombuffer(line.as_buffer(), dtype=np.uint8).reshape(width, step)
+        out = packed[end - width : end]
+        out[:, :3] = cells[:, 2::-1] if step >= 3 else cells
+        out[:, 3] = cells[:, 3] if step == 4 else 255
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    found = {name: lines.column(name) for name in ("img_id", "w", "h", "y")}
+    found["cells"] = pa.ListArray.from_arrays(offsets, pa.array(packed.view("<i4").ravel()))
+    return pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
