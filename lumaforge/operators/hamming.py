@@ -7,6 +7,10 @@ number that costs least for the number of hashes at hand.
 
 Hashes of one key are compared in numpy, in tiles of at most ``TILE`` rows on either side, so a pattern
 that most hashes share is spread over as many tasks as it needs. A pair is reported by the first chunk that finds it.
+
+At a threshold so wide that chunks leave a good part of all pairs, comparing all with all costs less: the hashes are dealt
+into a number of parts that does not grow with them, and each two parts meet in a task as one square of a matrix. A row is
+shuffled once for each part, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,14 @@ PAIRS = 1 << 20
 ROW_COST = 100
 #: Keys of one hash, at most.
 MOST_KEYS = 5000
+#: Pairs of a square that are compared in the time of one pair of scattered rows.
+SQUARE_GAIN = 30
+#: Parts that are compared with each other, at least; fewer hashes than ``TILE`` are one part.
+PARTS = 16
+#: Rows of a part, at most.
+PART_ROWS = 1 << 20
+#: Pairs of a square that are worked on at once, so that they stay in the processor's cache.
+SQUARE_PAIRS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -149,14 +161,103 @@ def products(plain: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray
         at = stop
 
 
-def near_pairs(distinct: DataFrame, threshold: int, emit: Callable, schema: str, n: int | None = None, tile: int = TILE) -> DataFrame:
+def parts_of(n: int, parallelism: int = 1, rows: int = PART_ROWS) -> int:
+    """Number of parts for ``n`` hashes: enough squares for the cores, and for memory."""
+    return max(1 if n <= TILE else max(PARTS, ceil(sqrt(8 * parallelism))), -(-n // rows))
+
+
+def in_squares(threshold: int, n: int) -> bool:
+    """Whether comparing all ``n`` hashes with all costs less than what chunks leave."""
+    return float(n) * n / SQUARE_GAIN + n * parts_of(n) * ROW_COST < cost(chunking(threshold, n), n)
+
+
+def near_in(left: np.ndarray, right: np.ndarray, threshold: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``left`` and ``right`` of all hashes within the threshold, and distances; if both are the ``same``, each two once."""
+    wide = max(1, min(len(right), SQUARE_PAIRS // 16))
+    high = max(1, SQUARE_PAIRS // wide)
+    apart, bits, near = (np.empty((high, wide), kind) for kind in (np.uint64, np.uint8, bool))
+    found, held = [], 0
+    for start in range(0, len(left), high):
+        rows = left[start : start + high, None]
+        for at in range(start - start % wide if same else 0, len(right), wide):
+            columns = right[None, at : at + wide]
+            cut = slice(len(rows)), slice(columns.shape[1])
+            np.bitwise_count(np.bitwise_xor(rows, columns, out=apart[cut]), out=bits[cut])
+            cells = np.flatnonzero(np.less_equal(bits[cut], threshold, out=near[cut]))
+            if not len(cells):
+                continue
+            a, b = np.divmod(cells, columns.shape[1])
+            part = a + start, b + at, bits[a, b]
+            if same:
+                part = tuple(c[part[0] < part[1]] for c in part)
+            found.append(part)
+            held += len(part[0])
+            if held >= SQUARE_PAIRS:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, held = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def first_near(rows: np.ndarray, leaders: np.ndarray, threshold: int) -> np.ndarray:
+    """Place of the first of the ``leaders`` within the threshold of each row, -1 if there is none."""
+    out = np.full(len(rows), -1, np.int64)
+    for at in range(0, len(leaders), SQUARE_PAIRS // 64):
+        some = leaders[None, at : at + SQUARE_PAIRS // 64]
+        still = np.flatnonzero(out < 0)
+        for start in range(0, len(still), 64):
+            pick = still[start : start + 64]
+            near = np.bitwise_count(rows[pick, None] ^ some) <= threshold
+            first = near.argmax(1)
+            hit = near[np.arange(len(pick)), first]
+            out[pick[hit]] = first[hit] + at
+    return out
+
+
+def squares(distinct: DataFrame, threshold: int, emit: Callable, schema: str, parts: int) -> DataFrame:
+    """All pairs within the threshold, each two parts in one group; see :func:`near_pairs`."""
+
+    def compare(batches):
+        for table, firsts in whole_groups(batches, ["square"]):
+            square, part, h, order = (table.column(c).to_numpy() for c in ("square", "part", "h", "ord"))
+            bits = h.view(np.uint64)
+            for start, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(order)]):
+                first, second = divmod(int(square[start]), parts)
+                split = start + int(np.searchsorted(part[start:end], first, side="right"))
+                left = slice(start, split)
+                right = left if first == second else slice(split, end)
+
+                def pairs(left=left, right=right):
+                    for a, b, distance in near_in(bits[left], bits[right], threshold, left == right):
+                        a, b = a + left.start, b + right.start
+                        turned = order[a] > order[b]
+                        yield np.where(turned, b, a) - left.start, np.where(turned, a, b) - left.start, distance
+
+                yield from emit(order[start:end], pairs())
+
+    part = F.pmod(F.xxhash64("ord"), F.lit(parts)).cast("int")
+    rows = distinct.where("h IS NOT NULL AND ord IS NOT NULL").select("h", F.col("ord").cast("long").alias("ord"), part.alias("part"))
+    met = f"explode(transform(sequence(0, {parts - 1}), other -> least(part, other) * {parts} + greatest(part, other))) AS square"
+    # By number, since small shuffles that take long to compare are not to be put together.
+    tasks = min(parts * (parts + 1) // 2, max(256, 32 * distinct.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.selectExpr("h", "ord", "part", met).repartition(tasks, "square")
+    return dealt.sortWithinPartitions("square", "part").mapInArrow(compare, schema)
+
+
+def near_pairs(distinct: DataFrame, threshold: int, emit: Callable, schema: str, n: int | None = None, tile: int | None = None) -> DataFrame:
     """Compare all candidates of ``distinct(h, ord)``; ``emit(ord, pairs)`` makes record batches of a task's pairs.
 
     ``pairs`` yields row numbers of the smaller and of the larger ``ord``, and distances; each pair comes once.
+    ``tile`` bounds the rows of one side that a task compares.
     """
     if not 0 <= threshold < BITS:
         raise ValueError("threshold must be between 0 and 63")
-    chunks = chunking(threshold, distinct.count() if n is None else n)
+    n = distinct.count() if n is None else n
+    if in_squares(threshold, n):
+        parallelism = distinct.sparkSession.sparkContext.defaultParallelism
+        return squares(distinct, threshold, emit, schema, parts_of(n, parallelism, tile or PART_ROWS))
+    tile = tile or TILE
+    chunks = chunking(threshold, n)
     masks = [(np.uint64(c.mask), c.radius) for c in chunks]
 
     def compare(batches):
@@ -182,7 +283,7 @@ def near_pairs(distinct: DataFrame, threshold: int, emit: Callable, schema: str,
     return tiled(filed(distinct, chunks), tile).mapInArrow(compare, schema)
 
 
-def pairs_within(distinct: DataFrame, threshold: int, tile: int = TILE) -> DataFrame:
+def pairs_within(distinct: DataFrame, threshold: int, tile: int | None = None) -> DataFrame:
     """``a, b, distance``: every pair of hashes within the threshold once, ``a < b`` by ``ord``."""
 
     def emit(order, pairs):
@@ -193,7 +294,7 @@ def pairs_within(distinct: DataFrame, threshold: int, tile: int = TILE) -> DataF
     return near_pairs(distinct, threshold, emit, "a long, b long, distance int", tile=tile)
 
 
-def linking_edges(distinct: DataFrame, threshold: int, tile: int = TILE) -> DataFrame:
+def linking_edges(distinct: DataFrame, threshold: int, tile: int | None = None) -> DataFrame:
     """``a, b``: pairs within the threshold that connect what all such pairs connect.
 
     Of the pairs that a task finds among the rows it holds only a star over each connected set leaves it, so a dense

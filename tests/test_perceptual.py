@@ -193,3 +193,24 @@ def test_flat_image_hashes_to_ones(spark):
     ).selectExpr("img_id", "w", "h", "k % 12 AS x", "cast(k div 12 AS int) AS y", "7 AS r", "7 AS g", "7 AS b")
     row = ph.average_hash(px).select(ph.hash_hex(F.col("h"))).first()
     assert row[0] == "ffffffffffffffff"
+
+
+@pytest.mark.parametrize("threshold,tile", [(0, 3), (5, 2), (16, 40), (22, 1000)])
+@pytest.mark.parametrize("gain", [30, 1e-9])
+def test_squares_and_chunks_find_the_same_pairs(spark, monkeypatch, threshold, tile, gain):
+    monkeypatch.setattr(hamming, "SQUARE_GAIN", gain)
+    values = list(dict.fromkeys(clustered(9)))
+    distinct = ph.cut_lineage(ph.distinct_hashes(frame(spark, values)))
+    assert hamming.in_squares(threshold, len(values)) == (gain > 1)
+    want = sorted(
+        (i, j, distance(values[i], values[j]))
+        for i in range(len(values)) for j in range(i + 1, len(values)) if distance(values[i], values[j]) <= threshold
+    )
+    assert sorted((r.a, r.b, r.distance) for r in ph.similar_pairs(distinct, threshold, tile).collect()) == want
+
+
+def test_copies_of_a_row_in_squares_do_not_grow_with_the_rows():
+    """At a threshold of 16 a hash is shuffled once per part, not under hundreds of keys."""
+    assert hamming.in_squares(16, 123_000) and hamming.in_squares(16, 740_000)
+    assert hamming.parts_of(10**4, 12) == hamming.parts_of(10**7, 12) == hamming.PARTS
+    assert 10**9 / hamming.parts_of(10**9, 12) <= hamming.PART_ROWS
