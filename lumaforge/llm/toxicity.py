@@ -50,6 +50,8 @@ SEED = 20
 #: Words whose number a worker keeps; a full table is emptied.
 TABLE_SIZE = 500_000
 LONGEST_KEPT = 64
+#: Words or windows that fitting works on at once, outside its batches.
+AT_ONCE = 20_000
 
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]{}…«»„“”‘’"
@@ -165,6 +167,26 @@ class _Adam:
             p -= scale * m / (np.sqrt(v) + 1e-8)
 
 
+def _cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word's n-grams start, and the cells of all, in portions, since sorting takes several times their memory."""
+    counts, cells = [np.zeros(1, np.int64)], []
+    for start in range(0, len(words), AT_ONCE):
+        part = words[start : start + AT_ONCE]
+        owner, cell = grams(part)
+        counts.append(np.bincount(owner, minlength=len(part)))
+        cells.append(cell.astype(np.uint16))
+    return np.cumsum(np.concatenate(counts)), np.concatenate(cells)
+
+
+def _means(weight: np.ndarray, cell: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Mean weight of each word's cells, in portions."""
+    out = np.empty(len(bounds) - 1)
+    for start in range(0, len(out), AT_ONCE):
+        ends = bounds[start : start + AT_ONCE + 1]
+        out[start : start + AT_ONCE] = np.add.reduceat(weight[cell[ends[0] : ends[-1]]], ends[:-1] - ends[0]) / np.diff(ends)
+    return out
+
+
 def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Model:
     """Train embeddings and output layer together on whole documents' labels.
 
@@ -174,7 +196,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
     index: dict[str, int] = {}
     windows, owners, lengths = [], [], []
     for k, text in enumerate(texts):
-        ids = np.array([index.setdefault(w, len(index)) for w in words_of(text)], np.int32)
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in words_of(text)), np.int32)
         if not len(ids):
             continue
         starts = window_starts(len(ids))
@@ -184,14 +206,15 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
         for row, a, n in zip(rows, starts, lengths[-1]):
             row[:n] = ids[a : a + n]
         windows.append(rows)
-        owners.append(np.full(len(rows), k))
+        owners.append(np.full(len(rows), k, np.int32))
     labels = np.asarray(labels, np.int64)
     if not windows or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), -50.0, 0.0)
     windows, owner, lengths = np.concatenate(windows), np.concatenate(owners), np.concatenate(lengths)
+    del owners
     toxic = labels[owner] == 1
-    gram_owner, gram_cell = grams(list(index))
-    bounds = np.searchsorted(gram_owner, np.arange(len(index) + 1))
+    bounds, gram_cell = _cells(list(index))
+    del index
     E = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     U = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     c = np.zeros(2, np.float32)
@@ -208,7 +231,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
             row_of = np.nonzero(w >= 0)[0]
             size = lengths[rows[pick]].astype(np.float32)
             count = bounds[used + 1] - bounds[used]
-            slot = np.repeat(np.arange(len(used)), count)
+            slot = np.repeat(np.arange(len(used), dtype=np.int32), count)
             at = np.arange(len(slot)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[used], count)
             cell = gram_cell[at]
             vectors = np.add.reduceat(E[cell], np.cumsum(count) - count) / count[:, None].astype(np.float32)
@@ -222,9 +245,10 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
             dh = (p @ U.T) / size[:, None]
             flat = (inverse[:, None] * DIM + np.arange(DIM)).ravel()
             dv = np.bincount(flat, dh[row_of].ravel(), len(used) * DIM).reshape(-1, DIM) / count[:, None]
-            flat = (cell[:, None].astype(np.int64) * DIM + np.arange(DIM)).ravel()
-            dE = np.bincount(flat, dv[slot].ravel(), BUCKETS * DIM).reshape(BUCKETS, DIM)
-            adam.step(dE.astype(np.float32), h.T @ p, p.sum(0))
+            dE = np.empty((BUCKETS, DIM), np.float32)
+            for d in range(DIM):
+                dE[:, d] = np.bincount(cell, dv[slot, d], BUCKETS)
+            adam.step(dE, h.T @ p, p.sum(0))
 
     def model() -> Model:
         return Model((E @ (U[:, 1] - U[:, 0])).astype(np.float64), float(c[1] - c[0]), 0.0)
@@ -234,9 +258,10 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Mod
     train(everything, toxic.astype(np.int64), 1 / n_of, WARM_EPOCHS)
     for _ in range(ROUNDS):
         now = model()
-        numbers = np.add.reduceat(now.weight[gram_cell], bounds[:-1]) / np.diff(bounds)
+        numbers = _means(now.weight, gram_cell, bounds)
         padded = np.append(numbers, 0.0)
-        z = padded[windows].sum(1) / lengths + now.bias
+        z = np.concatenate([padded[windows[a : a + AT_ONCE]].sum(1) for a in range(0, len(windows), AT_ONCE)])
+        z = z / lengths + now.bias
         order = np.lexsort((-z, owner))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(owner, owner)[order]
@@ -277,6 +302,7 @@ def train(
 
     def run(batches):
         got = sorted(((k, v, t) for b in batches for k, v, t in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        pa.default_memory_pool().release_unused()
         if got:
             fitted = fit([r[2] for r in got], np.array([r[1] for r in got]), share)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted)], pa.binary())], ["model"])
