@@ -28,15 +28,16 @@ are read.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import count, repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,20 +72,64 @@ TASK_TOKENS = 2_000_000
 FAN_IN = 32
 RATE = 0.01
 SEED = 6
-#: Distinct words a counting task holds before it hands them on.
+#: Distinct words a counting task holds before it hands them on, about.
 HELD_WORDS = 500_000
+#: Bytes of the texts that are cut into words at once, or one longer text.
+PORTION_BYTES = 1 << 22
 END = b""
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of UTF-8 text; both methods know ASCII only, as the definition asks."""
-    return text.lower().split() if text else []
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and end of stretches of a column that hold ``PORTION_BYTES``, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PORTION_BYTES, side="right")))
+        yield start, stop
+        start = stop
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one after the other, and how many each has.
+
+    Both functions know ASCII only and do not check UTF-8, as the definition asks.
+    """
+    texts = pc.fill_null(texts.cast(pa.binary()).view(pa.string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten().view(pa.binary())
+    sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(full, min_count=0).as_py():  # what stands outside the space at a text's ends
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.bincount(of[full.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        words = words.filter(full)
+    return words, sizes
 
 
 def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+@functools.cache
+def _tails() -> np.ndarray:
+    """Tail class by the last two bytes of a word; then by its only one; then of the empty word."""
+    ends = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([b]) for b in range(256)] + [END]
+    return np.array([tail_of(e) for e in ends], np.int32)
+
+
+def tails_of(words: pa.Array) -> np.ndarray:
+    """:func:`tail_of` of every word of a binary column without nulls."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    data = np.concatenate([np.zeros(2, np.uint8), data])  # so that there are two bytes before any end
+    sizes, ends = np.diff(bounds), bounds[1:].astype(np.int64) + 2
+    last = data[ends - 1].astype(np.int32)
+    return _tails()[np.where(sizes > 1, data[ends - 2] * np.int32(256) + last, np.where(sizes > 0, (1 << 16) + last, (1 << 16) + 256))]
+
+
 @dataclass
 class Vocabulary:
     """Counts of the training tokens, as far as memory holds them."""
@@ -95,18 +140,22 @@ class Vocabulary:
     distinct: int
     tail_tokens: np.ndarray
     tail_distinct: np.ndarray
-    index: dict = field(init=False, repr=False)
+    column: pa.Array = field(init=False, repr=False)
 
     def __post_init__(self):
-        self.index = {w: i for i, w in enumerate(self.words)}
+        self.column = pa.array(self.words, pa.binary())
+        self.end = self.words.index(END) if END in self.words else -1
         self.modeled = min(MODELED, len(self.words))
         self.classes = -(-self.modeled // CLASS_WORDS)
         # Class of each head word, and its place there; tail classes follow the others.
         k = np.arange(len(self.words))
-        tails = np.fromiter(map(tail_of, self.words[self.modeled :]), np.int64, len(self.words) - self.modeled)
+        tails = tails_of(self.column.slice(self.modeled))
         self.class_of = np.concatenate([k[: self.modeled] // CLASS_WORDS, self.classes + tails]).astype(np.int32)
         self.log_count = np.log10(self.counts + 1.0)
         self.tail_scale = np.log10(self.tail_tokens + self.tail_distinct + 1.0)
+        # Class and place by what the network sees.
+        k, t = np.arange(self.modeled), np.arange(TAILS)
+        self.cells = np.concatenate([np.column_stack([k // CLASS_WORDS, k % CLASS_WORDS]), np.column_stack([self.classes + t, 0 * t])]).astype(np.int32)
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("words", "counts", "tokens", "distinct", "tail_tokens", "tail_distinct")}
@@ -116,51 +165,67 @@ class Vocabulary:
         self.__post_init__()
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Head index (-1: not in the head) and class of each token, the end included."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        at = np.append(at, self.index.get(END, -1)).astype(np.int32)
+        """Head index (-1: not in the head) and class of each token of a document, the end included."""
+        return self.look_up_all(pa.array(words, pa.binary()), np.array([len(words)]))
+
+    def look_up_all(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for documents one after the other, of so many words each."""
+        ends = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(words) + len(sizes), bool)
+        inside[ends] = False
+        at = np.full(len(inside), self.end, np.int32)
+        found = pc.fill_null(pc.index_in(words, value_set=self.column), -1).to_numpy()
+        at[inside] = found
         kind = self.class_of[at] if len(self.class_of) else np.zeros(len(at), np.int32)
-        for i in np.flatnonzero(at < 0).tolist():
-            kind[i] = self.classes + tail_of(words[i] if i < len(words) else END)
+        if self.end < 0:
+            kind[ends] = self.classes + tail_of(END)
+        missing = np.flatnonzero(found < 0)
+        kind[np.flatnonzero(inside)[missing]] = self.classes + tails_of(words.take(pa.array(missing)))
         return at, kind
 
-
     def numbers(self, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """What the network sees of each token: a modeled word's index, or one for the tail class, in two bytes."""
-        return np.where((at >= 0) & (at < self.modeled), at, self.modeled + kind - self.classes).astype(np.uint16)
+        return np.where(kind < self.classes, at, self.modeled + kind - self.classes).astype(np.uint16)
 
     def rows(self, numbers: np.ndarray) -> np.ndarray:
         """Rows of input, class and place of a document's tokens, from their numbers; the input is the token before."""
-        seen = numbers.astype(np.int32)
-        word = seen < self.modeled
-        kind = np.where(word, seen // CLASS_WORDS, seen - self.modeled + self.classes)
-        before = np.concatenate([[self.modeled + TAILS], seen[:-1]])
-        return np.column_stack([before, kind, np.where(word, seen % CLASS_WORDS, 0)]).astype(np.int32)
+        out = np.empty((len(numbers), 3), np.int32)
+        out[0, 0], out[1:, 0] = self.modeled + TAILS, numbers[:-1]
+        out[:, 1:] = self.cells[numbers]
+        return out
+
+
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, tail, c`` of the tokens of texts; a word may come again once many are held."""
+    held: list[pa.Table] = []
+
+    def together() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+    def handed(counted: pa.Table):
+        for batch in counted.combine_chunks().to_batches():
+            word = batch.column(0)
+            yield pa.RecordBatch.from_arrays([word, pa.array(tails_of(word)), batch.column(1)], ["word", "tail", "c"])
+
+    for batch in batches:
+        texts = batch.column(0)
+        for start, stop in portions(texts):
+            words, sizes = words_of(texts.slice(start, stop - start))
+            found = words.value_counts()
+            held.append(pa.table([found.field(0), found.field(1)], ["word", "c"]))
+            held.append(pa.table([pa.array([END], pa.binary()), pa.array([len(sizes)], pa.int64())], ["word", "c"]))
+            if sum(map(len, held)) > HELD_WORDS:
+                held[:] = [together()]
+                if len(held[0]) > HELD_WORDS // 2:
+                    yield from handed(held.pop())
+    if held:
+        yield from handed(together())
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, tail, c`` of all tokens; the end is the empty word."""
-
-    def run(batches):
-        held: Counter = Counter()
-
-        def handed():
-            words = list(held)
-            columns = [pa.array(words, pa.binary()), pa.array([tail_of(w) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "tail", "c"])
-
-        for batch in batches:
-            for value in batch.column(0).cast(pa.binary()):
-                held.update(words_of(value.as_py()))
-                held[END] += 1
-                if len(held) > HELD_WORDS:
-                    yield handed()
-        if held:
-            yield handed()
-
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, tail int, c long")
-    return stored(counted.groupBy("word", "tail").agg(F.sum("c").alias("c")), "words")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(counted, "word binary, tail int, c long")
+    return stored(found.groupBy("word", "tail").agg(F.sum("c").alias("c")), "words")
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -219,117 +284,141 @@ class Network:
         ``keep`` gets what going back needs.
         """
         steps, lanes = x.shape
-        states = np.empty((steps, lanes, STATE), np.float32)
+        # Lanes come last, so that each gate is one stretch of memory; callers see states lane by lane.
+        states = np.empty((steps, STATE, lanes), np.float32)
         # Gates are computed from negated sums, so that one exponential is all they need, and take the place of the inputs.
         sign = np.concatenate([np.full(2 * STATE, -1, np.float32), np.ones(STATE, np.float32)])
-        gates, recurrent = (self.X * sign).astype(np.float32)[x], (self.U * sign).astype(np.float32)
+        inputs = (self.X * sign).astype(np.float32, copy=False)
+        recurrent = np.ascontiguousarray((self.U * sign).T, np.float32)
+        h = np.ascontiguousarray(h.T, np.float32)
         fresh = x == len(self.X) - 1
         starts = fresh.any(1).tolist()
-        before, inner = (np.empty((steps, lanes, STATE), np.float32) for _ in range(2)) if keep is not None else (None, None)
+        kept = steps if keep is not None else 1
+        gates, sums = (np.empty((kept, 3 * STATE, lanes), np.float32) for _ in range(2))
+        before, reset = np.empty((kept, STATE, lanes), np.float32), np.empty_like(h)
         for t in range(steps):
             if starts[t]:
-                h = h * ~fresh[t][:, None]
-            gh = h @ recurrent
-            zr, n = gates[t, :, : 2 * STATE], gates[t, :, 2 * STATE :]
-            zr += gh[:, : 2 * STATE]
+                h = h * ~fresh[t]
+            k = t if keep is not None else 0
+            gate, gh = gates[k], np.matmul(recurrent, h, out=sums[k])
+            gate[:] = inputs[x[t]].T
+            zr, n = gate[: 2 * STATE], gate[2 * STATE :]
+            zr += gh[: 2 * STATE]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            n += zr[:, STATE:] * gh[:, 2 * STATE :]
+            n += np.multiply(zr[STATE:], gh[2 * STATE :], out=reset)
             np.tanh(n, out=n)
             if keep is not None:
-                before[t], inner[t] = h, gh[:, 2 * STATE :]
-            h = h - n
-            h *= zr[:, :STATE]
+                before[t] = h
+            h = np.subtract(h, n, out=states[t])
+            h *= zr[:STATE]
             h += n
-            states[t] = h
         if keep is not None:
-            keep.extend([before, gates, inner])
-        return states
+            keep.extend([before, gates, sums[:, 2 * STATE :]])
+        return states.transpose(0, 2, 1)
 
     def output(self, s: np.ndarray, kind: np.ndarray, place: np.ndarray, backward: bool = False):
         """Natural log probabilities of classes and of words within modeled classes; and gradients, if asked for."""
-        s1 = np.concatenate([s, np.ones((len(s), 1), s.dtype)], 1)
+        # Tokens are worked on sorted by class, so that those of a class are one stretch.
+        order = np.argsort(kind.astype(np.uint16), kind="stable")
+        kind, place = kind[order], place[order]
+        s1 = np.empty((len(s), STATE + 1), s.dtype)
+        s1[:, :STATE], s1[:, STATE] = s[order], 1
         out, dC = np.empty(len(s), s.dtype), np.zeros((STATE + 1, self.c.size), s.dtype)
-        ds = np.empty_like(s) if backward else None
-        weights = _with_bias(self.C.T, self.c).T
+        ds = np.empty((len(s), STATE), s.dtype) if backward else None
+        weights, safe = _with_bias(self.C.T, self.c)
         for a in range(0, len(s), AT_ONCE):
             part = slice(a, a + AT_ONCE)
-            out[part], p = _log_softmax(s1[part], weights, kind[part], backward)
+            out[part], p, scale = _log_softmax(s1[part], weights.T, kind[part], safe.all())
             if backward:
-                ds[part] = p @ self.C.T
-                dC += s1[part].T @ p
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        dW = np.zeros((*self.w.shape, STATE + 1), s.dtype)
-        inside = _with_bias(self.W, self.w)
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            pick = order[bounds[k] : bounds[k + 1]]
-            states = s1[pick]
-            found, p = _log_softmax(states, inside[k].T, place[pick], backward)
-            out[pick] += found
+                np.multiply(p @ self.C.T, scale, out=ds[part])
+                dC += (s1[part] * scale).T @ p
+        bounds = np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
+        dW = np.zeros((*self.w.shape, STATE + 1), s.dtype) if backward else None
+        inside, safe = _with_bias(self.W, self.w)
+        safe = safe.all(-1).tolist()
+        for k in range(self.classes):
+            if bounds[k] == bounds[k + 1]:
+                continue
+            part = slice(bounds[k], bounds[k + 1])
+            found, p, scale = _log_softmax(s1[part], inside[k].T, place[part], safe[k])
+            out[part] += found
             if backward:
-                ds[pick] += p @ self.W[k]
-                dW[k] = p.T @ states
+                ds[part] += (p @ self.W[k]) * scale
+                np.matmul(p.T, s1[part] * scale, out=dW[k])
+        sums = np.empty_like(out)
+        sums[order] = out
         if not backward:
-            return out
-        return out, ds, {"C": dC[:STATE], "c": dC[STATE], "W": dW[..., :STATE], "w": dW[..., STATE]}
+            return sums
+        states = np.empty_like(ds)
+        states[order] = ds
+        return sums, states, {"C": dC[:STATE], "c": dC[STATE], "W": dW[..., :STATE], "w": dW[..., STATE]}
 
     def back(self, x: np.ndarray, keep: list, ds: np.ndarray) -> dict:
         """Gradients of the recurrent part from those of the states; none goes from a window to the one before."""
         h, made, ghn = keep
-        z, r, n = (made[..., k * STATE : (k + 1) * STATE] for k in range(3))
+        z, r, n = (made[:, k * STATE : (k + 1) * STATE] for k in range(3))
         steps, lanes = x.shape
-        of_n, of_z, of_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), ghn * r * (1 - r)
-        gates = np.empty((steps, lanes, 3 * STATE), np.float32)  # gradients of the recurrent sums
-        news = np.empty((steps, lanes, STATE), np.float32)
+        ds = np.ascontiguousarray(ds.transpose(0, 2, 1))
+        of_n, of_z, of_r = (np.empty((STATE, lanes), np.float32) for _ in range(3))
+        gates = np.empty((steps, 3 * STATE, lanes), np.float32)  # gradients of the recurrent sums
+        moved = np.empty((steps, lanes, 3 * STATE), np.float32)  # and of the inputs
         dh = np.zeros_like(ds[0])
         fresh = x == len(self.X) - 1
         starts = fresh.any(1).tolist()
-        back = self.U.T.copy()
+        back = self.U.astype(np.float32, copy=False)
         for t in range(steps - 1, -1, -1):
             dh = ds[t] if (t + 1) % STEPS == 0 else dh + ds[t]
-            dn = np.multiply(dh, of_n[t], out=news[t])
-            g = gates[t]
-            np.multiply(dh, of_z[t], out=g[:, :STATE])
-            np.multiply(dn, of_r[t], out=g[:, STATE : 2 * STATE])
-            np.multiply(dn, r[t], out=g[:, 2 * STATE :])
-            dh = dh * z[t] + g @ back
+            zt, rt, nt, g = z[t], r[t], n[t], gates[t]
+            # The derivatives: (1 - z)(1 - n n), (h - n) z (1 - z) and ghn r (1 - r).
+            dn = np.subtract(1, zt, out=of_n)
+            np.multiply(np.subtract(h[t], nt, out=of_z), zt, out=of_z)
+            of_z *= dn
+            np.multiply(dh, of_z, out=g[:STATE])
+            np.multiply(nt, nt, out=of_r)
+            dn *= np.subtract(1, of_r, out=of_r)
+            dn *= dh
+            np.multiply(dn, rt, out=g[2 * STATE :])
+            np.multiply(np.subtract(1, rt, out=of_r), ghn[t], out=of_r)
+            np.multiply(of_r, g[2 * STATE :], out=g[STATE : 2 * STATE])
+            moved[t, :, : 2 * STATE], moved[t, :, 2 * STATE :] = g[: 2 * STATE].T, dn.T
+            dh = dh * zt
+            dh += back @ g
             if starts[t]:
-                dh *= ~fresh[t][:, None]
-        dU = h.reshape(-1, STATE).T @ gates.reshape(-1, 3 * STATE)
+                dh *= ~fresh[t]
+        dU = np.matmul(h, gates.transpose(0, 2, 1)).sum(0)
         # Each input row's gradients, added up where rows are equal.
-        order = np.argsort(x, axis=None, kind="stable")
+        order = np.argsort(x.astype(np.uint16), axis=None, kind="stable")
         seen = x.ravel()[order]
         firsts = np.flatnonzero(np.diff(seen, prepend=-1))
         dx = np.zeros_like(self.X)
-        flat = np.concatenate([gates[..., : 2 * STATE], news], 2).reshape(-1, 3 * STATE)
-        dx[seen[firsts]] = np.add.reduceat(flat[order], firsts, axis=0)
+        dx[seen[firsts]] = np.add.reduceat(moved.reshape(-1, 3 * STATE)[order], firsts, axis=0)
         return {"U": dU, "X": dx}
 
 
-def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of softmax rows side by side, shifted so that the exponentials neither overflow nor vanish.
 
-    States lie within -1 and 1, so a logit is within the sum of its absolute weights of its bias. Only when that is
-    much do rows need their own maximum, which :func:`_log_softmax` then takes.
+    States lie within -1 and 1, so a logit is within the sum of its absolute weights of its bias. Only where that is
+    much, which the second result denies, do rows need their own maximum, which :func:`_log_softmax` then takes.
     """
-    return np.concatenate([weights, (bias - bias.max(-1, keepdims=True))[..., None]], -1)
+    shifted = (bias - bias.max(-1, keepdims=True))[..., None]
+    return np.concatenate([weights, shifted], -1), np.abs(weights).sum(-1) <= SAFE_LOGIT
 
 
-def _log_softmax(s1: np.ndarray, weights: np.ndarray, at: np.ndarray, backward: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of column ``at`` of each row; and, going back, the gradients of the logits, else anything."""
+def _log_softmax(s1: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of column ``at`` of each row, and the gradients of the logits: a matrix, and what its rows are to be scaled by."""
     p = s1 @ weights
-    if np.abs(weights[:-1]).sum(0).max() > SAFE_LOGIT:
+    if not safe:
         p -= p.max(1, keepdims=True)
     np.exp(p, out=p)
     total = p @ np.ones(p.shape[1], p.dtype)
     rows = np.arange(len(p))
-    out = np.log(np.maximum(p[rows, at], LEAST) / total)
-    if backward:
-        p *= (1 / total)[:, None]
-        p[rows, at] -= 1
-    return out, p
+    found = p[rows, at]
+    out = np.log(np.maximum(found, LEAST) / total)
+    p[rows, at] = found - total
+    return out, p, (1 / total)[:, None]
 
 
 def windows(lengths: np.ndarray):
@@ -342,18 +431,6 @@ def windows(lengths: np.ndarray):
         start += size
 
 
-def side_by_side(rows: list[np.ndarray], start: int, size: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of a window of the first ``lanes`` rows, and which cells are filled."""
-    size = min(size, len(rows[0]) - start)
-    out = np.zeros((size, lanes), np.int32)
-    filled = np.zeros((size, lanes), bool)
-    for j in range(lanes):
-        part = rows[j][start : start + size]
-        out[: len(part), j] = part
-        filled[: len(part), j] = True
-    return out, filled
-
-
 class Trainer:
     def __init__(self, net: Network):
         self.net = net
@@ -365,16 +442,31 @@ class Trainer:
     def update(self, grads: dict) -> None:
         self.turn += 1
         rate = RATE * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        clip = min(1.0, 1.0 / max(norm, 1e-9))
+        squares = {name: np.einsum("...i,...i->...", g, g) for name, g in grads.items()}
+        norm = np.sqrt(sum(float(q.sum()) for q in squares.values()))
+        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         for name, g in grads.items():
+            m, v = self.m[name], self.v[name]
             # Of the inputs only those that occurred move.
-            rows = np.flatnonzero(g.any(1)) if name == "X" else slice(None)
-            g = g[rows] * np.float32(clip)
-            m = self.m[name][rows] * np.float32(0.9) + np.float32(0.1) * g
-            v = self.v[name][rows] * np.float32(0.999) + np.float32(0.001) * g * g
-            self.m[name][rows], self.v[name][rows] = m, v
-            getattr(self.net, name)[rows] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))
+            rows = np.flatnonzero(squares[name]) if name == "X" else None
+            if rows is not None:
+                g, m, v = g[rows], m[rows], v[rows]
+            g = g * clip
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += g
+            step = np.sqrt(v, out=g)
+            step += np.float32(1e-8)
+            np.divide(m, step, out=step)
+            step *= np.float32(rate)
+            if rows is None:
+                getattr(self.net, name)[...] -= step
+            else:
+                self.m[name][rows], self.v[name][rows] = m, v
+                getattr(self.net, name)[rows] -= step
 
     def learn(self, docs: Iterable[np.ndarray]) -> None:
         """One pass over documents, given as rows of input, class and place.
@@ -451,19 +543,31 @@ def encoded(docs: DataFrame, vocab, train_where: Column, key: str = "doc_id", te
         vocab = vocab_.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out: list[tuple] = []
-            for turn, key, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).cast(pa.binary())):
-                words = words_of(value.as_py())
-                at, kind = vocab.look_up(words)
-                head = at[at >= 0]
-                tail = kind[kind >= vocab.classes] - vocab.classes
-                static = float(vocab.log_count[head[head >= vocab.modeled]].sum() - vocab.tail_scale[tail].sum())
-                rest = [words[i] for i in np.flatnonzero(at[:-1] < 0).tolist()]
-                out.append((turn, row, vocab.numbers(at, kind).tobytes(), len(at), len(head), float(vocab.log_count[head].sum()), static, rest))
-                row += 1
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)]
-            yield pa.RecordBatch.from_arrays([columns[0], batch.column(1), *columns[1:]], names)
+            texts = batch.column(2)
+            for start, stop in portions(texts):
+                words, sizes = words_of(texts.slice(start, stop - start))
+                at, kind = vocab.look_up_all(words, sizes)
+                starts = np.cumsum(sizes + 1) - sizes - 1
+
+                def added(values, starts=starts):
+                    return np.add.reduceat(values, starts)
+
+                head, tail = at >= 0, kind >= vocab.classes
+                log_count = np.zeros(len(at))
+                log_count[head] = vocab.log_count[at[head]]
+                static = np.where(tail, log_count, 0)
+                static[tail] -= vocab.tail_scale[kind[tail] - vocab.classes]
+                inside = np.ones(len(at), bool)
+                inside[starts + sizes] = False
+                missing = ~head & inside
+                rest = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(added(missing.astype(np.int32)))), pa.int32()), words.filter(pa.array(missing[inside]))
+                )
+                bounds = np.append(starts, len(at)).astype(np.int32) * np.int32(2)
+                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(vocab.numbers(at, kind))])
+                columns = [pa.array(np.arange(row, row + len(sizes))), ids, pa.array(sizes + 1), pa.array(added(head.astype(np.int64))), pa.array(added(log_count)), pa.array(added(static)), rest]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, stop - start) for k in (0, 1)), *columns], names)
+                row += len(sizes)
 
     vocab_ = vocab
     names = ["slice", "key", "row", "ids", "n_tokens", "known", "base", "static", "rest"]
@@ -534,15 +638,19 @@ def log_likelihoods(net: Network, docs: list[tuple[np.ndarray, np.ndarray, np.nd
         part = [docs[i] for i in group]
         lengths = np.array([len(d[0]) for d in part])
         total = np.zeros(len(part))
+        inputs, kinds, places = (np.concatenate([d[k] for d in part]) for k in range(3))
+        firsts = np.cumsum(lengths) - lengths
         h = np.zeros((len(part), STATE), np.float32)
         for start, size, lanes in windows(lengths):
-            x, filled = side_by_side([d[0] for d in part], start, size, lanes)
-            kind, _ = side_by_side([d[1] for d in part], start, size, lanes)
-            place, _ = side_by_side([d[2] for d in part], start, size, lanes)
+            step = np.arange(start, min(start + size, lengths[0]))[:, None]
+            filled = step < lengths[:lanes]
+            cells = firsts[:lanes] + step
+            x = inputs[np.minimum(cells, len(inputs) - 1)]  # a document that has ended reads on, for nothing
+            cells = cells[filled]
             states = net.run(x, h[:lanes])
-            found = net.output(states[filled], kind[filled], place[filled])
+            found = net.output(states[filled], kinds[cells], places[cells])
             total += np.bincount(np.nonzero(filled)[1], found, len(part))
-            h = states[-1].copy()
+            h = states[-1]
         out[group] = total
     return out
 

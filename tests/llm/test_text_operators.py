@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 from tokenizers import Tokenizer
@@ -316,6 +317,55 @@ def test_lm_training_carries_the_state_through_whole_documents(monkeypatch):
     assert np.isclose(sum(f[0].sum() for f in found), want, rtol=1e-4)
 
 
+def test_lm_words_are_cut_and_looked_up_by_the_column(monkeypatch):
+    texts = [None, "", " ", "\x1c a\x85b  c\u00a0d", "A\tB\nC\vD\fE\rF  ", "\u0130 \u00c4x", "xxxxx ", "  Lead the", "\0 \0a", "the of " * 500]
+    column, cut = pa.array(texts, pa.string()), []
+    monkeypatch.setattr(lm_scoring, "PORTION_BYTES", 8)
+    for start, stop in lm_scoring.portions(column):
+        words, sizes = lm_scoring.words_of(column.slice(start, stop - start))
+        ends = np.cumsum(sizes)
+        cut += [words.to_pylist()[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist())]
+    assert cut == [brute_tokens(t)[:-1] for t in texts]
+    known = [b"", b"the", b"of", b"a"]
+    vocab = lm_scoring.Vocabulary(known, np.array([2, 5, 4, 3]), 14, 4, np.zeros(lm_scoring.TAILS), np.zeros(lm_scoring.TAILS))
+    rare = [w for t in texts for w in brute_tokens(t)[:-1]] + [b"w%d" % i for i in range(5_000)]
+    want = [0 if w in known else vocab.classes + lm_scoring.tail_of(w) for w in rare] + [0]
+    lm_scoring.tails_of(pa.array([b"a"], pa.binary()))
+    calls, tail_of = [], lm_scoring.tail_of
+    monkeypatch.setattr(lm_scoring, "tail_of", lambda w: (calls.append(w), tail_of(w))[1])
+    at, kind = vocab.look_up(rare)
+    assert kind.tolist() == want and at.tolist() == [known.index(w) if w in known else -1 for w in rare] + [0]
+    assert len(calls) <= 1  # no call of Python for each word
+
+
+def test_lm_counts_are_handed_on_in_parts(monkeypatch):
+    texts = [None, "", "the cat", "The cat sat", " the\u00a0dog "] + [f"w{i} w{i + 1} the" for i in range(60)]
+    monkeypatch.setattr(lm_scoring, "PORTION_BYTES", 16)
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"]) for part in (texts[:20], [], texts[20:])]
+    want = collections.Counter(w for t in texts for w in brute_tokens(t))
+    for held, most in ((10, 20), (500_000, 500_000)):
+        monkeypatch.setattr(lm_scoring, "HELD_WORDS", held)
+        got, parts = collections.Counter(), list(lm_scoring.counted(batches))
+        for r in (r for part in parts for r in part.to_pylist()):
+            assert r["tail"] == lm_scoring.tail_of(r["word"])
+            got[r["word"]] += r["c"]
+        assert got == want and max(map(len, parts)) <= most and (len(parts) > 5) == (held == 10)
+
+
+def test_lm_long_texts_beside_short_ones(spark):
+    texts = ["a b", None, f" the {'c' * 2_000}at" * 2_500, "the end", "", "the " * 3 + "rare"]
+    assert len(texts[2]) > lm_scoring.PORTION_BYTES
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    trained = F.col("doc_id") != 5
+    counts = collections.Counter(w for t in texts[:5] for w in brute_tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    for r in lm_scoring.score(frame, trained).collect():
+        words = brute_tokens(texts[r.doc_id])
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in counts for w in words), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+
+
 def test_lm_without_training_rows(docs):
     import pyspark.sql.functions as F
 
