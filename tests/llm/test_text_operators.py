@@ -317,7 +317,7 @@ def test_lm_training_carries_the_state_through_whole_documents(monkeypatch):
     assert np.isclose(sum(f[0].sum() for f in found), want, rtol=1e-4)
 
 
-def test_lm_words_are_cut_and_looked_up_by_the_column(monkeypatch):
+def test_lm_words_are_cut_by_the_column(monkeypatch):
     texts = [None, "", " ", "\x1c a\x85b  c\u00a0d", "A\tB\nC\vD\fE\rF  ", "\u0130 \u00c4x", "xxxxx ", "  Lead the", "\0 \0a", "the of " * 500]
     column, cut = pa.array(texts, pa.string()), []
     monkeypatch.setattr(lm_scoring, "PORTION_BYTES", 8)
@@ -326,16 +326,19 @@ def test_lm_words_are_cut_and_looked_up_by_the_column(monkeypatch):
         ends = np.cumsum(sizes)
         cut += [words.to_pylist()[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist())]
     assert cut == [brute_tokens(t)[:-1] for t in texts]
+
+
+def test_lm_looks_words_up_without_a_call_for_each(monkeypatch):
     known = [b"", b"the", b"of", b"a"]
     vocab = lm_scoring.Vocabulary(known, np.array([2, 5, 4, 3]), 14, 4, np.zeros(lm_scoring.TAILS), np.zeros(lm_scoring.TAILS))
-    rare = [w for t in texts for w in brute_tokens(t)[:-1]] + [b"w%d" % i for i in range(5_000)]
-    want = [0 if w in known else vocab.classes + lm_scoring.tail_of(w) for w in rare] + [0]
-    lm_scoring.tails_of(pa.array([b"a"], pa.binary()))
+    words = [b"w%d" % i for i in range(5_000)] + [b"the", b"x", b"\xff", b"of", b"\0\0"]
+    want = [0 if w in known else vocab.classes + lm_scoring.tail_of(w) for w in words] + [0]
+    vocab.look_up([b"rare"])
     calls, tail_of = [], lm_scoring.tail_of
     monkeypatch.setattr(lm_scoring, "tail_of", lambda w: (calls.append(w), tail_of(w))[1])
-    at, kind = vocab.look_up(rare)
-    assert kind.tolist() == want and at.tolist() == [known.index(w) if w in known else -1 for w in rare] + [0]
-    assert len(calls) <= 1  # no call of Python for each word
+    at, kind = vocab.look_up(words)
+    assert kind.tolist() == want and at.tolist() == [known.index(w) if w in known else -1 for w in words] + [0]
+    assert len(calls) <= 1
 
 
 def test_lm_counts_are_handed_on_in_parts(monkeypatch):
